@@ -13,7 +13,7 @@ def mhw(m):
 
 
 def event_table(m):
-    return events.heatwave_events(mhw(m))
+    return events.heatwave_events(mhw(m), rounded=False)
 
 
 def argo(m):

@@ -15,7 +15,7 @@ GRID = "time$ lat lon sst~4"
 @query("S1_read_grid", GRID, "SELECT * FROM t_grid")
 def _(m):
     path = shared_dir(m.spark, "grid")
-    sinks.write_grid(m("grid").withColumnsRenamed({"lat": "latitude", "lon": "longitude"}).withColumnsRenamed({"latitude": "lat", "longitude": "lon"}), path)
+    sinks.write_grid(m("grid"), path)
     return tables.read_grid(m.spark, path, ["time", "lat", "lon", "sst"])
 
 
@@ -187,8 +187,8 @@ def _(m):
     return sinks.relayout(m("grid"), shared_dir(m.spark, "layout"), "spatial_mean")
 
 
-@query("K8_relayout_all", "table state clustered_by n_rows#",
-       """SELECT 'sst' AS "table", 'before' AS state, 'time,lat,lon' AS clustered_by, count(*) AS n_rows FROM t_grid
+@query("K8_relayout_all", "table_name state clustered_by n_rows#",
+       """SELECT 'sst' AS table_name, 'before' AS state, 'time,lat,lon' AS clustered_by, count(*) AS n_rows FROM t_grid
  UNION ALL SELECT 'surface', 'before', 'time,lat,lon', count(*) FROM t_surface""")
 def _(m):
     return sinks.relayout_all({"sst": m("grid"), "surface": m("surface")}, "", dry_run=True)

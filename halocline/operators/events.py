@@ -11,8 +11,10 @@ def with_event_start(days, keys=(), time="date", condition="is_mhw"):
     return days.withColumn("event_id", F.sum(begins.cast("int")).over(w)).where(F.col(condition))
 
 
-def summarise_events(flagged, keys=(), confidence=None):
+def summarise_events(flagged, keys=(), confidence=None, rounded=True):
     """One row per event: extent, peak (first on ties), means, heat and dominant phases."""
+    heat = F.sum(F.col("mean_intensity") * F.col("frac_mhw"))
+    trust = F.avg(confidence) if confidence else F.lit(0.5)
     peak = F.struct(F.col("max_intensity"), -F.datediff("date", F.lit("1970-01-01").cast("date")))
     return flagged.groupBy(*keys, "event_id").agg(
         F.min("date").alias("start_date"),
@@ -22,18 +24,18 @@ def summarise_events(flagged, keys=(), confidence=None):
         F.max("max_intensity").alias("peak_intensity"),
         F.avg("mean_intensity").alias("mean_intensity"),
         (F.max("frac_mhw") * 100).alias("peak_coverage"),
-        F.round(F.sum(F.col("mean_intensity") * F.col("frac_mhw")), 4).alias("accumulated_heat"),
+        (F.round(heat, 4) if rounded else heat).alias("accumulated_heat"),
         F.max_by("mhw_category", peak).alias("peak_category"),
         F.coalesce(F.mode("enso_phase", True), F.lit("unknown")).alias("dominant_enso"),
         F.coalesce(F.mode("iod_phase", True), F.lit("unknown")).alias("dominant_iod"),
-        F.round(F.avg(confidence) if confidence else F.lit(0.5), 3).alias("mean_confidence"),
+        (F.round(trust, 3) if rounded else trust).alias("mean_confidence"),
     )
 
 
-def heatwave_events(days, keys=(), confidence=None):
+def heatwave_events(days, keys=(), confidence=None, rounded=True):
     if confidence is None and "mhw_confidence" in days.columns:
         confidence = "mhw_confidence"
-    return summarise_events(with_event_start(days, keys), keys, confidence)
+    return summarise_events(with_event_start(days, keys), keys, confidence, rounded)
 
 
 def filter_events(events, min_duration=5, category=None):

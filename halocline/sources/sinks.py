@@ -108,7 +108,7 @@ def relayout(df, path, mode="time_slice", dry_run=False, files=None):
 
 def relayout_all(tables, base, mode="time_slice", dry_run=False):
     reports = [
-        relayout(df, f"{base}/{name}", mode, dry_run).withColumn("table", F.lit(name)) for name, df in tables.items()
+        relayout(df, f"{base}/{name}", mode, dry_run).withColumn("table_name", F.lit(name)) for name, df in tables.items()
     ]
     return reduce(lambda a, b: a.unionByName(b), reports)
 

@@ -21,9 +21,9 @@ def persistence_updater(level=0.05, days=5):
                 flags.append(run >= days)
             if len(pdf):
                 last = pdf["date"].iloc[-1]
-            yield pd.DataFrame(
-                {"series": key[0], "date": pdf["date"], "frac_mhw": pdf["frac_mhw"], "is_mhw": flags}
-            )
+                yield pd.DataFrame(
+                    {"series": key[0], "date": pdf["date"], "frac_mhw": pdf["frac_mhw"], "is_mhw": flags}
+                )
         if last is not None:
             state.update((run, last))
 

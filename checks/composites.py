@@ -191,7 +191,7 @@ def _(m):
 
 @query("D7_basin_heatwaves", "basin mhw_days# peak_mhw_intensity~3", "SELECT * FROM t_bheat")
 def _(m):
-    return regions.basin_heatwaves(frames.sst(m))
+    return regions.basin_heatwaves_of(m("grid"))
 
 
 @query("D8_sst_dataset", "time$ lat lon sst~4 sst_clim~ sst_anomaly~", "SELECT * FROM t_sst")

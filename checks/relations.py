@@ -44,7 +44,7 @@ def _(m):
 
 @query("J5_day_of_year_anomaly", CELL + "sst_anomaly~", "SELECT * FROM t_sst")
 def _(m):
-    return grid.with_anomaly(grid.by_cell(m("grid")), "sst", "sst_anomaly")
+    return grid.with_anomaly(m("grid"), "sst", "sst_anomaly")
 
 
 @query("J6_threshold_intensity", CELL + "intensity~", "SELECT * FROM t_int")
@@ -133,7 +133,7 @@ DAILY = "date$ frac_mhw~ mean_intensity~ max_intensity~ mhw_category#"
 
 @query("A3_daily_heatwave_metrics", DAILY, "SELECT * FROM t_daily")
 def _(m):
-    return grid.daily_heatwave_metrics(grid.with_intensity(grid.by_cell(m("grid")), "sst"))
+    return grid.daily_heatwave_metrics(grid.with_intensity(m("grid"), "sst"))
 
 
 @query("A4_daily_metrics_all_days", DAILY,
@@ -422,7 +422,7 @@ def _(m):
 
 @query("W2_persistence", "date$ is_mhw", "SELECT * FROM t_days")
 def _(m):
-    return series.with_persistence(grid.daily_heatwave_metrics(grid.with_intensity(grid.by_cell(m("grid")), "sst")))
+    return series.with_persistence(grid.daily_heatwave_metrics(grid.with_intensity(m("grid"), "sst")))
 
 
 @query("W2_persistence_backfill", "date$ is_mhw", "SELECT date, coalesce(max(is_mhw) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), FALSE) AS is_mhw FROM t_days")

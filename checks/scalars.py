@@ -55,7 +55,7 @@ def _(m):
 
 @query("P7_heatwave_category", "date$ mhw_category#", "SELECT date, mhw_category FROM t_daily")
 def _(m):
-    return grid.daily_heatwave_metrics(grid.with_intensity(grid.by_cell(m("grid")), "sst"))
+    return grid.daily_heatwave_metrics(grid.with_intensity(m("grid"), "sst"))
 
 
 @query("P8_category_labels", "date$ label", "SELECT date, CASE mhw_category WHEN 0 THEN 'None' WHEN 1 THEN 'Moderate' WHEN 2 THEN 'Strong' WHEN 3 THEN 'Severe' ELSE 'Extreme' END AS label FROM t_daily")

@@ -10,11 +10,9 @@ from . import context, fields, grid, series
 def heatwave_days(sst, indices, q=0.9, keep_empty=False, backfill=False):
     """Daily heatwave table: cell quantile, intensity, daily metrics, climate phases, persistence.
 
-    One shuffle of the grid (by cell); the daily metrics are combined before the second one.
+    One shuffle of the grid, by cell; the daily metrics are combined before the second one.
     """
-    daily = grid.daily_heatwave_metrics(
-        grid.with_intensity(grid.by_cell(sst), "sst", q), keep_empty=keep_empty
-    )
+    daily = grid.daily_heatwave_metrics(grid.with_intensity(sst, "sst", q), keep_empty=keep_empty)
     return series.with_persistence(context.with_climate(daily, indices), backfill=backfill)
 
 

@@ -32,12 +32,12 @@ def heat_flux(surface):
 
 def qnet_dataset(surface):
     """Net heat flux with climatology and anomaly."""
-    return G.with_anomaly(G.by_cell(heat_flux(surface)), "qnet", "qnet_anom", "qnet_clim")
+    return G.with_anomaly(heat_flux(surface), "qnet", "qnet_anom", "qnet_clim")
 
 
 def sst_dataset(sst):
     """Surface temperature with climatology and anomaly."""
-    return G.with_anomaly(G.by_cell(sst), "sst", "sst_anomaly", "sst_clim")
+    return G.with_anomaly(sst, "sst", "sst_anomaly", "sst_clim")
 
 
 def stress_vectors(stress, step=0, stride=1):

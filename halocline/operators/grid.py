@@ -23,8 +23,18 @@ def axis(df, column, shape=lambda values: values):
 
 
 def by_cell(grid):
-    """Place each cell in one partition; every per-cell step after it needs no further shuffle."""
-    return grid.repartition(*CELL)
+    """Place each cell in one partition; every per-cell step after it needs no further shuffle.
+
+    Placement goes by an integer hash of the cell: windows over floating-point keys compare normalised
+    values and would not accept a placement by the plain coordinates. The hash only places rows,
+    coordinates still decide the groups.
+    """
+    return grid.withColumn("cell", F.xxhash64(*CELL)).repartition("cell")
+
+
+def cell_window(grid, *more):
+    """Window over a cell, in the partitions of ``by_cell`` where that was called."""
+    return Window.partitionBy(*[c for c in ("cell", *CELL) if c in grid.columns], *more)
 
 
 def day_of_year_climatology(grid, value, out):
@@ -34,7 +44,7 @@ def day_of_year_climatology(grid, value, out):
 
 def with_anomaly(grid, value, anomaly, climatology=None):
     """Value minus its day-of-year mean in the cell."""
-    w = Window.partitionBy(*CELL, F.dayofyear("time"))
+    w = cell_window(grid, F.dayofyear("time"))
     mean = F.avg(value).over(w)
     if climatology:
         grid = grid.withColumn(climatology, mean)
@@ -60,8 +70,8 @@ def seasonal_threshold(grid, value, q=0.9, half_window=5):
 
 
 def with_intensity(grid, value, q=0.9, out="intensity"):
-    """Value minus its cell's quantile, in the partitions of ``by_cell``."""
-    return grid.withColumn(out, F.col(value) - F.percentile(value, q).over(Window.partitionBy(*CELL)))
+    """Value minus its cell's quantile."""
+    return grid.withColumn(out, F.col(value) - F.percentile(value, q).over(cell_window(grid)))
 
 
 def intensity_against(grid, thresholds, value, out="intensity"):

@@ -24,43 +24,68 @@ def in_basins(df, lat="lat", lon="lon"):
 
 def basin_heatwaves(anomaly_grid, value="sst_anomaly"):
     """Heatwave days and peak intensity per basin, each cell against its own quantile."""
-    intensity = grid.with_intensity(grid.by_cell(anomaly_grid), value)
-    daily = grid.daily_heatwave_metrics(in_basins(intensity), keys=["basin"], keep_empty=True)
+    daily = grid.daily_heatwave_metrics(
+        in_basins(grid.with_intensity(anomaly_grid, value)), keys=["basin"], keep_empty=True
+    )
     flagged = series.with_persistence(daily, keys=["basin"])
-    peak = in_basins(intensity).groupBy("basin").agg(F.max("intensity").alias("peak"))
-    days = flagged.groupBy("basin").agg(F.count_if(F.col("is_mhw")).alias("mhw_days"))
-    return days.join(peak, "basin", "left").select(
-        "basin", "mhw_days", F.round("peak", 3).alias("peak_mhw_intensity")
+    peak = F.max(F.when(F.col("frac_mhw").isNotNull(), F.col("max_intensity")))
+    return flagged.groupBy("basin").agg(
+        F.count_if(F.col("is_mhw")).alias("mhw_days"), F.round(peak, 3).alias("peak_mhw_intensity")
     )
 
 
+def basin_heatwaves_of(sst):
+    """``basin_heatwaves`` from the plain grid: anomaly and quantile share one placement by cell."""
+    return basin_heatwaves(grid.with_anomaly(grid.by_cell(sst), "sst", "sst_anomaly"))
+
+
+MEASURES = ["sst_argo", "mld", "ohc_700m", "confidence"]
+
+
+def basin_months(profiles):
+    """Sums and counts per basin and month: the one pass over the profiles that all metrics use."""
+    return in_basins(profiles).groupBy("basin", series.month_end("time").alias("month_end")).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(c).alias(f"{c}_sum") for c in MEASURES],
+        *[F.count(c).alias(f"{c}_n") for c in MEASURES],
+    )
+
+
+def mean_of(column):
+    return F.try_divide(F.sum(f"{column}_sum"), F.sum(f"{column}_n"))
+
+
 def basin_trends(profiles, min_months=4):
-    monthly = series.resample_month(
-        in_basins(profiles).where(F.col("time").isNotNull() & F.col("sst_argo").isNotNull()),
-        ["sst_argo"], "time", ["basin"],
+    return month_trends(basin_months(profiles), min_months)
+
+
+def month_trends(months, min_months=4):
+    monthly = months.where(F.col("month_end").isNotNull() & (F.col("sst_argo_n") > 0)).withColumn(
+        "sst", F.col("sst_argo_sum") / F.col("sst_argo_n")
     )
-    return series.linear_trend(monthly, "sst_argo", "month_end", ["basin"], min_months).select(
+    return series.linear_trend(monthly, "sst", "month_end", ["basin"], min_months).select(
         "basin", F.round("slope_per_year", 4).alias("sst_trend_per_yr")
     )
 
 
 def basin_metrics(spark, profiles, anomaly_grid):
     """One row per basin; basins without profiles keep their row with a count of 0."""
-    placed = in_basins(profiles)
-    means = placed.groupBy("basin").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("sst_argo"), 3).alias("mean_sst"),
-        F.round(F.avg("mld"), 2).alias("mean_mld"),
-        round_significant(F.avg("ohc_700m"), 4).alias("mean_ohc_700m"),
-        F.round(F.avg("confidence"), 3).alias("mean_confidence"),
+    months = basin_months(profiles)
+    means = months.groupBy("basin").agg(
+        F.sum("n").alias("n"),
+        F.round(mean_of("sst_argo"), 3).alias("mean_sst"),
+        F.round(mean_of("mld"), 2).alias("mean_mld"),
+        round_significant(mean_of("ohc_700m"), 4).alias("mean_ohc_700m"),
+        F.round(mean_of("confidence"), 3).alias("mean_confidence"),
+    )
+    by_month = months.where("month_end is not null").groupBy("basin", F.month("month_end").alias("month")).agg(
+        mean_of("sst_argo").alias("m")
     )
-    by_month = placed.groupBy("basin", F.month("time").alias("month")).agg(F.avg("sst_argo").alias("m"))
-    season = by_month.where("month is not null").groupBy("basin").agg(
+    season = by_month.groupBy("basin").agg(
         F.when(F.count("m") >= 6, F.round(F.max("m") - F.min("m"), 3)).alias("sst_seasonal_range")
     )
-    heat = basin_heatwaves(anomaly_grid)
     table = box_table(spark)
-    for part in (means, season, basin_trends(profiles), heat):
+    for part in (means, season, month_trends(months), basin_heatwaves(anomaly_grid)):
         table = table.join(part, "basin", "left")
     n = F.coalesce("n", F.lit(0))
     only_sampled = {

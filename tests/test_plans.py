@@ -2,7 +2,7 @@
 
 import re
 
-from halocline.operators import detect, profiles, quantiles
+from halocline.operators import detect, profiles, quantiles, regions
 from halocline.sources.driver_tables import mapped
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -16,16 +16,23 @@ def test_profile_measures_combine_before_the_shuffle(spark):
     text = plan(profiles.profile_measures(profiles.valid_levels(mapped(spark, SF_DIR, "levels"))))
     assert text.count("Exchange hashpartitioning") == 2
     assert "SortAggregate(key=[dac#" not in text.split("Exchange hashpartitioning(dac")[-1]
-    read = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
+    read = re.search(r"FileScan parquet \[([^\]]*)\]", text).group(1)
     assert "l_shipdate" not in read and "l_extendedprice" not in read
 
 
 def test_heatwave_days_shuffle_the_grid_once_by_cell(spark):
     text = plan(detect.heatwave_days(mapped(spark, SF_DIR, "grid"), mapped(spark, SF_DIR, "indices")))
-    assert len(re.findall(r"Exchange hashpartitioning\(lat#\d+, lon#\d+", text)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(knownfloating\w+\(normalizenanandzero\(lat#", text)) == 1
+    assert "REPARTITION_BY_COL" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def test_quantiles_use_no_global_group(spark):
     text = plan(quantiles.exact_quantiles(mapped(spark, SF_DIR, "grid"), "sst", [0.5], ["lat"]))
     assert "CartesianProduct" not in text and "percentile(" not in text
+
+
+def test_anomaly_and_quantile_share_one_placement(spark):
+    text = plan(regions.basin_heatwaves_of(mapped(spark, SF_DIR, "grid")))
+    by_cell = [line for line in text.splitlines() if "Exchange hashpartitioning(cell" in line]
+    assert len(by_cell) == 1 and len(re.findall(r"Exchange hashpartitioning\(.*lat#", text)) == 0

@@ -303,7 +303,8 @@ SUMMARY = "is_active category# category_label mean_intensity~4 coverage_pct~4 da
  (SELECT count(*) AS n_profiles, avg(sst_argo) AS mean_sst, median(mld) AS median_mld, avg(ohc_700m) / 1e6 AS mean_ohc FROM t_recent) r,
  (SELECT count(*) FILTER (WHERE rapid_sst_rise) AS sst_rises_30d, count(*) FILTER (WHERE rapid_sst_drop) AS sst_drops_30d FROM t_rapid WHERE date >= (SELECT max(date) FROM t_rapid) - 30) q""")
 def _(m):
-    row = views.dashboard_summary(frames.mhw(m), m("grid"), m("indices"), frames.unc(m), frames.trends(m), frames.rapid(m))
+    days, p, trend, rapid = frames.results(m)
+    row = views.dashboard_summary(days, m("grid"), m("indices"), p, trend, rapid)
     return row.select("mhw.*", "climate_indices.*", "argo.*", "trends.*", "rapid_changes.*").withColumn("mean_ohc", F.col("mean_ohc") / 1e6)
 
 
@@ -428,7 +429,8 @@ def _(m):
  UNION ALL SELECT 20 + CASE variable WHEN 'SST anomaly' THEN 1 WHEN 'OHC_700m' THEN 2 WHEN 'MLD' THEN 3 ELSE 4 END, printf('Trend - %s: %+.4f/year (R2=%.3f)', variable, slope_per_year, r2) FROM t_trends WHERE variable <> 'OHC_700m'
  UNION ALL SELECT 30, printf('Recent profiles (last 90 days): %d', count(*)) FROM t_recent UNION ALL SELECT 31, printf('Mean surface temperature: %.2fC', avg(sst_argo)) FROM t_recent UNION ALL SELECT 32, printf('Mean mixed layer depth: %.1f m', avg(mld)) FROM t_recent""")
 def _(m):
-    lines = views.context_lines(frames.mhw(m), m("indices"), frames.trends(m), frames.argo(m))
+    days, p, trend, _ = frames.results(m)
+    lines = views.context_lines(days, m("indices"), trend, p)
     return lines.where("line_no <> 22")
 
 

@@ -2,6 +2,8 @@
 
 from halocline.operators import detect, events, fields, profiles, seasonal
 from halocline.plans import heatwave, views
+from halocline.session import shared_dir
+from halocline.sources import sinks, tables
 
 
 def days(m):
@@ -42,3 +44,17 @@ def sst(m):
 
 def strat(m):
     return seasonal.stratification_months(unc(m), m("indices"))
+
+
+def stored(m, df):
+    """The table written once and read back, as the views read finished results."""
+    path = shared_dir(m.spark, "stored")
+    sinks.write_result(df, path)
+    return tables.read_result(m.spark, path)
+
+
+def results(m):
+    """The stored results a summary view reads."""
+    p = stored(m, unc(m))
+    trend = stored(m, views.trends_view(m("grid"), m("surface"), p))
+    return stored(m, mhw(m)), p, trend, stored(m, rapid(m))

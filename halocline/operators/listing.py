@@ -125,7 +125,14 @@ def top_sample(df, keys, n):
 
 def first_match(trends, keyword, value="slope_per_year"):
     """The value of the first variable whose name holds the keyword, else 0."""
+    return trends.agg(_first_value(keyword, value).alias("value"))
+
+
+def first_matches(trends, keywords, value="slope_per_year"):
+    """``first_match`` for several keywords in one pass, one column per output name."""
+    return trends.agg(*[_first_value(k, value).alias(name) for name, k in keywords.items()])
+
+
+def _first_value(keyword, value):
     hit = F.contains(F.lower("variable"), F.lit(keyword.lower()))
-    return trends.agg(
-        F.coalesce(F.min_by(F.when(hit, F.col(value)), F.when(hit, F.col("variable"))), F.lit(0.0)).alias("value")
-    )
+    return F.coalesce(F.min_by(F.when(hit, F.col(value)), F.when(hit, F.col("variable"))), F.lit(0.0))

@@ -108,20 +108,22 @@ def safe_corr(x, y):
 
 
 def lagged_correlation(df, drivers, targets, max_lag=90, step=15, time="date"):
-    """Correlation of lagged drivers with targets in one pass; missing results are 0."""
+    """Correlation of lagged drivers with targets; missing results are 0.
+
+    Each row becomes one row per driver and lag, so the pairs spread over tasks as groups.
+    """
     lags = range(0, max_lag + 1, step)
     w = Window.orderBy(time)
     shifted = df.select(*targets, *[F.lag(d, k).over(w).alias(f"{d}_{k}") for d in drivers for k in lags])
-    cells = [
-        F.struct(
-            F.lit(d).alias("driver"),
-            F.lit(k).alias("lag_days"),
-            *[F.round(F.coalesce(safe_corr(F.col(f"{d}_{k}"), F.col(t)), F.lit(0.0)), 3).alias(t) for t in targets],
-        )
+    pairs = F.array(*[
+        F.struct(F.lit(d).alias("driver"), F.lit(k).alias("lag_days"), F.col(f"{d}_{k}").alias("x"))
         for d in drivers
         for k in lags
-    ]
-    return shifted.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    ])
+    long = shifted.select(*targets, F.inline(pairs))
+    return long.groupBy("driver", "lag_days").agg(
+        *[F.round(F.coalesce(safe_corr(F.col("x"), F.col(t)), F.lit(0.0)), 3).alias(t) for t in targets]
+    )
 
 
 def correlation_matrix(df, columns):

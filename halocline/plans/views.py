@@ -51,9 +51,7 @@ def dashboard_summary(days, sst, indices, profiles, trends, rapid):
     def one(df):
         return df.select(F.struct("*").alias("s")).scalar()
 
-    def slope(word):
-        return listing.first_match(trends, word).select(finite_or(F.col("value"), 0.0)).scalar()
-
+    slopes = listing.first_matches(trends, {"sst_slope": "sst", "ohc_slope": "ohc", "mld_slope": "mld"})
     row = heatwave_status(days).select(F.struct("*").alias("mhw"))
     return row.withColumns({"_a": argo, "_sst": grid_sst}).select(
         "mhw",
@@ -65,9 +63,7 @@ def dashboard_summary(days, sst, indices, profiles, trends, rapid):
             F.col("_a.mean_ohc").alias("mean_ohc"),
             confidence.alias("mean_confidence"),
         ).alias("argo"),
-        F.struct(
-            slope("sst").alias("sst_slope"), slope("ohc").alias("ohc_slope"), slope("mld").alias("mld_slope")
-        ).alias("trends"),
+        one(slopes.select(*[finite_or(F.col(c), 0.0).alias(c) for c in slopes.columns])).alias("trends"),
         one(sampling.recent_rapid_counts(rapid)).alias("rapid_changes"),
     )
 

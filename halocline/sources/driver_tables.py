@@ -11,14 +11,14 @@ LON = "CAST(40 + 15 * (l_partkey % 5) AS DOUBLE)"
 DAC = "CONCAT('dac', CAST(l_partkey % 8 AS VARCHAR(4)))"
 # Unique up to rows whose level values are equal: order, line, then discount and tax in cents.
 LEVEL = (
-    "(l_orderkey * 8 + l_linenumber) * 10000 + CAST(round(l_discount * 100) AS BIGINT) * 100"
-    " + CAST(round(l_tax * 100) AS BIGINT)"
+    "(l_orderkey * 8 + l_linenumber) * 10000 + CAST(floor(l_discount * 100 + 0.5E0) AS BIGINT) * 100"
+    " + CAST(floor(l_tax * 100 + 0.5E0) AS BIGINT)"
 )
 PRES = "CASE WHEN l_quantity = 50 THEN 99999.0E0 ELSE l_quantity * 16.0E0 END"
-TEMP = "round(28.0E0 - l_quantity * 0.4E0 + l_discount * 5.0E0, 4)"
+TEMP = "floor((28.0E0 - l_quantity * 0.4E0 + l_discount * 5.0E0) * 10000 + 0.5E0) / 10000"
 PSAL = (
     "CASE WHEN l_linenumber = 7 AND l_tax > 0.075 THEN 99999.0E0"
-    " ELSE round(34.0E0 + l_quantity * 0.02E0 + l_tax * 2.0E0, 4) END"
+    " ELSE floor((34.0E0 + l_quantity * 0.02E0 + l_tax * 2.0E0) * 10000 + 0.5E0) / 10000 END"
 )
 
 MAPPINGS = {

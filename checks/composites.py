@@ -10,7 +10,7 @@ from halocline.streaming import incremental, persistence
 
 from . import frames
 from .common import TABLES, query
-from .relations import BASIN_COLUMNS, CLIMATE, EVENT, basin_rows, yearly  # noqa: F401
+from .relations import BASIN_COLUMNS, EVENT, basin_rows, yearly
 
 ID = "dac profile_idx "
 
@@ -263,8 +263,9 @@ def _(m):
     return seasonal.seasonal_wide(seasonal.seasonal_climatology(frames.unc(m))).withColumn("ohc_mean", F.col("ohc_mean") / 1e6)
 
 
-TABLES["t_direct"] = """SELECT month(time) AS month, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][month(time)] AS month_name, round(avg(sst_argo), 5) AS sst_mean, round(stddev_samp(sst_argo), 5) AS sst_std,
- round(avg(mld), 5) AS mld_mean, avg(ohc_700m) / 1e6 AS ohc_mean FROM t_argo GROUP BY 1, 2"""
+TABLES["t_direct"] = """SELECT k AS month, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][k] AS month_name, coalesce(round(avg(sst_argo), 5), 0) AS sst_mean,
+ coalesce(round(stddev_samp(sst_argo), 5), 0) AS sst_std, coalesce(round(avg(mld), 5), 0) AS mld_mean, coalesce(avg(ohc_700m) / 1e6, 0) AS ohc_mean
+ FROM range(1, 13) AS r(k) LEFT JOIN t_argo ON month(time) = k GROUP BY 1, 2"""
 
 
 @query("R2_seasonal_direct", "month# month_name sst_mean~4 sst_std~4 mld_mean~4 ohc_mean~3", "SELECT * FROM t_direct")
@@ -366,7 +367,7 @@ def _(m):
     return views.heatwave_series(frames.days(m).withColumn("mean_intensity", F.col("mean_intensity") + F.lit(2.37e-7)))
 
 
-@query("Q9_trends", "variable r2~4 trend_confidence~3 direction", "SELECT CASE variable WHEN 'SST anomaly' THEN 'sst' WHEN 'OHC_700m' THEN 'ohc_700m' WHEN 'MLD' THEN 'mld' ELSE 'qnet' END AS variable, r2, greatest(0, least(1, r2)) AS trend_confidence, CASE WHEN slope_per_year * 10 > 0.001 THEN 'rising' WHEN slope_per_year * 10 < -0.001 THEN 'falling' ELSE 'stable' END AS direction FROM t_trends")
+@query("Q9_trends", "variable r2~4 trend_confidence~3 direction", "SELECT CASE variable WHEN 'SST anomaly' THEN 'sst' WHEN 'OHC_700m' THEN 'ohc_700m' WHEN 'MLD' THEN 'mld' ELSE 'qnet' END AS variable, round(r2, 5) AS r2, round(greatest(0, least(1, round(r2, 5))), 4) AS trend_confidence, CASE WHEN slope_per_year * 10 > 0.001 THEN 'rising' WHEN slope_per_year * 10 < -0.001 THEN 'falling' ELSE 'stable' END AS direction FROM t_trends")
 def _(m):
     return views.trend_rows(frames.trends(m))
 
@@ -468,9 +469,9 @@ def _(m):
 @query("ST3_merge_stream", "date$ n# total~2", "SELECT CAST(ts AS DATE) AS date, count(*) AS n, sum(value) AS total FROM events GROUP BY 1")
 def _(m):
     target, checkpoint = shared_dir(m.spark, "merged"), shared_dir(m.spark, "merge-checkpoint")
-    arrivals(m, lambda stream: incremental.merge_stream(stream, target, checkpoint))
+    arrivals(m, lambda stream: incremental.merge_stream(stream, target, checkpoint, "date"))
     again = m("observations").withColumn("date", F.to_date("time")).where("date >= DATE '2024-01-20'")
-    incremental.write_batch(again, 99, target)
+    incremental.write_batch(again, 99, target, "date")
     return incremental.read_merged(m.spark, target).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("sst").alias("total"))
 
 
@@ -501,7 +502,7 @@ TABLES["t_closed"] = CLOSED
 def closed_days(m):
     target, checkpoint = shared_dir(m.spark, "closed"), shared_dir(m.spark, "closed-checkpoint")
     thresholds = shared_dir(m.spark, "thresholds")
-    sinks.write_result(grid.cell_threshold(m("observations"), "sst"), thresholds)
+    sinks.write_result(grid.observation_threshold(m("observations"), "sst"), thresholds)
     frozen = m.spark.read.parquet(thresholds)
 
     def run(stream):

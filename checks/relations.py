@@ -8,12 +8,13 @@ from halocline.plans import views
 
 from . import frames
 from .common import TABLES, query
+from .tables import ENSO, IOD, PDO
 
 CELL = "time$ lat lon "
 CLIMATE = "date$ enso~ dmi~ pdo~ enso_phase iod_phase pdo_phase"
 
 
-@query("J1_climate_context", CLIMATE, "SELECT * FROM t_days")
+@query("J1_climate_context", CLIMATE, f"SELECT *, {ENSO} AS enso_phase, {IOD} AS iod_phase, {PDO} AS pdo_phase FROM t_griddays LEFT JOIN t_idx USING (date)")
 def _(m):
     return context.with_climate(m("grid").select(F.col("time").alias("date")).distinct(), m("indices"))
 

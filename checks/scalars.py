@@ -86,7 +86,7 @@ def _(m):
 
 TREND_ROWS = """SELECT CASE variable WHEN 'SST anomaly' THEN 'sst' WHEN 'OHC_700m' THEN 'ohc_700m' WHEN 'MLD' THEN 'mld' ELSE 'qnet' END AS variable,
  CASE WHEN variable = 'OHC_700m' THEN round(slope_per_year, 5) * 10 / 1e6 ELSE round(slope_per_year, 5) * 10 END AS slope_per_decade,
- r2, greatest(0, least(1, r2)) AS trend_confidence, 0.05E0 AS p_value,
+ round(r2, 5) AS r2, round(greatest(0, least(1, round(r2, 5))), 4) AS trend_confidence, 0.05E0 AS p_value,
  CASE WHEN slope_per_year * 10 > 0.001 THEN 'rising' WHEN slope_per_year * 10 < -0.001 THEN 'falling' ELSE 'stable' END AS direction FROM t_trends"""
 
 

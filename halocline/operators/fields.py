@@ -45,7 +45,7 @@ def stress_vectors(stress, step=0, stride=1):
     position = F.lit(step + 1) if step >= 0 else F.lit(step)
     one = stress.where(F.col("time") == G.axis(stress, "time", lambda times: F.element_at(times, position)))
     mag = F.col("tau_mag")
-    return G.spatial_stride(one, stride).select(
+    return G.spatial_stride(one, stride, stress).select(
         "time", "lat", "lon", "tau_mag",
         P.unit_component(F.col("tau_x"), mag).alias("ux"),
         P.unit_component(F.col("tau_y"), mag).alias("uy"),

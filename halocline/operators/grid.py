@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.labels import heatwave_category
-from ..functions.numeric import clip
+from .quantiles import exact_quantiles
 
 CELL = ["lat", "lon"]
 
@@ -52,23 +52,18 @@ def with_anomaly(grid, value, anomaly, climatology=None):
     return grid.withColumn(anomaly, F.col(value) - mean)
 
 
+def observation_threshold(observations, value, q=0.9):
+    """``cell_threshold`` for loose observations, of which one cell may hold any number."""
+    rows = exact_quantiles(observations, value, [q], CELL)
+    return rows.select(*CELL, F.col("quantile").alias("threshold"))
+
+
 def cell_threshold(grid, value, q=0.9, approximate=False, accuracy=10000):
-    """One quantile per cell over the whole record."""
+    """One quantile per cell over the whole record; a cell of a grid has one row per time step."""
     quantile = F.percentile_approx(value, q, accuracy) if approximate else F.percentile(value, q)
     return grid.groupBy(*CELL).agg(quantile.alias("threshold"))
 
 
-def seasonal_threshold(grid, value, q=0.9, half_window=5):
-    """One quantile per cell and day of year over the days around it, with wrap at the year's end."""
-    days = F.transform(
-        F.sequence(F.lit(-half_window), F.lit(half_window)),
-        lambda k: F.pmod(F.dayofyear("time") - 1 + k, F.lit(366)) + 1,
-    )
-    return grid.withColumn("doy", F.explode(days)).groupBy(*CELL, "doy").agg(
-        F.percentile(value, q).alias("threshold")
-    )
-
-
 def with_intensity(grid, value, q=0.9, out="intensity"):
     """Value minus its cell's quantile."""
     return grid.withColumn(out, F.col(value) - F.percentile(value, q).over(cell_window(grid)))
@@ -134,11 +129,12 @@ def every_kth(k):
     return lambda values: F.filter(values, lambda _, i: i % k == 0)
 
 
-def spatial_stride(df, k, lat="lat", lon="lon"):
-    """Every k-th latitude and longitude of the grid's own axes."""
+def spatial_stride(df, k, axes=None):
+    """Every k-th latitude and longitude of the axes of ``axes``, the whole grid if ``df`` is a part."""
+    whole = df if axes is None else axes
     return df.where(
-        F.array_contains(axis(df, lat, every_kth(k)), F.col(lat))
-        & F.array_contains(axis(df, lon, every_kth(k)), F.col(lon))
+        F.array_contains(axis(whole, "lat", every_kth(k)), F.col("lat"))
+        & F.array_contains(axis(whole, "lon", every_kth(k)), F.col("lon"))
     )
 
 
@@ -179,9 +175,9 @@ def at_time(df, target=None, time="time"):
     return df.where(F.col(time) == chosen)
 
 
-def heatmap_points(grid, target=None, stride=4, value="sst", anomaly="sst_anomaly"):
+def heatmap_points(grid, target=None, stride=4, value="sst", anomaly="sst_anomaly", axes=None):
     """Points of one day with anomaly; where it is missing, the value minus a fixed mean."""
-    day = spatial_stride(at_time(grid, target), stride).where(F.col(value).isNotNull())
+    day = spatial_stride(at_time(grid, target), stride, grid if axes is None else axes).where(F.col(value).isNotNull())
     fallback = F.col(value) - F.lit(K.SST_FALLBACK_MEAN)
     return day.select(
         "time",
@@ -284,7 +280,3 @@ def grid_uncertainty(sst, qnet, wind, sla, samples=30):
 
 def in_box(df, lat_range=K.STUDY_LAT, lon_range=K.STUDY_LON, lat="lat", lon="lon"):
     return df.where(F.col(lat).between(*lat_range) & F.col(lon).between(*lon_range))
-
-
-def clipped(df, column, low, high):
-    return df.withColumn(column, clip(F.col(column), low, high))

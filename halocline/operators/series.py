@@ -140,21 +140,16 @@ def correlation_matrix(df, columns):
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def with_ordinal(df, value, time, keys=(), calendar_x=False):
-    """Position of each non-missing row; ``calendar_x`` counts months instead of rows."""
+def with_ordinal(df, value, time, keys=()):
+    """Position of each non-missing row."""
     kept = df.where(F.col(value).isNotNull())
-    w = ordered(keys, time)
-    if calendar_x:
-        x = F.months_between(F.trunc(time, "month"), F.trunc(F.first(time).over(w), "month"))
-    else:
-        x = F.row_number().over(w) - 1
-    return kept.withColumn("x", x.cast("double"))
+    return kept.withColumn("x", (F.row_number().over(ordered(keys, time)) - 1).cast("double"))
 
 
-def linear_trend(df, value, time, keys=(), min_rows=6, steps_per_year=12, flat_r2=0.0, calendar_x=False):
+def linear_trend(df, value, time, keys=(), min_rows=6, steps_per_year=12, flat_r2=0.0):
     """Least squares over the row ordinal, per key. Short series give NULL, constant ones slope 0."""
     y = F.col(value)
-    fit = with_ordinal(df, value, time, keys, calendar_x).groupBy(*keys).agg(
+    fit = with_ordinal(df, value, time, keys).groupBy(*keys).agg(
         F.count(y).alias("n"),
         F.regr_slope(y, F.col("x")).alias("slope"),
         F.regr_intercept(y, F.col("x")).alias("intercept"),

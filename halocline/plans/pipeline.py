@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import detect, events, fields, forecast, grid, profiles as V, regions, sampling, seasonal
+from ..session import size_shuffles
 from ..sources import sinks
 
 
@@ -54,8 +55,10 @@ def run_analysis(base, indices, physics, detected, certain):
     return out
 
 
-def run_all(base, sst, surface, sla, levels, heads, indices):
-    """All products in order; returns every table."""
+def run_all(base, sst, surface, sla, levels, heads, indices, input_bytes=None):
+    """All products in order; returns every table. ``input_bytes`` sizes the shuffles of the run."""
+    if input_bytes:
+        size_shuffles(sst.sparkSession, input_bytes)
     physics = run_physics(base, sst, surface, levels, heads)
     detected = run_detection(base, sst, indices, physics)
     certain = run_uncertainty(base, sst, sla, physics)

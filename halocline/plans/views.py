@@ -190,7 +190,7 @@ def heat_content_anomaly(yearly):
 
 
 def anomaly_frames(sst, frames=24, stride=4):
-    return grid.spatial_stride(grid.time_stride(fields.sst_dataset(sst), frames), stride).select(
+    return grid.spatial_stride(grid.time_stride(fields.sst_dataset(sst), frames), stride, sst).select(
         "time", "lat", "lon", "sst_anomaly"
     )
 

@@ -27,6 +27,13 @@ def build_session(app_name="halocline", master=None, extra=None):
     return builder.getOrCreate()
 
 
+def size_shuffles(spark, input_bytes, partition_bytes=128 * 1024 * 1024):
+    """Enough shuffle partitions for an input size; adaptive execution joins those that stay small."""
+    wanted = -(-int(input_bytes) // partition_bytes)
+    now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(now, wanted)))
+
+
 def shared_dir(spark, purpose):
     """A new folder for written tables and stream checkpoints.
 

@@ -47,14 +47,20 @@ def append_profiles(spark, source, target, checkpoint, schema, file_format="csv"
     process_available(dated, target, checkpoint)
 
 
-def write_batch(batch, batch_id, target):
-    """One micro-batch as its own folder; a repeated batch replaces itself."""
-    batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+def write_batch(batch, batch_id, target, date):
+    """One micro-batch as its own folder, and its first date in a small table beside it.
 
+    A repeated batch replaces itself.
+    """
+    rows, firsts = f"{target}/rows/batch_id={batch_id}", f"{target}/firsts/batch_id={batch_id}"
+    batch.write.mode("overwrite").parquet(rows)
+    stored = batch.sparkSession.read.schema(batch.schema).parquet(rows)
+    stored.agg(F.min(date).alias("first")).write.mode("overwrite").parquet(firsts)
 
-def merge_stream(stream, target, checkpoint):
+
+def merge_stream(stream, target, checkpoint, date):
     query = (
-        stream.writeStream.foreachBatch(lambda df, i: write_batch(df, i, target))
+        stream.writeStream.foreachBatch(lambda df, i: write_batch(df, i, target, date))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -63,13 +69,16 @@ def merge_stream(stream, target, checkpoint):
 
 
 def read_merged(spark, target, date="date"):
-    """The merged table: a batch keeps its rows before the first date of every later batch."""
-    rows = spark.read.parquet(target)
-    firsts = rows.groupBy("batch_id").agg(F.min(date).alias("first"))
+    """The merged table: a batch keeps its rows before the first date of every later batch.
+
+    One row per batch decides; as a stored table its size is known and Spark broadcasts it while small.
+    """
     later = Window.orderBy("batch_id").rowsBetween(1, Window.unboundedFollowing)
+    firsts = spark.read.parquet(f"{target}/firsts")
     limits = firsts.select("batch_id", F.min("first").over(later).alias("limit"))
     return (
-        rows.join(limits, "batch_id")
+        spark.read.parquet(f"{target}/rows")
+        .join(limits, "batch_id")
         .where(F.col("limit").isNull() | (F.col(date) < F.col("limit")))
         .drop("limit", "batch_id")
     )

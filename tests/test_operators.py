@@ -237,3 +237,36 @@ def test_lagged_correlation_of_constant_is_zero(spark):
     rows = [(DAY + dt.timedelta(days=i), 1.0, float(i % 5)) for i in range(40)]
     df = spark.createDataFrame(rows, "date date, enso double, m double")
     assert {r["m"] for r in series.lagged_correlation(df, ["enso"], ["m"]).collect()} == {0.0}
+
+
+def test_keyed_sample_is_the_same_on_every_layout(spark):
+    from halocline.operators import listing
+
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    hashed = sorted((r["h"], r["k"]) for r in df.select("k", F.xxhash64("k").alias("h")).collect())
+    want = {k for _, k in hashed[:40]}
+    for pieces in (1, 7):
+        assert {r["k"] for r in listing.top_sample(df.repartition(pieces), ["k"], 40).collect()} == want
+    assert listing.top_sample(df, ["k"], 1000).count() == 500
+
+
+def test_observation_threshold_equals_cell_threshold(spark):
+    rng = random.Random(1)
+    rows = [(float(rng.choice([0, 0, 0, 10])), 50.0, rng.random()) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "lat double, lon double, sst double")
+    a = {(r["lat"], r["lon"]): r["threshold"] for r in grid.observation_threshold(df, "sst").collect()}
+    b = {(r["lat"], r["lon"]): r["threshold"] for r in grid.cell_threshold(df, "sst").collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_running_persistence_drops_late_days(spark, tmp_path):
+    from halocline.streaming import incremental, persistence
+
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for shares in ([(0, 0.1), (1, 0.1), (2, 0.1)], [(1, 0.0), (3, 0.1), (4, 0.1)], [(5, 0.0), (6, 0.2)]):
+        rows = [("s", DAY + dt.timedelta(days=i), v) for i, v in shares]
+        spark.createDataFrame(rows, "series string, date date, frac_mhw double").write.mode("append").parquet(src)
+        stream = incremental.open_stream(spark, src)
+        incremental.process_available(persistence.with_running_persistence(stream), out, ck)
+    got = {r["date"]: r["is_mhw"] for r in spark.read.parquet(out).collect()}
+    assert got == {DAY + dt.timedelta(days=i): i == 4 for i in range(7)}

@@ -99,7 +99,7 @@ def _(m):
     return rows.withColumn("slope_per_decade", F.when(big, F.col("slope_per_decade") / 1e6).otherwise(F.col("slope_per_decade")))
 
 
-@query("P13_finite_or_default", "event_id value_text", """SELECT event_id, CAST(CASE WHEN event_id % 5 = 0 THEN -1.0 ELSE value END AS DECIMAL(18, 2)) AS value_text FROM events""")
+@query("P13_finite_or_default", "event_id value_text$", """SELECT event_id, CAST(CASE WHEN event_id % 5 = 0 THEN -1.0 ELSE value END AS DECIMAL(18, 2)) AS value_text FROM events""")
 def _(m):
     raw = m.raw("events")
     dirty = F.when(F.col("event_id") % 10 == 0, "n/a").when(F.col("event_id") % 5 == 0, "NaN").otherwise(F.col("value").cast("string"))

@@ -125,16 +125,14 @@ def date_range(df, time="time"):
     return df.agg(F.min(time).alias("min_date"), F.max(time).alias("max_date"))
 
 
-def every_kth(k):
-    return lambda values: F.filter(values, lambda _, i: i % k == 0)
-
-
 def spatial_stride(df, k, axes=None):
     """Every k-th latitude and longitude of the axes of ``axes``, the whole grid if ``df`` is a part."""
-    whole = df if axes is None else axes
-    return df.where(
-        F.array_contains(axis(whole, "lat", every_kth(k)), F.col("lat"))
-        & F.array_contains(axis(whole, "lon", every_kth(k)), F.col("lon"))
+    both = (df if axes is None else axes).agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in CELL])
+    kept = both.select(F.struct(*[F.filter(c, lambda _, i: i % k == 0).alias(c) for c in CELL])).scalar()
+    return (
+        df.withColumn("_kept", kept)
+        .where(F.array_contains("_kept.lat", F.col("lat")) & F.array_contains("_kept.lon", F.col("lon")))
+        .drop("_kept")
     )
 
 

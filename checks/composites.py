@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from halocline.operators import detect, events, fields, forecast, grid, listing, profiles, regions, seasonal, series
 from halocline.plans import pipeline, views
 from halocline.session import shared_dir
-from halocline.sources import sinks
+from halocline.sources import sinks, tables
 from halocline.streaming import incremental, persistence
 
 from . import frames
@@ -216,10 +216,10 @@ TABLES["t_counts"] = """SELECT 'mhw_timeseries' AS product, (SELECT count(*) FRO
 
 @query("D9_run_all", "product n_rows#", "SELECT * FROM t_counts")
 def _(m):
-    tables = pipeline.run_all(
+    products = pipeline.run_all(
         shared_dir(m.spark, "products"), m("grid"), m("surface"), m("sla"), m("levels"), m("profiles"), m("indices")
     )
-    return pipeline.product_counts(tables)
+    return pipeline.product_counts(products)
 
 
 LISTED = "profile_id float_id time$ latitude~4 longitude~4 basin sst_argo~4 mld~4 confidence~4 sparse_flag"
@@ -330,8 +330,6 @@ def _(m):
 @query("Q4_profile_upload", "basin n#",
        """SELECT basin, count(*) AS n FROM (SELECT basin FROM t_norm0 UNION ALL SELECT basin FROM t_norm0 WHERE profile_idx % 7 <> 0) GROUP BY basin""")
 def _(m):
-    from halocline.sources import tables
-
     from .sources import upload_folder
 
     existing = m("profiles").withColumn("time", F.col("time").cast("timestamp"))
@@ -506,8 +504,8 @@ def closed_days(m):
     frozen = m.spark.read.parquet(thresholds)
 
     def run(stream):
-        timed = stream.withColumn("time", F.col("time").cast("timestamp"))
-        incremental.process_available(incremental.closed_days(timed, frozen), target, checkpoint)
+        days = incremental.closed_days(stream.withColumn("time", tables.utc_instant("time")), frozen)
+        incremental.process_available(days, target, checkpoint, state_partitions=4)
 
     arrivals(m, run)
     return target
@@ -526,5 +524,6 @@ def _(m):
     daily.repartitionByRange(1, "date").sortWithinPartitions("date").write.parquet(ordered)
     target = shared_dir(m.spark, "running")
     stream = incremental.open_stream(m.spark, ordered)
-    incremental.process_available(persistence.with_running_persistence(stream), target, shared_dir(m.spark, "running-checkpoint"))
+    running = persistence.with_running_persistence(stream)
+    incremental.process_available(running, target, shared_dir(m.spark, "running-checkpoint"), state_partitions=4)
     return m.spark.read.parquet(target)

@@ -89,6 +89,12 @@ def parse_time(df, column="time"):
     return df.withColumn(column, F.try_to_timestamp(F.col(column)))
 
 
+def utc_instant(column):
+    """A ``timestamp_ntz`` read as UTC, independent of the session's time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(column)))
+
+
 def decode_time(df, ns="juld", out="time"):
     return df.withColumn(out, decode_profile_time(F.col(ns)))
 

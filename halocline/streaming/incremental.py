@@ -25,18 +25,29 @@ def open_stream(spark, path, schema=None, file_format="parquet", options=None, f
     return reader.load(path)
 
 
-def process_available(stream, target, checkpoint, partition_by=()):
-    """Append everything not yet processed to ``target`` and commit it in the checkpoint."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy(*partition_by)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+def process_available(stream, target, checkpoint, partition_by=(), state_partitions=None):
+    """Append everything not yet processed to ``target`` and commit it in the checkpoint.
+
+    The first run of a stateful stream fixes the number of state partitions for good, so a stream with
+    little state (open days, one run length per series) names a small one.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", target)
+            .option("checkpointLocation", checkpoint)
+            .partitionBy(*partition_by)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 def append_profiles(spark, source, target, checkpoint, schema, file_format="csv"):
@@ -90,7 +101,10 @@ def drop_late(df, mark, time="time"):
 
 
 def closed_days(stream, thresholds, delay="1 day", value="sst"):
-    """Daily heatwave metrics of a stream against a frozen threshold table, one row per closed day."""
+    """Daily heatwave metrics of a stream against a frozen threshold table, one row per closed day.
+
+    Days are UTC days whatever the session's time zone; watermarks need instants, not ``timestamp_ntz``.
+    """
     x = F.col("intensity")
     hot = grid.intensity_against(stream.withWatermark("time", delay), thresholds, value)
     daily = hot.groupBy(F.window("time", "1 day").alias("w")).agg(
@@ -100,7 +114,7 @@ def closed_days(stream, thresholds, delay="1 day", value="sst"):
         F.max(x).alias("max_intensity"),
     )
     return daily.select(
-        F.to_date("w.start").alias("date"),
+        F.date_from_unix_date(F.floor(F.unix_seconds("w.start") / 86400).cast("int")).alias("date"),
         F.try_divide("n_above", "n_valid").alias("frac_mhw"),
         "mean_intensity",
         "max_intensity",

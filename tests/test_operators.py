@@ -270,3 +270,28 @@ def test_running_persistence_drops_late_days(spark, tmp_path):
         incremental.process_available(persistence.with_running_persistence(stream), out, ck)
     got = {r["date"]: r["is_mhw"] for r in spark.read.parquet(out).collect()}
     assert got == {DAY + dt.timedelta(days=i): i == 4 for i in range(7)}
+
+
+def test_orders_put_missing_values_last(spark):
+    from halocline.operators import listing, regions
+
+    basins = spark.createDataFrame([("a", 0.1), ("b", None), ("c", 0.3)], "basin string, sst_trend_per_yr double")
+    assert [r["basin"] for r in regions.rank_basins(basins).collect()] == ["c", "a", "b"]
+    rows = [(f"p{i}", dt.datetime(2020, 1, 1 + i % 4), None if i % 5 == 0 else float(i % 3)) for i in range(20)]
+    p = spark.createDataFrame(rows, "profile_id string, time timestamp, sst_argo double")
+    got = [r["profile_id"] for r in listing.order_profiles(p, "sst_desc").collect()]
+    want = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+    assert got == [r[0] for r in want]
+    newest = listing.order_profiles(p)
+    pages = [r["profile_id"] for k in (1, 2, 3) for r in listing.page(newest, k, 7).collect()]
+    assert pages == [r["profile_id"] for r in newest.collect()]
+    last = newest.offset(6).first()
+    after = [r["profile_id"] for r in listing.page_after(p, str(last["time"]), last["profile_id"], 7).collect()]
+    assert after == pages[7:14]
+
+
+def test_event_orders(spark):
+    rows = [(1, dt.date(2020, 1, 1), 5, 2.0), (2, dt.date(2020, 2, 1), 9, 1.0), (3, dt.date(2020, 3, 1), 7, 3.0)]
+    e = spark.createDataFrame(rows, "event_id int, start_date date, duration_days int, peak_intensity double")
+    order = {s: [r["event_id"] for r in events.order_events(e, s).collect()] for s in ("date", "intensity", "duration")}
+    assert order == {"date": [3, 2, 1], "intensity": [3, 1, 2], "duration": [2, 3, 1]}

@@ -1,8 +1,6 @@
 """The registered queries of the ten operators and of the pipeline."""
 
-from pyspark.sql import functions as F
-
-from halocline.llm import license_rules, multiset_hash
+from halocline.llm import license_rules, mixing, multiset_hash, vector_packing
 from halocline.llm.common import table
 
 QUERIES = {}
@@ -14,6 +12,23 @@ def query(fn):
     return fn
 
 
+def word_tokenizer():
+    """Place of the public tokenizer's file; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_source_mix(spark, sf_dir):
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_vector_packing(spark, sf_dir):
+    return vector_packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 @query
 def op9_license_scan(spark, sf_dir):
     return license_rules.license_summary(table(spark, sf_dir, "documents"))

@@ -17,12 +17,16 @@ which only blurs the likeness of texts beyond about 60,000 words.
 from pyspark.sql import Column, functions as F
 from pyspark.sql import Window as W
 
+from halocline.llm.common import stored
+
 EQUALITY, SKETCH = 4, 12
 LANES = EQUALITY + 1 + SKETCH
 MODULUS = 1 << 60
 COUNTERS = 1 | 1 << 15 | 1 << 30 | 1 << 45
 #: Buckets of 2**8 ids, and of 2**12 buckets, for the order of documents.
 BUCKET, UPPER = 8, 20
+#: Heads of buckets (25 bytes each) that are broadcast at most.
+SENT_HEADS = 1_000_000
 
 
 def paragraphs(text: Column) -> Column:
@@ -160,6 +164,10 @@ def with_next(docs, columns):
         F.when(F.col("_before").isNull(), F.col("_top._null")).otherwise(F.col("_null")).alias("_to_null"),
         F.coalesce("_before", "_top._last").alias("_to"),
     )
+    # two longs and two flags a bucket: sent to every task while they are few, else joined by shuffling
+    heads = stored(heads, "buckets")
+    if heads.count() <= SENT_HEADS:
+        heads = F.broadcast(heads)
     copies = (
         keyed.join(heads, ["_null", "_id"])
         .withColumns({"_copy": F.lit(True), "_in": F.col("_to"), "_in_null": F.col("_to_null")})

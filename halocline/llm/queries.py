@@ -1,6 +1,6 @@
 """The registered queries of the ten operators and of the pipeline."""
 
-from halocline.llm import license_rules, mixing, multiset_hash, quality_rules, vector_packing
+from halocline.llm import license_rules, mixing, multiset_hash, quality_rules, toxicity, vector_packing
 from halocline.llm.common import table
 
 QUERIES = {}
@@ -29,6 +29,11 @@ def op5_vector_packing(spark, sf_dir):
     return vector_packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+@query
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

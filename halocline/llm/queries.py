@@ -1,6 +1,6 @@
 """The registered queries of the ten operators and of the pipeline."""
 
-from halocline.llm import license_rules, mixing, multiset_hash, quality_rules, toxicity, vector_packing
+from halocline.llm import html_template, license_rules, mixing, multiset_hash, quality_rules, toxicity, vector_packing
 from halocline.llm.common import table
 
 QUERIES = {}
@@ -24,6 +24,11 @@ def op1_source_mix(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_html_template(spark, sf_dir):
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_vector_packing(spark, sf_dir):
     return vector_packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())

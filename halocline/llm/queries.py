@@ -1,6 +1,6 @@
 """The registered queries of the ten operators and of the pipeline."""
 
-from halocline.llm import html_template, license_rules, mixing, multiset_hash, quality_rules, toxicity, vector_packing
+from halocline.llm import cover_tree, html_template, license_rules, mixing, multiset_hash, quality_rules, toxicity, vector_packing
 from halocline.llm.common import table
 
 QUERIES = {}
@@ -39,11 +39,35 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op7_cover_tree(spark, sf_dir):
+    return cover_tree.top_scores(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+ORACLES["op7_cover_tree"] = """
+WITH v AS (
+    SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum([a[1] * a[2] FOR a IN [[q.w[i], c.w[i]] FOR i IN range(1, least(len(q.w), len(c.w)) + 1)]]) AS BIGINT) AS score
+    FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 @query
 def op9_license_scan(spark, sf_dir):
     return license_rules.license_summary(table(spark, sf_dir, "documents"))

@@ -3,7 +3,8 @@
 The lexicon has seed terms and terms learned from labelled rows: words and word beginnings ("stems") that
 toxic rows hold far more often than others. A word of a text is looked up exactly, by its stem, and else
 by an automaton of edit distance 1 (from five letters) or 2 (from eight) that runs down the trie of the
-lexicon; a misspelling keeps the first two or the last two letters. Misspellings that are ordinary words
+lexicon; a misspelling keeps the first or the last two letters
+(three from seven letters). Misspellings that are ordinary words
 of non-toxic rows do not count. Finds inside quotation marks or beside words of reporting weigh less, and
 those beside the second person weigh more. A logistic regression over the finds of a text gives the score.
 """
@@ -24,9 +25,11 @@ SEED_TERMS = (
 SEED_WEIGHT = 3.0
 #: Labelled rows of either label that are learned from, at most about; and entries of the lexicon.
 FIT_ROWS, MAX_TERMS = 15_000, 4_000
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7)
 #: A term must be in so many toxic rows, and its log-odds exceed zero by so many standard errors.
-LEAST_ROWS, LEAST_Z, LEAST_ODDS = 3, 3.5, 2.0
+LEAST_ROWS, LEAST_Z, LEAST_ODDS = 3, 3.5, 1.5
+#: Misspellings are looked for of seed terms and of learned ones as sure as this.
+SURE_Z = 5.0
 WINDOW = 5
 QUOTING = frozenset("said says say called calls quote quoted quotes wrote writes term word words phrase report reported".split())
 ADDRESS = frozenset("you your yours youre yourself u ur".split())
@@ -92,12 +95,19 @@ class Lexicon:
     terms: dict
     stems: dict = field(default_factory=dict)
     ordinary: frozenset = frozenset()
+    #: Terms that misspellings are looked for.
+    spelled: frozenset = frozenset(SEED_TERMS)
 
     def prepare(self):
-        whole = [(t, w) for t, w in self.terms.items() if len(t) >= 4 and not self._stem(t)]
-        self.trie = Trie(whole)
-        self.starts = {t[:2] for t, _ in whole}
-        self.ends = {t[-2:] for t, _ in whole}
+        self.trie = Trie((t, self.terms[t]) for t in sorted(self.spelled))
+        # beginnings and ends of two and three letters, with the lengths of words that may be near
+        self.edges = {
+            (end, part, n)
+            for t in self.spelled
+            for k in (2, 3)
+            for end, part in ((0, t[:k]), (1, t[-k:]))
+            for n in range(len(t) - 2, len(t) + 3)
+        }
         self.seen = {}
         return self
 
@@ -107,7 +117,9 @@ class Lexicon:
     def fuzzy(self, word):
         if len(word) < 5 or len(word) > 40 or word in self.ordinary:
             return None
-        if word[:2] not in self.starts and word[-2:] not in self.ends:
+        n = len(word)
+        k = 2 if n < 7 else 3
+        if (0, word[:k], n) not in self.edges and (1, word[-k:], n) not in self.edges:
             return None
         return self.trie.near(word, 1 if len(word) < 8 else 2)
 
@@ -189,12 +201,18 @@ def learn_lexicon(rows):
     terms = dict.fromkeys(SEED_TERMS, SEED_WEIGHT)
     terms |= {r["term"]: float(r["odds"]) for r in strong if not r["term"].endswith("*")}
     stems = {r["term"][:-1]: float(r["odds"]) for r in strong if r["term"].endswith("*")}
-    # stems of a word that alone explains them are that word
-    stems = {s: w for s, w in stems.items() if sum(t.startswith(s) for t in terms) != 1}
-    lexicon = Lexicon(terms, stems)
+    # a stem of one strong word alone is that word
+    firsts = {}
+    for t in terms:
+        for k in STEMS:
+            firsts[t[:k]] = firsts.get(t[:k], 0) + 1
+    stems = {s: w for s, w in stems.items() if firsts.get(s, 0) != 1 and not any(t.startswith(s) for t in SEED_TERMS)}
+    sure = {r["term"] for r in strong if r["z"] > SURE_Z and r["n0"] == 0 and not r["term"].endswith("*")}
+    spelled = frozenset(SEED_TERMS) | {t for t in sure if len(t) >= 5 and not any(t[:k] in stems for k in STEMS)}
+    lexicon = Lexicon(terms, stems, spelled=spelled)
     words = counts.where(~F.endswith("term", F.lit("*")) & (F.col("n0") > 0) & (F.col("n0") * ones >= F.col("n1") * zeros)).select("term")
     near = words.mapInArrow(lambda batches: _near_words(batches, lexicon), "term string")
-    return Lexicon(terms, stems, frozenset(r["term"] for r in near.collect()))
+    return Lexicon(terms, stems, frozenset(r["term"] for r in near.collect()), spelled)
 
 
 def _near_words(batches, lexicon):

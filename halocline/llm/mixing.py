@@ -158,16 +158,24 @@ def copies_of(documents, weights=(5, 2, 1), cap=3.0, seed=7, keep=("doc_id",)):
 
 
 def mixed(documents, weights=(5, 2, 1), cap=3.0, seed=7):
-    """The mix itself: the rows of ``documents``, each as often as it is taken, with the same columns."""
+    """The mix itself: the rows of ``documents``, each as often as it is taken, with the same columns.
+
+    Rows alike in every column share what they are taken.
+    """
     identity = F.xxhash64(*documents.columns).alias("_id")
-    rows = documents.select("source", "text", identity)
-    copies = copies_of(rows, weights, cap, seed, keep=("_id",)).groupBy("_id").agg(F.sum("copies").alias("_copies"))
-    return (
-        documents.dropDuplicates().withColumn("_id", identity)
-        .join(copies.where("_copies > 0"), "_id")
-        .withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*documents.columns)
-    )
+    copies = copies_of(documents.select("source", "text", identity), weights, cap, seed, keep=("_id",))
+    copies = copies.groupBy("_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_alike"))
+    copies = stored(copies.where("_copies > 0"), "copies")
+
+    def of(chosen):
+        row = F.struct(*documents.columns).alias("_row")
+        return documents.select(row, identity).join(chosen, "_id").select("_id", "_row", "_copies")
+
+    rows, several = of(copies.where("_alike = 1")), copies.where("_alike > 1")
+    if not several.isEmpty():
+        rows = rows.unionByName(of(several).dropDuplicates(["_id"]))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return rows.select("_row.*")
 
 
 def mix_digest(documents):

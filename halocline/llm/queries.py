@@ -1,6 +1,6 @@
 """The registered queries of the ten operators and of the pipeline."""
 
-from halocline.llm import cover_tree, html_template, license_rules, mixing, multiset_hash, quality_rules, toxicity, vector_packing
+from halocline.llm import bayes_join, cover_tree, html_template, license_rules, mixing, multiset_hash, prefix_free, quality_rules, toxicity, vector_packing
 from halocline.llm.common import table
 
 QUERIES = {}
@@ -24,11 +24,21 @@ def op1_source_mix(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_prefix_free(spark, sf_dir):
+    return prefix_free.removal_digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_html_template(spark, sf_dir):
     return html_template.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op4_bayes_join(spark, sf_dir):
+    return bayes_join.link_counts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_vector_packing(spark, sf_dir):
     return vector_packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())

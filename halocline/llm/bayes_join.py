@@ -38,7 +38,11 @@ class WordHashes(dict):
         return value
 
 
-def shingles(text, words):
+#: Kept by a worker from task to task.
+_words = WordHashes()
+
+
+def shingles(text, words=_words):
     """Sorted distinct hashes of the text's runs of five words; a shorter text is one run, an empty none.
 
     Words are parted by ASCII white space and compared in lower case.
@@ -86,12 +90,11 @@ def class_keys(documents, keep, bands=True):
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
 
     def run(batches):
-        words = WordHashes()
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             keys, sizes, band = np.zeros((len(texts), 2), np.int64), np.zeros(len(texts), np.int64), []
             for i, text in enumerate(texts):
-                found = shingles(text or "", words)
+                found = shingles(text or "")
                 digest = blake2b(found.astype("<u8").tobytes(), digest_size=16).digest()
                 keys[i] = np.frombuffer(digest, "<i8")
                 sizes[i] = len(found)
@@ -276,11 +279,10 @@ def near_classes(documents, threshold=THRESHOLD, tolerance=TOLERANCE):
 
 def _with_hashes(texts):
     def run(batches):
-        words = WordHashes()
         for batch in batches:
             out = {"k1": [], "k2": [], "hashes": [], "signature": []}
             for text in batch.column(0).to_pylist():
-                found = shingles(text or "", words)
+                found = shingles(text or "")
                 data = found.astype("<u8").tobytes()
                 k1, k2 = np.frombuffer(blake2b(data, digest_size=16).digest(), "<i8")
                 out["k1"].append(int(k1))

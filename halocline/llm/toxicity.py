@@ -10,6 +10,7 @@ those beside the second person weigh more. A logistic regression over the finds
 """
 
 from dataclasses import dataclass, field
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ ADDRESS = frozenset("you your yours youre yourself u ur".split())
 LOOKALIKES = str.maketrans("013457@$!", "oleastasi")
 EDGES = ".,;:!?\"'()[]{}<>*_~`#%&|-+=/\\“”„«»‘’…"
 QUOTES = "\"“”„«»"
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 FEATURES = 6
 
 
@@ -88,6 +89,10 @@ class Trie:
         return best
 
 
+#: The lexicon that a worker has prepared, kept from task to task.
+_prepared = {}
+
+
 @dataclass
 class Lexicon:
     """Terms and stems with weights, and ordinary words that no misspelling stands for."""
@@ -97,8 +102,16 @@ class Lexicon:
     ordinary: frozenset = frozenset()
     #: Terms that misspellings are looked for.
     spelled: frozenset = frozenset(SEED_TERMS)
+    key: str = field(default_factory=lambda: uuid4().hex)
 
     def prepare(self):
+        """The lexicon ready to search, with the words that this worker has met so far."""
+        if self.key not in _prepared:
+            _prepared.clear()
+            _prepared[self.key] = self._build()
+        return _prepared[self.key]
+
+    def _build(self):
         self.trie = Trie((t, self.terms[t]) for t in sorted(self.spelled))
         # beginnings and ends of two and three letters, with the lengths of words that may be near
         self.edges = {
@@ -108,7 +121,7 @@ class Lexicon:
             for end, part in ((0, t[:k]), (1, t[-k:]))
             for n in range(len(t) - 2, len(t) + 3)
         }
-        self.seen = {}
+        self.seen, self.before = {}, {}
         return self
 
     def _stem(self, word):
@@ -125,8 +138,8 @@ class Lexicon:
 
     def find(self, token):
         """(weight, edits) of a token, edits 0 for the term itself and for stems; None if it is none."""
-        found = self.seen.get(token, 0)
-        if found != 0:
+        if token in self.before:
+            found = self.seen[token] = self.before[token]
             return found
         word = token.strip(EDGES)
         weight = self.terms.get(word) or self._stem(word)
@@ -136,15 +149,19 @@ class Lexicon:
             plain = word.translate(LOOKALIKES)
             near = (0, self.terms[plain]) if plain in self.terms else self.fuzzy(plain)
             found = near and (near[1] * (1.0, 0.8, 0.6)[near[0]], near[0])
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
         self.seen[token] = found
         return found
 
+    def forget(self):
+        """Let go of words not met lately, once there are many."""
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.before = {}, self.seen
+
 
 def features(text, lexicon):
     """Sums over the finds of a text: direct, quoted, edited, largest, number, and finds per 100 words."""
     tokens = text.lower().split()
+    lexicon.forget()
     find, seen = lexicon.find, lexicon.seen
     hits = [(i, f) for i, f in ((i, seen[t] if t in seen else find(t)) for i, t in enumerate(tokens)) if f]
     out = [0.0] * FEATURES
@@ -216,7 +233,7 @@ def learn_lexicon(rows):
 
 
 def _near_words(batches, lexicon):
-    lexicon.prepare()
+    lexicon = lexicon.prepare()
     for batch in batches:
         words = [w for w in batch.column(0).to_pylist() if w not in lexicon.terms and lexicon.fuzzy(w)]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["term"])
@@ -228,9 +245,9 @@ def with_features(df, keep, lexicon):
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def run(batches):
-        lexicon.prepare()
+        ready = lexicon.prepare()
         for batch in batches:
-            found = [features(t or "", lexicon) for t in batch.column(len(keep)).to_pylist()]
+            found = [features(t or "", ready) for t in batch.column(len(keep)).to_pylist()]
             columns = [*batch.columns[: len(keep)], pa.array(found, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "found"])
 

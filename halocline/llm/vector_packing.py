@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 SEQUENCE = 2048
 #: Pieces that one task packs, about.
 GROUP_PIECES = 16384
-#: Words whose ids a worker remembers; it starts anew beyond.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, up to twice as many.
+REMEMBERED = 500_000
+#: Texts whose unknown words are encoded in one call.
+TOGETHER = 512
 
 
 @dataclass(frozen=True)
@@ -32,34 +34,57 @@ class Capacity:
     measure: str = "norm"
 
 
-class WordIds(dict):
-    """Ids of the words between blanks, as little-endian 32-bit bytes.
+class WordIds:
+    """Ids of words between blanks, as little-endian 32-bit bytes; recent ones are remembered.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    words one after another.
+    words one after another. Unknown words of several texts are encoded in one call, a line each.
     """
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word):
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        data = np.asarray(ids, "<u4").tobytes()
-        if len(word) <= 40:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = data
-        return data
-
-
-def _words(text):
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
+    def __init__(self, tokenizer, remembered=REMEMBERED):
+        self.tokenizer, self.remembered = tokenizer, remembered
+        self.young, self.old = {}, {}
+
+    def learn(self, unknown):
+        if len(self.young) > self.remembered:
+            self.young, self.old = {}, self.young
+        words = list(unknown)
+        encoded = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
+        ids = np.asarray(encoded.ids, "<u4")
+        starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        places = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids))
+        cuts = np.searchsorted(places, starts).tolist() + [len(ids)]
+        data = ids.tobytes()
+        for k, w in enumerate(words):
+            self.young[w] = data[4 * cuts[k] : 4 * cuts[k + 1]]
+
+    def encode(self, texts):
+        """The ids of each text as bytes, with the closing id 0."""
+        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        unknown = set().union(*split)
+        unknown.discard("")
+        unknown = [w for w in unknown if w not in self.young]
+        known = {w: self.old[w] for w in unknown if w in self.old}
+        self.young |= known
+        unknown = sorted(w for w in unknown if w not in known)
+        if unknown:
+            self.learn(unknown)
+        young = self.young
+        young[""] = b""
+        out = [b"".join([young[w] for w in words]) + b"\0\0\0\0" for words in split]
+        return out
+
+
+_word_ids = {}
+
+
+def word_ids(path):
+    """The remembered words of a tokenizer's file, kept by a worker from task to task."""
+    if path not in _word_ids:
+        from tokenizers import Tokenizer
 
-def token_bytes(text, words):
-    """The ids of a document, the closing id 0 included, as bytes."""
-    return b"".join([words[w] for w in _words(text) if w]) + b"\0\0\0\0"
+        _word_ids[path] = WordIds(Tokenizer.from_file(path))
+    return _word_ids[path]
 
 
 def token_pieces(documents, tokenizer, size=SEQUENCE):
@@ -71,17 +96,16 @@ def token_pieces(documents, tokenizer, size=SEQUENCE):
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches):
-        from tokenizers import Tokenizer
-
-        words = WordIds(Tokenizer.from_file(tokenizer))
+        words = word_ids(tokenizer)
         for batch in batches:
-            rows, out = [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                data = token_bytes(text or "", words)
-                for piece, at in enumerate(range(0, len(data), 4 * size)):
-                    part = data[at : at + 4 * size]
-                    rows.append(k)
-                    out.append((piece, at // 4, len(part) // 4, crc32(part)))
+            rows, out, texts = [], [], batch.column(1)
+            for first in range(0, len(texts), TOGETHER):
+                several = [t or "" for t in texts.slice(first, TOGETHER).to_pylist()]
+                for k, data in enumerate(words.encode(several), first):
+                    for piece, at in enumerate(range(0, len(data), 4 * size)):
+                        part = data[at : at + 4 * size]
+                        rows.append(k)
+                        out.append((piece, at // 4, len(part) // 4, crc32(part)))
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
             table = np.array(out, np.int64).reshape(-1, 4)
             columns = [ids, pa.array(table[:, 0].astype(np.int32)), *[pa.array(table[:, k]) for k in (1, 2, 3)]]

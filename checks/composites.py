@@ -177,9 +177,9 @@ def _(m):
     return f.select("*", "current_phase.*")
 
 
-@query("D5_forecast_text", "interpretation",
-       """SELECT printf('Based on %d historical days with %s + %s conditions, the ocean was in a heatwave state %.0f%% of the time. The 30-day trend is %s (%+.4f degC/day), and there %s recent rapid onset events. Combined probability score: %.2f, %s risk.',
- n_days, enso, iod, frequency * 100, CASE WHEN trend > 0 THEN 'warming' ELSE 'cooling' END, mean_change, CASE WHEN onset > 0 THEN 'were' ELSE 'were no' END, probability, risk_level) AS interpretation FROM t_forecast""")
+@query("D5_forecast_text", "summary",
+       """SELECT printf('risk=%s p=%.2f; phases %s/%s: %.0f%% of %d days; trend %+.4f per day; onset factor %.4f',
+ risk_level, probability, enso, iod, frequency * 100, n_days, mean_change, onset) AS summary FROM t_forecast""")
 def _(m):
     return forecast.forecast_indicator(frames.mhw(m), frames.rapid(m))
 
@@ -388,7 +388,7 @@ def _(m):
 STEPS = "SELECT time, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT time FROM t_grid)"
 
 
-@query("Q10_anomaly_frames", "time$ lat lon sst_anomaly~", f"SELECT g.* FROM t_sst g JOIN ({STEPS}) s ON g.time = s.time WHERE i % greatest(1, n // 24) = 0 AND i // greatest(1, n // 24) < 24 AND lat IN (-30, -10) AND lon IN (40, 70, 100)")
+@query("Q10_anomaly_frames", "time$ lat lon sst_anomaly~", f"SELECT g.* FROM t_sst g JOIN ({STEPS}) s ON g.time = s.time WHERE i % greatest(1, CAST(ceil(n / 24.0E0) AS BIGINT)) = 0 AND lat IN (-30, -10) AND lon IN (40, 70, 100)")
 def _(m):
     return views.anomaly_frames(m("grid"), 24, 2)
 
@@ -416,21 +416,20 @@ def _(m):
     return views.basin_scatter(p)
 
 
-@query("X3_context_lines", "line_no# line",
+@query("X3_context_lines", "section item value~4 label",
        """WITH s AS (SELECT * FROM t_mhw ORDER BY date DESC LIMIT 1), x AS (SELECT * FROM t_idx ORDER BY date DESC LIMIT 1)
- SELECT 1 AS line_no, 'Marine heatwave: ' || CASE WHEN is_mhw THEN 'ACTIVE' ELSE 'not active' END AS line FROM s
- UNION ALL SELECT 2, 'Category: ' || CASE mhw_category WHEN 0 THEN 'none' WHEN 1 THEN 'Moderate' WHEN 2 THEN 'Strong' WHEN 3 THEN 'Severe' ELSE 'Extreme' END FROM s
- UNION ALL SELECT 3, printf('Area affected: %.1f%%', round(frac_mhw * 100, 4)) FROM s UNION ALL SELECT 4, printf('Mean intensity: %.2fC above threshold', round(mean_intensity, 4)) FROM s
- UNION ALL SELECT 5, 'Latest date: ' || strftime(date, '%Y-%m-%d') FROM s
- UNION ALL SELECT 10, printf('ENSO index: %.2f (%s)', round(enso, 4), CASE WHEN enso >= 0.5 THEN 'El Nino' WHEN enso <= -0.5 THEN 'La Nina' ELSE 'Neutral' END) FROM x
- UNION ALL SELECT 11, printf('IOD (DMI) index: %.2f (%s)', round(dmi, 4), CASE WHEN dmi >= 0.4 THEN 'Positive IOD' WHEN dmi <= -0.4 THEN 'Negative IOD' ELSE 'Neutral IOD' END) FROM x
- UNION ALL SELECT 12, printf('PDO index: %.2f (%s)', round(pdo, 4), CASE WHEN pdo >= 0.5 THEN 'Positive PDO' WHEN pdo <= -0.5 THEN 'Negative PDO' ELSE 'Neutral PDO' END) FROM x
- UNION ALL SELECT 20 + CASE variable WHEN 'SST anomaly' THEN 1 WHEN 'OHC_700m' THEN 2 WHEN 'MLD' THEN 3 ELSE 4 END, printf('Trend - %s: %+.4f/year (R2=%.3f)', variable, slope_per_year, r2) FROM t_trends WHERE variable <> 'OHC_700m'
- UNION ALL SELECT 30, printf('Recent profiles (last 90 days): %d', count(*)) FROM t_recent UNION ALL SELECT 31, printf('Mean surface temperature: %.2fC', avg(sst_argo)) FROM t_recent UNION ALL SELECT 32, printf('Mean mixed layer depth: %.1f m', avg(mld)) FROM t_recent""")
+ SELECT 'heatwave' AS section, 'active' AS item, is_mhw::INT::DOUBLE AS value, strftime(date, '%Y-%m-%d') AS label FROM s
+ UNION ALL SELECT 'heatwave', 'category', mhw_category, CASE mhw_category WHEN 0 THEN 'none' WHEN 1 THEN 'Moderate' WHEN 2 THEN 'Strong' WHEN 3 THEN 'Severe' ELSE 'Extreme' END FROM s
+ UNION ALL SELECT 'heatwave', 'area_percent', round(frac_mhw * 100, 4), NULL FROM s UNION ALL SELECT 'heatwave', 'intensity', round(mean_intensity, 4), NULL FROM s
+ UNION ALL SELECT 'climate', 'enso', round(enso, 4), CASE WHEN enso >= 0.5 THEN 'El Nino' WHEN enso <= -0.5 THEN 'La Nina' ELSE 'Neutral' END FROM x
+ UNION ALL SELECT 'climate', 'dmi', round(dmi, 4), CASE WHEN dmi >= 0.4 THEN 'Positive IOD' WHEN dmi <= -0.4 THEN 'Negative IOD' ELSE 'Neutral IOD' END FROM x
+ UNION ALL SELECT 'climate', 'pdo', round(pdo, 4), CASE WHEN pdo >= 0.5 THEN 'Positive PDO' WHEN pdo <= -0.5 THEN 'Negative PDO' ELSE 'Neutral PDO' END FROM x
+ UNION ALL SELECT 'trend_per_year', variable, slope_per_year / CASE variable WHEN 'OHC_700m' THEN 1e9 ELSE 1 END, NULL FROM t_trends UNION ALL SELECT 'trend_r2', variable, r2, NULL FROM t_trends
+ UNION ALL SELECT 'profiles', 'number', count(*), NULL FROM t_recent UNION ALL SELECT 'profiles', 'mean_sst', avg(sst_argo), NULL FROM t_recent UNION ALL SELECT 'profiles', 'mean_mld', avg(mld), NULL FROM t_recent""")
 def _(m):
     days, p, trend, _ = frames.results(m)
-    lines = views.context_lines(days, m("indices"), trend, p)
-    return lines.where("line_no <> 22")
+    scale = F.when((F.col("section") == "trend_per_year") & (F.col("item") == "OHC_700m"), 1e9).otherwise(1.0)
+    return views.context_items(days, m("indices"), trend, p).withColumn("value", F.col("value") / scale)
 
 
 def arrivals(m, run, chunks=4):

@@ -252,7 +252,7 @@ def _(m):
 STEPS = "SELECT time, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT time FROM t_grid)"
 
 
-@query("F13_time_stride", CELL + "sst~4", f"SELECT g.* FROM t_grid g JOIN ({STEPS}) s ON g.time = s.time WHERE i % greatest(1, n // 24) = 0 AND i // greatest(1, n // 24) < 24")
+@query("F13_time_stride", CELL + "sst~4", f"SELECT g.* FROM t_grid g JOIN ({STEPS}) s ON g.time = s.time WHERE i % greatest(1, CAST(ceil(n / 24.0E0) AS BIGINT)) = 0")
 def _(m):
     return grid.time_stride(m("grid"), 24)
 

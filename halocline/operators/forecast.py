@@ -41,7 +41,7 @@ def trend_factor(days, rows=30):
 
 
 def forecast_indicator(days, rapid):
-    """One row: probability, risk level, phases, factors and a sentence."""
+    """One row: probability, risk level, phases, factors and a short summary."""
     parts = phase_frequency(days).withColumns(
         {
             "_t": trend_factor(days).select(F.struct("mean_change", "trend").alias("s")).scalar(),
@@ -50,13 +50,10 @@ def forecast_indicator(days, rapid):
     )
     f, t, o = F.col("frequency"), F.col("_t.trend"), F.col("_o")
     p = to_unit(0.50 * f + 0.30 * (0.5 + t) + 0.20 * (0.5 + o))
-    sentence = F.format_string(
-        "Based on %d historical days with %s + %s conditions, the ocean was in a heatwave state %.0f%% of the time. "
-        "The 30-day trend is %s (%+.4f degC/day), and there %s recent rapid onset events. "
-        "Combined probability score: %.2f, %s risk.",
-        F.col("n_days"), F.col("now.enso_phase"), F.col("now.iod_phase"), f * 100,
-        F.when(t > 0, "warming").otherwise("cooling"), F.coalesce(F.col("_t.mean_change"), F.lit(0.0)),
-        F.when(o > 0, "were").otherwise("were no"), p, risk_level(p),
+    summary = F.format_string(
+        "risk=%s p=%.2f; phases %s/%s: %.0f%% of %d days; trend %+.4f per day; onset factor %.4f",
+        risk_level(p), p, F.col("now.enso_phase"), F.col("now.iod_phase"), f * 100, F.col("n_days"),
+        F.coalesce(F.col("_t.mean_change"), F.lit(0.0)), F.coalesce(o, F.lit(0.0)),
     )
     return parts.select(
         F.round(p, 3).alias("probability"),
@@ -69,5 +66,5 @@ def forecast_indicator(days, rapid):
         F.round(o, 4).alias("onset_factor"),
         F.col("n_days").alias("n_historical_days"),
         F.date_format("now.date", "yyyy-MM-dd").alias("as_of_date"),
-        sentence.alias("interpretation"),
+        summary.alias("summary"),
     )

@@ -127,6 +127,8 @@ def date_range(df, time="time"):
 
 def spatial_stride(df, k, axes=None):
     """Every k-th latitude and longitude of the axes of ``axes``, the whole grid if ``df`` is a part."""
+    if k == 1:
+        return df
     both = (df if axes is None else axes).agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in CELL])
     kept = both.select(F.struct(*[F.filter(c, lambda _, i: i % k == 0).alias(c) for c in CELL])).scalar()
     return (
@@ -137,11 +139,13 @@ def spatial_stride(df, k, axes=None):
 
 
 def time_stride(df, frames, time="time"):
-    """The first ``frames`` times at a regular step."""
+    """Times at a regular step over the whole record, at most ``frames``; all of them for None."""
+    if frames is None:
+        return df
 
     def kept(times):
-        step = F.greatest(F.lit(1), F.floor(F.size(times) / frames).cast("int"))
-        return F.slice(F.filter(times, lambda _, i: i % step == 0), 1, frames)
+        step = F.greatest(F.lit(1), F.ceil(F.size(times) / frames).cast("int"))
+        return F.filter(times, lambda _, i: i % step == 0)
 
     return df.where(F.array_contains(axis(df, time, kept), F.col(time)))
 
@@ -173,7 +177,7 @@ def at_time(df, target=None, time="time"):
     return df.where(F.col(time) == chosen)
 
 
-def heatmap_points(grid, target=None, stride=4, value="sst", anomaly="sst_anomaly", axes=None):
+def heatmap_points(grid, target=None, stride=1, value="sst", anomaly="sst_anomaly", axes=None):
     """Points of one day with anomaly; where it is missing, the value minus a fixed mean."""
     day = spatial_stride(at_time(grid, target), stride, grid if axes is None else axes).where(F.col(value).isNotNull())
     fallback = F.col(value) - F.lit(K.SST_FALLBACK_MEAN)
@@ -201,9 +205,10 @@ def point_bounds(points):
 def grid_rows(points, value="sst_anomaly"):
     """Points to grid rows: one row per latitude with an array over the shared longitude axis.
 
-    Rows instead of one nested array keep each value as short as the longitude axis.
+    Rows instead of one nested array keep each value as short as the longitude axis. Cells are told
+    apart by their coordinates as given.
     """
-    p = points.select(F.round("latitude", 1).alias("lat"), F.round("longitude", 1).alias("lon"), value)
+    p = points.select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), value)
     rows = p.groupBy("lat").agg(
         F.map_from_entries(F.collect_list(F.struct("lon", value))).alias("cells")
     )
@@ -232,16 +237,16 @@ def range_check(df, variables, bounds=K.RANGE_BOUNDS):
     return df.agg(F.array(*parts).alias("checks")).select(F.inline("checks"))
 
 
-def grid_uncertainty(sst, qnet, wind, sla, samples=30):
-    """Error and confidence per field; metrics that a field does not have stay NULL."""
+def grid_uncertainty(sst, qnet, wind, sla, samples=None):
+    """Error and confidence per field; metrics that a field does not have stay NULL.
+
+    All days count, or ``samples`` evenly spaced ones if the caller asks for them.
+    """
     cells = sst.select(*CELL).distinct().agg(F.count(F.lit(1))).scalar()
-    picked = even_times(sst, samples)
-    per_day = (
-        sst.groupBy("time")
-        .agg(F.count("sst").alias("n_valid"))
-        .join(picked, "time")
-        .select((F.lit(1.0) - F.col("n_valid") / cells).alias("missing"))
-    )
+    per_day = sst.groupBy("time").agg(F.count("sst").alias("n_valid"))
+    if samples is not None:
+        per_day = per_day.join(even_times(sst, samples), "time")
+    per_day = per_day.select((F.lit(1.0) - F.col("n_valid") / cells).alias("missing"))
     total_sst = (K.SST_INSTRUMENT_ERROR**2 + K.SST_BLENDING_ERROR**2) ** 0.5
     sst_row = per_day.agg(
         F.lit("sst").alias("field"),
@@ -265,8 +270,7 @@ def grid_uncertainty(sst, qnet, wind, sla, samples=30):
         F.lit(K.WIND_ERROR).alias("total_uncertainty_ms"),
         F.round(F.avg("wind_speed"), 2).alias("wind_mean_ms"),
     )
-    first = axis(sla, "time", lambda times: F.slice(times, 1, 30))
-    sla_row = sla.where(F.array_contains(first, F.col("time"))).agg(
+    sla_row = sla.agg(
         F.lit("sla").alias("field"),
         F.lit(K.SLA_ERROR).alias("instrument_uncertainty"),
         F.lit(K.SLA_CONFIDENCE).alias("mean_confidence"),

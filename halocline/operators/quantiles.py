@@ -4,6 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+def _join_null_safe(left, right, keys):
+    """Inner join on keys where NULL equals NULL; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_{k}" for k in keys])
+
+
 def exact_quantiles(df, value, probs, keys=(), splits=128):
     """Linear-interpolated exact quantiles, one row per key and probability.
 
@@ -20,7 +27,7 @@ def exact_quantiles(df, value, probs, keys=(), splits=128):
     marks = [i / splits for i in range(1, splits)]
     sketch = counts.groupBy(*keys).agg(F.percentile_approx("v", marks, 1000).alias("edges"))
     if keys:
-        cut = counts.join(sketch, keys)
+        cut = _join_null_safe(counts, sketch, keys)
     else:
         cut = counts.withColumn("edges", sketch.select("edges").scalar())
     cut = cut.withColumn("part", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
@@ -34,8 +41,7 @@ def exact_quantiles(df, value, probs, keys=(), splits=128):
     ).drop("part_n")
     inside = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        cut.withColumn("run", F.sum("cnt").over(inside))
-        .join(totals, [*keys, "part"])
+        _join_null_safe(cut.withColumn("run", F.sum("cnt").over(inside)), totals, [*keys, "part"])
         .select(*keys, "v", "total", (F.col("base") + F.col("run")).alias("upto"), "cnt")
     )
     wanted = ranked.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
@@ -54,7 +60,3 @@ def exact_quantiles(df, value, probs, keys=(), splits=128):
         )
         .select(*keys, "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("quantile"))
     )
-
-
-def exact_median(df, value, keys=()):
-    return exact_quantiles(df, value, [0.5], keys).select(*keys, F.col("quantile").alias("median"))

@@ -189,15 +189,18 @@ def heat_content_anomaly(yearly):
     return line.select("year", "ohc", (F.col("ohc") - F.coalesce("fitted", "ohc")).alias("anomaly"))
 
 
-def anomaly_frames(sst, frames=24, stride=4):
+def anomaly_frames(sst, frames=None, stride=1):
     return grid.spatial_stride(grid.time_stride(fields.sst_dataset(sst), frames), stride, sst).select(
         "time", "lat", "lon", "sst_anomaly"
     )
 
 
-def scatter_points(profiles, color_by="sst_argo", max_points=3000):
+def scatter_points(profiles, color_by="sst_argo", max_points=None):
+    """All profiles with a value, or at most ``max_points`` if the caller asks for fewer."""
     kept = profiles.dropna(subset=["lat", "lon", color_by])
-    return listing.top_sample(kept, ["dac", "profile_idx"], max_points).select("dac", "profile_idx", "lat", "lon", color_by)
+    if max_points is not None:
+        kept = listing.top_sample(kept, ["dac", "profile_idx"], max_points)
+    return kept.select("dac", "profile_idx", "lat", "lon", color_by)
 
 
 def basin_scatter(profiles):
@@ -207,37 +210,38 @@ def basin_scatter(profiles):
     )
 
 
-def context_lines(days, indices, trends, profiles):
-    """Numbered text lines on the current state, for a reader or an assistant."""
-    s = heatwave_status(days).select(F.struct("*").alias("s"))
-    heat = s.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("line_no"), t.alias("line")) for n, t in enumerate([
-            F.concat(F.lit("Marine heatwave: "), F.when(F.col("s.is_active"), "ACTIVE").otherwise("not active")),
-            F.concat(F.lit("Category: "), F.when(F.col("s.category") == 0, "none").otherwise(F.col("s.category_label"))),
-            F.format_string("Area affected: %.1f%%", F.col("s.coverage_pct")),
-            F.format_string("Mean intensity: %.2fC above threshold", F.col("s.mean_intensity")),
-            F.concat(F.lit("Latest date: "), F.date_format("s.date", "yyyy-MM-dd")),
-        ], start=1)
-    ])).alias("l")).select("l.*")
-    c = climate_status(indices)
-    climate = c.select(F.explode(F.array(*[
-        F.struct(F.lit(10 + n).alias("line_no"), F.format_string(f"{name}: %.2f (%s)", F.col(v), F.col(ph)).alias("line"))
-        for n, (name, v, ph) in enumerate([
-            ("ENSO index", "enso", "enso_phase"), ("IOD (DMI) index", "dmi", "iod_phase"), ("PDO index", "pdo", "pdo_phase")
-        ])
-    ])).alias("l")).select("l.*")
-    order = F.array_position(F.array(*[F.lit(k) for k in K.TREND_KEYS]), F.col("variable")).cast("int")
-    trend = trends.select(
-        (F.lit(20) + order).alias("line_no"),
-        F.format_string("Trend - %s: %+.4f/year (R2=%.3f)", "variable", "slope_per_year", "r2").alias("line"),
-    )
-    r = sampling.recent_statistics(profiles, mld="mean")
-    water = r.where("n_profiles > 0").select(F.explode(F.array(
-        F.struct(F.lit(30).alias("line_no"), F.format_string("Recent profiles (last 90 days): %d", F.col("n_profiles")).alias("line")),
-        F.struct(F.lit(31).alias("line_no"), F.format_string("Mean surface temperature: %.2fC", F.col("mean_sst")).alias("line")),
-        F.struct(F.lit(32).alias("line_no"), F.format_string("Mean mixed layer depth: %.1f m", F.col("mean_mld")).alias("line")),
-    )).alias("l")).select("l.*")
-    return reduce(lambda a, b: a.unionByName(b), [heat, climate, trend, water])
+def context_items(days, indices, trends, profiles):
+    """The current state as rows (section, item, value, label), for a caller to word.
+
+    Trends have a row each for the slope and for the fit.
+    """
+
+    def items(section, row, found):
+        made = [
+            F.struct(F.lit(section).alias("section"), F.lit(n).alias("item"), v.cast("double").alias("value"), label.alias("label"))
+            for n, v, label in found
+        ]
+        return row.select(F.inline(F.array(*made)))
+
+    none = F.lit(None).cast("string")
+    now = heatwave_status(days).select(F.struct("*").alias("s"))
+    heat = items("heatwave", now, [
+        ("active", F.col("s.is_active").cast("int"), F.date_format("s.date", "yyyy-MM-dd")),
+        ("category", F.col("s.category"), F.when(F.col("s.category") == 0, "none").otherwise(F.col("s.category_label"))),
+        ("area_percent", F.col("s.coverage_pct"), none),
+        ("intensity", F.col("s.mean_intensity"), none),
+    ])
+    phases = [(n, F.col(n), F.col(phase)) for n, phase in (("enso", "enso_phase"), ("dmi", "iod_phase"), ("pdo", "pdo_phase"))]
+    climate = items("climate", climate_status(indices), phases)
+    slopes = [
+        trends.select(F.lit(section).alias("section"), F.col("variable").alias("item"), F.col(c).alias("value"), none.alias("label"))
+        for section, c in (("trend_per_year", "slope_per_year"), ("trend_r2", "r2"))
+    ]
+    recent = sampling.recent_statistics(profiles, mld="mean").where("n_profiles > 0")
+    water = items("profiles", recent, [
+        ("number", F.col("n_profiles"), none), ("mean_sst", F.col("mean_sst"), none), ("mean_mld", F.col("mean_mld"), none)
+    ])
+    return reduce(lambda a, b: a.unionByName(b), [heat, climate, *slopes, water])
 
 
 def rapid_view(sst, surface, indices):

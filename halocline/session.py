@@ -1,6 +1,7 @@
 """Session settings and the shared scratch folder."""
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,8 +28,12 @@ def build_session(app_name="halocline", master=None, extra=None):
     return builder.getOrCreate()
 
 
-def size_shuffles(spark, input_bytes, partition_bytes=128 * 1024 * 1024):
-    """Enough shuffle partitions for an input size; adaptive execution joins those that stay small."""
+def size_shuffles(spark, input_bytes, partition_bytes=1024 * 1024 * 1024):
+    """Enough shuffle partitions for an input size; adaptive execution joins those that stay small.
+
+    A gigabyte each keeps the map statuses of 100 TB within a driver's memory. Name the bytes after
+    pruning of columns and years.
+    """
     wanted = -(-int(input_bytes) // partition_bytes)
     now = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.conf.set("spark.sql.shuffle.partitions", str(max(now, wanted)))
@@ -37,11 +42,14 @@ def size_shuffles(spark, input_bytes, partition_bytes=128 * 1024 * 1024):
 def shared_dir(spark, purpose):
     """A new folder for written tables and stream checkpoints.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is taken and recorded in the session.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local, as in tests, a temporary folder is taken and recorded in the session.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"name a shared folder in {CHECKPOINT_CONF}; executors of {master} do not share local ones")
         base = tempfile.mkdtemp(prefix="halocline-")
         spark.conf.set(CHECKPOINT_CONF, base)
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")

@@ -1,7 +1,8 @@
-"""Writers. Nothing is overwritten in place: a new version is written, then read from there."""
+"""Writers. A table is replaced as a whole or by years; none is written onto the folder it is read from."""
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 # Date column of each standard result table that is stored by year.
@@ -29,19 +30,23 @@ def existing_years(spark, path):
     """Years already stored, or None when nothing is."""
     try:
         return spark.read.parquet(path).select("year").distinct()
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
 def write_years(df, path, date="date", overwrite=False):
-    """One folder per year. Stored years are skipped, or replaced alone when ``overwrite``."""
+    """One folder per year, one of them for rows without a date.
+
+    Stored years are skipped, or replaced alone when ``overwrite``.
+    """
     spark = df.sparkSession
     out = df.withColumn("year", F.year(date))
     stored = existing_years(spark, path)
     if stored is not None and not overwrite:
-        out = out.join(stored, "year", "left_anti")
+        stored = stored.withColumnRenamed("year", "stored_year")
+        out = out.join(stored, F.col("year").eqNullSafe(F.col("stored_year")), "left_anti")
     out.write.mode("overwrite" if overwrite else "append").option("partitionOverwriteMode", "dynamic").partitionBy(
         "year"
     ).parquet(path)
@@ -87,9 +92,18 @@ def save_mark(spark, path, dataset, last_time):
     row.write.mode("append").parquet(path)
 
 
+def _folder(spark, path):
+    """The full name of a folder, as in the names of a table's files."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri()
+    return full.toString().replace("file:/", "file:///", 1).replace("file:////", "file:///") + "/"
+
+
 def relayout(df, path, mode="time_slice", dry_run=False, files=None):
     """Rewrite a table clustered for one access pattern, and report the layout before and after."""
     order = [c for c in LAYOUTS[mode] if c in df.columns]
+    if not dry_run and any(f.startswith(_folder(df.sparkSession, path)) for f in df.inputFiles()):
+        raise ValueError(f"{path} is read from; name another folder")
     if not dry_run:
         placed = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
         placed.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)

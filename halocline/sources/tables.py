@@ -31,10 +31,25 @@ def canonical(df):
     return df.withColumns({c: nan_to_null(F.col(c).cast("double")) for c in floats}) if floats else df
 
 
-def read_grid(spark, path, columns=None):
-    """A long grid table; only the named columns are read."""
+def read_grid(spark, path, columns=None, start=None, end=None, box=None):
+    """A long grid table; only the named columns are read, and only the years between start and end.
+
+    ``start`` and ``end`` are dates, both included; ``box`` is (lat from, lat to, lon from, lon to).
+    Column names are the canonical ones.
+    """
     df = spark.read.parquet(path)
-    return canonical(df.select(*columns) if columns else df)
+    stored = "year" in df.columns
+    for bound, at in ((start, "__ge__"), (end, "__lt__")):
+        if bound is not None:
+            day = F.lit(bound).cast("date") if at == "__ge__" else F.date_add(F.lit(bound).cast("date"), 1)
+            df = df.where(getattr(F.col("time"), at)(day.cast("timestamp")))
+            if stored:
+                year = F.year(F.lit(bound).cast("date"))
+                df = df.where(F.col("year") >= year if at == "__ge__" else F.col("year") <= year)
+    df = canonical(df)
+    if box is not None:
+        df = df.where(F.col("lat").between(*box[:2]) & F.col("lon").between(*box[2:]))
+    return df.select(*columns) if columns else df
 
 
 def read_profiles(spark, path, dac=None):
@@ -49,7 +64,9 @@ def read_result(spark, path, schema=None):
 
 
 def read_indices(spark, path):
-    return canonical(spark.read.parquet(path)).select(F.to_date("time").alias("date"), "enso", "dmi", "pdo")
+    return canonical(spark.read.parquet(path)).select(
+        "time", F.to_date("time").alias("date"), "enso", "dmi", "pdo"
+    )
 
 
 def read_years(spark, path, years=None, date="date"):

@@ -1,6 +1,7 @@
 """Writers. A table is replaced as a whole or by years; none is written onto the folder it is read from."""
 
 from functools import reduce
+from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -92,17 +93,18 @@ def save_mark(spark, path, dataset, last_time):
     row.write.mode("append").parquet(path)
 
 
-def _folder(spark, path):
-    """The full name of a folder, as in the names of a table's files."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri()
-    return full.toString().replace("file:/", "file:///", 1).replace("file:////", "file:///") + "/"
+def _reads_from(df, path):
+    """Whether a file of ``df`` lies in the folder, in the same or an unnamed file system."""
+    folder = urlparse(path)
+    files = [urlparse(f) for f in df.inputFiles()]
+    inside = [f for f in files if f"{f.path}/".startswith(folder.path.rstrip("/") + "/")]
+    return any(not folder.netloc or f.netloc == folder.netloc for f in inside)
 
 
 def relayout(df, path, mode="time_slice", dry_run=False, files=None):
     """Rewrite a table clustered for one access pattern, and report the layout before and after."""
     order = [c for c in LAYOUTS[mode] if c in df.columns]
-    if not dry_run and any(f.startswith(_folder(df.sparkSession, path)) for f in df.inputFiles()):
+    if not dry_run and _reads_from(df, path):
         raise ValueError(f"{path} is read from; name another folder")
     if not dry_run:
         placed = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)

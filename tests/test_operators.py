@@ -295,3 +295,89 @@ def test_event_orders(spark):
     e = spark.createDataFrame(rows, "event_id int, start_date date, duration_days int, peak_intensity double")
     order = {s: [r["event_id"] for r in events.order_events(e, s).collect()] for s in ("date", "intensity", "duration")}
     assert order == {"date": [3, 2, 1], "intensity": [3, 1, 2], "duration": [2, 3, 1]}
+
+
+def test_quantiles_keep_a_null_key(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
+    rows = {r.k: r.quantile for r in quantiles.exact_quantiles(df, "v", [0.5], ["k"]).collect()}
+    assert rows == {None: 2.0, "a": 5.0}
+
+
+def test_frames_span_the_record(spark):
+    df = spark.createDataFrame([(DAY + dt.timedelta(days=k),) for k in range(47)], "time date")
+    days = sorted((r.time - DAY).days for r in grid.time_stride(df, 24).collect())
+    assert days == list(range(0, 47, 2)) and grid.time_stride(df, None).count() == 47
+
+
+def test_grid_rows_of_a_fine_grid(spark):
+    points = [(0.05 * i, 0.05 * j, float(i + j)) for i in range(3) for j in range(3)]
+    df = spark.createDataFrame(points, "latitude double, longitude double, sst_anomaly double")
+    rows = {r.lat: list(r.row_values) for r in grid.grid_rows(df).collect()}
+    assert len(rows) == 3 and rows[0.05] == [1.0, 2.0, 3.0]
+
+
+def test_confidence_counts_every_day(spark):
+    sst = spark.createDataFrame([(DAY + dt.timedelta(days=k), 0.0, 0.0, None if k == 40 else 20.0) for k in range(60)], "time date, lat double, lon double, sst double")
+    sla = spark.createDataFrame([(DAY + dt.timedelta(days=k), float(k)) for k in range(60)], "time date, sla double")
+    qnet = spark.createDataFrame([(1.0,), (2.0,)], "qnet double")
+    wind = spark.createDataFrame([(1.0,), (2.0,)], "wind_speed double")
+    rows = {r.field: r for r in grid.grid_uncertainty(sst, qnet, wind, sla).collect()}
+    assert rows["sst"].min_confidence == 0.0 and rows["sla"].sla_mean_m == 29.5
+
+
+def test_rows_without_a_date_are_written_once(spark, tmp_path):
+    df = spark.createDataFrame([(DAY, 1), (None, 2)], "date date, v int")
+    for _ in range(2):
+        rows = sinks.write_years(df, str(tmp_path / "years"))
+    assert sorted((r.v, r.year) for r in rows.collect()) == [(1, 2020), (2, None)]
+    with pytest.raises(ValueError):
+        sinks.relayout(rows.withColumnRenamed("v", "lat"), str(tmp_path / "years"))
+
+
+def test_named_columns_keep_one_depth_and_years_are_pruned(spark, tmp_path):
+    rows = [(dt.datetime(y, 5, 1), 1.0, 2.0, z, 20.0 + z) for y in (2019, 2020, 2021) for z in (0.0, 10.0)]
+    df = spark.createDataFrame(rows, "time timestamp, latitude double, longitude double, zlev double, sst double")
+    sinks.write_grid(df.withColumnsRenamed({"latitude": "lat", "longitude": "lon"}), str(tmp_path / "grid"))
+    read = tables.read_grid(spark, str(tmp_path / "grid"), ["time", "sst"], start="2020-01-01", end="2020-12-31", box=(0, 3, 0, 3))
+    assert [r.sst for r in read.collect()] == [20.0]
+    text = read._jdf.queryExecution().executedPlan().toString()
+    assert "year" in text.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_running_persistence_takes_late_pieces_of_a_batch(spark, tmp_path):
+    from halocline.streaming import persistence
+
+    days = [("s", DAY + dt.timedelta(days=k), 0.5) for k in reversed(range(10))]
+    spark.createDataFrame(days, "series string, date date, frac_mhw double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        stream = spark.readStream.schema("series string, date date, frac_mhw double").parquet(str(tmp_path / "in"))
+        query = (
+            persistence.with_running_persistence(stream).writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("date").collect()
+    assert [r.is_mhw for r in rows] == [False] * 4 + [True] * 6
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from halocline import session
+
+    class Fake:
+        def __init__(self, master):
+            self.values = {"spark.master": master}
+            self.conf = self
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Fake("spark://host:7077"), "x")
+    assert session.shared_dir(Fake("local[4]"), "x")

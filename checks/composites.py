@@ -1,5 +1,6 @@
 """Profiles, trends, detection, ordering, reshaping, query views and streams."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from halocline.operators import detect, events, fields, forecast, grid, listing, profiles, regions, seasonal, series
@@ -225,11 +226,16 @@ def _(m):
 LISTED = "profile_id float_id time$ latitude~4 longitude~4 basin sst_argo~4 mld~4 confidence~4 sparse_flag"
 
 
-@query("O1_ordered_profiles", "position# profile_id", "SELECT row_number() OVER (ORDER BY round(confidence, 9) DESC NULLS LAST, profile_id) AS position, profile_id FROM t_norm QUALIFY position <= 200")
+@query("O1_ordered_profiles", "position# profile_id", "SELECT row_number() OVER (ORDER BY round(confidence, 9) DESC NULLS LAST, profile_id) AS position, profile_id FROM t_norm ")
 def _(m):
     p = listing.normalise_profiles(frames.unc(m)).withColumn("confidence", F.round("confidence", 9))
-    top = listing.order_profiles(p, "confidence_desc").limit(200)
-    return top.agg(F.collect_list("profile_id").alias("ids")).select(F.posexplode("ids")).select((F.col("pos") + 1).alias("position"), F.col("col").alias("profile_id"))
+    ordered = listing.order_profiles(p, "confidence_desc").select("profile_id")
+    # the place in the answer: rows before the row's partition of the sorted answer, and its place in it
+    numbered = ordered.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    inside = Window.partitionBy("part").orderBy("at")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return numbered.withColumn("at", F.row_number().over(inside)).join(parts, "part").select((F.col("before") + F.col("at")).alias("position"), "profile_id")
 
 
 @query("O2_page", LISTED, "SELECT * FROM t_norm ORDER BY time DESC, profile_id LIMIT 50 OFFSET 100")
@@ -399,7 +405,7 @@ def _(m):
     return views.calendar_cells(frames.days(m))
 
 
-@query("Q12_scatter_points", ID + "lat~2 lon~2 mld~")
+@query("Q12_scatter_points", ID + "lat~2 lon~2 mld~", "SELECT * FROM t_unc WHERE lat IS NOT NULL AND lon IS NOT NULL AND mld IS NOT NULL ORDER BY md5(dac || '|' || profile_idx), dac, profile_idx LIMIT 500")
 def _(m):
     return views.scatter_points(frames.unc(m), "mld", 500)
 

@@ -262,7 +262,7 @@ def _(m):
     return grid.even_times(m("grid"), 30)
 
 
-@query("F15_keyed_sample", "dac profile_idx lat~2 lon~2")
+@query("F15_keyed_sample", "dac profile_idx lat~2 lon~2", "SELECT * FROM t_profiles ORDER BY md5(dac || '|' || profile_idx), dac, profile_idx LIMIT 500")
 def _(m):
     return listing.top_sample(m("profiles"), ["dac", "profile_idx"], 500)
 

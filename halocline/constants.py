@@ -21,7 +21,6 @@ SST_FALLBACK_MEAN = 28.0
 # Sensor accuracies and reference uncertainties.
 TEMP_ERROR = 0.002
 PSAL_ERROR = 0.010
-PRES_ERROR = 2.4
 DENSITY_ERROR = ((0.2 * TEMP_ERROR) ** 2 + (0.8 * PSAL_ERROR) ** 2) ** 0.5
 MLD_ERROR = DENSITY_ERROR / 0.01
 OHC_ERROR = RHO_WATER * HEAT_CAPACITY * TEMP_ERROR * HEAT_CONTENT_MAX_PRES
@@ -36,8 +35,6 @@ SST_NOISE = 0.31
 # Study region and period.
 STUDY_LAT = (-40.0, 30.0)
 STUDY_LON = (20.0, 120.0)
-STUDY_START = "2020-01-01"
-STUDY_END = "2025-08-02"
 PROFILE_TIME_VALID = ("2015-01-01", "2027-01-01")
 
 # Overlapping inclusive boxes (name, lat_min, lat_max, lon_min, lon_max).
@@ -54,7 +51,6 @@ BASIN_BOXES = [
 HEATWAVE_CATEGORY_LABELS = {0: "None", 1: "Moderate", 2: "Strong", 3: "Severe", 4: "Extreme"}
 TREND_KEYS = {"SST anomaly": "sst", "OHC_700m": "ohc_700m", "MLD": "mld", "Qnet": "qnet"}
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-DACS = ["aoml", "bodc", "coriolis", "csio", "csiro", "incois", "jma", "meds"]
 
 # Accepted range per variable.
 RANGE_BOUNDS = {

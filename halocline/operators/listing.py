@@ -119,8 +119,8 @@ def profile_by_id(df, profile_id):
 
 
 def top_sample(df, keys, n):
-    """At most ``n`` rows, chosen by a hash of the key: random in effect and the same on every run."""
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(n)
+    """At most ``n`` rows, chosen by a hash of the key's text: random in effect and the same on every run."""
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), *keys).limit(n)
 
 
 def first_match(trends, keyword, value="slope_per_year"):

@@ -26,9 +26,13 @@ def valid_levels(levels):
 def choose_adjusted(levels, variables=("temp", "psal", "pres"), share=0.5):
     """Per store, take the adjusted variable if it has at least ``share`` of the raw valid values.
 
-    The choice is one small map from store to flags, read as a subquery: the levels are not shuffled.
+    A variable without an adjusted column stays raw, and so does every level without a store. The choice
+    is one small map from store to flags, read as a subquery: the levels are not shuffled.
     """
-    counts = levels.groupBy("dac").agg(
+    variables = [v for v in variables if f"{v}_adjusted" in levels.columns]
+    if not variables:
+        return levels
+    counts = levels.where("dac is not null").groupBy("dac").agg(
         F.struct(*[
             (F.count(f"{v}_adjusted") >= F.lit(share) * F.count(v)).alias(v) for v in variables
         ]).alias("use")
@@ -139,9 +143,15 @@ def profile_measures(levels, min_levels=5):
 
 
 def profile_physics(levels, heads):
-    """Measures joined to position and time; profiles without a position are dropped."""
+    """Measures joined to position and time; profiles without a position are dropped.
+
+    Levels may be raw with adjusted columns, of which the better ones are taken, and heads may have the
+    raw time ``juld`` (nanoseconds) in place of ``time``.
+    """
+    if "time" not in heads.columns and "juld" in heads.columns:
+        heads = heads.withColumn("time", P.decode_profile_time(F.col("juld"))).drop("juld")
     placed = heads.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    return profile_measures(valid_levels(levels)).join(placed, KEY)
+    return profile_measures(valid_levels(choose_adjusted(levels))).join(placed, KEY)
 
 
 def with_confidence(profiles):

@@ -381,3 +381,15 @@ def test_a_cluster_needs_a_shared_folder(spark):
     with pytest.raises(ValueError):
         session.shared_dir(Fake("spark://host:7077"), "x")
     assert session.shared_dir(Fake("local[4]"), "x")
+
+
+def test_raw_levels_and_times_are_taken_as_they_come(spark):
+    rows = [("a", 1, k, 10.0 * k, 20.0 - k, 35.0, 10.0 * k, 19.0 - k) for k in range(12)]
+    names = "dac string, profile_idx long, level_idx long, pres double, temp double, psal double, pres_adjusted double, temp_adjusted double"
+    raw = spark.createDataFrame(rows, names)
+    heads = spark.createDataFrame([("a", 1, 5.0, 70.0, 1_600_000_000_123_456_789)], "dac string, profile_idx long, lat double, lon double, juld long")
+    row = profiles.profile_physics(raw, heads).first()
+    assert row.sst_argo == pytest.approx(18.0) and row.time.year == 2020
+    plain = raw.drop("pres_adjusted", "temp_adjusted")
+    assert profiles.choose_adjusted(plain).columns == plain.columns
+    assert profiles.choose_adjusted(raw.withColumn("dac", F.lit(None).cast("string"))).count() == 12

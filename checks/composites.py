@@ -347,12 +347,12 @@ def _(m):
        """SELECT lat AS latitude, lon AS longitude, sst, coalesce(sst_anomaly, sst - 28) AS sst_anomaly FROM t_sst WHERE sst IS NOT NULL AND time = (SELECT time FROM t_grid ORDER BY abs(date_diff('day', DATE '1998-05-05', time)), time LIMIT 1)
  AND lat IN (-30, -10) AND lon IN (40, 70, 100)""")
 def _(m):
-    return grid.heatmap_points(frames.sst(m), "1998-05-05", 2)
+    return views.sst_heatmap(m("grid"), "1998-05-05", 2)
 
 
 @query("Q6_anomaly_grid", "lat lon sst_anomaly~3", "SELECT * FROM t_gridcells")
 def _(m):
-    return cells_of(grid.grid_rows(grid.heatmap_points(frames.sst(m), None, 1)))
+    return cells_of(grid.grid_rows(views.sst_heatmap(m("grid"))))
 
 
 @query("Q7_heatwave_events", EVENT, "SELECT * FROM t_ev WHERE duration_days >= 5")

@@ -189,6 +189,17 @@ def heat_content_anomaly(yearly):
     return line.select("year", "ohc", (F.col("ohc") - F.coalesce("fitted", "ohc")).alias("anomaly"))
 
 
+def sst_heatmap(sst, target=None, stride=1):
+    """Points of the day nearest to ``target``, or of the latest one, with anomaly.
+
+    Only rows of the same day of the year enter the climatology; the time axis is one aggregate.
+    """
+    chosen = sst.agg(F.max("time")).scalar() if target is None else grid.nearest_time(sst, target)
+    same_day = sst.where(F.dayofyear("time") == F.dayofyear(chosen))
+    day = fields.sst_dataset(same_day).where(F.col("time") == chosen)
+    return grid.heatmap_points(day, stride=stride, axes=sst)
+
+
 def anomaly_frames(sst, frames=None, stride=1):
     return grid.spatial_stride(grid.time_stride(fields.sst_dataset(sst), frames), stride, sst).select(
         "time", "lat", "lon", "sst_anomaly"

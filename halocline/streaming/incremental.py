@@ -95,6 +95,16 @@ def read_merged(spark, target, date="date"):
     )
 
 
+def fold_merged(spark, target, folded, date="date"):
+    """Write the merged table as one first batch of a new target; later batches of the stream go there.
+
+    Superseded rows and the folders of single batches stay behind in ``target``, which can be removed.
+    """
+    rows = f"{folded}/rows/batch_id=-1"
+    read_merged(spark, target, date).write.parquet(rows)
+    spark.read.parquet(rows).agg(F.min(date).alias("first")).write.parquet(f"{folded}/firsts/batch_id=-1")
+
+
 def drop_late(df, mark, time="time"):
     """Rows at or before the mark are late and dropped."""
     return df.where(F.col(time) > mark) if mark is not None else df

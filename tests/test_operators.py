@@ -393,3 +393,18 @@ def test_raw_levels_and_times_are_taken_as_they_come(spark):
     plain = raw.drop("pres_adjusted", "temp_adjusted")
     assert profiles.choose_adjusted(plain).columns == plain.columns
     assert profiles.choose_adjusted(raw.withColumn("dac", F.lit(None).cast("string"))).count() == 12
+
+
+def test_folding_keeps_the_merged_rows(spark, tmp_path):
+    from halocline.streaming import incremental
+
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    batches = [[(1, "a"), (2, "a"), (3, "a")], [(2, "b"), (4, "b")], [(4, "c"), (5, "c")]]
+    frames = [spark.createDataFrame([(DAY + dt.timedelta(days=d), v) for d, v in b], "date date, v string") for b in batches]
+    for k, df in enumerate(frames[:2]):
+        incremental.write_batch(df, k, old, "date")
+    incremental.fold_merged(spark, old, new)
+    for target in (old, new):
+        incremental.write_batch(frames[2], 2, target, "date")
+    rows = [sorted(tuple(r) for r in incremental.read_merged(spark, t).collect()) for t in (old, new)]
+    assert rows[0] == rows[1] and [v for _, v in rows[0]] == ["a", "b", "c", "c"]

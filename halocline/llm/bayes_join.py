@@ -13,6 +13,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from halocline.llm.common import mix64, stored
@@ -123,23 +124,21 @@ def band_keys(values):
 def components(edges, rounds=30):
     """(node, root) of the graph of ``edges`` (a, b), longs; the root is the least node of a component.
 
-    Edges are turned in rounds: those to larger neighbours towards the least neighbour, then those to
-    smaller ones, until nothing changes. Least neighbours are combined map-side; a hub is a skewed join.
+    In each round every node ties itself and its neighbours to the least of them, until the edges stay the
+    same and form stars; paths halve in a round. Least neighbours are combined map-side, and the edges of
+    a hub meet them in a join that can be split.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    edges, state = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges"), None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a <> b").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == state:
+        ties = both.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        seen = Observation()
+        found = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("sum"))
+        edges = stored(ties.where("a <> b").distinct().observe(seen, found.alias("state")), "edges")
+        if seen.get["state"] == state:
             break
-        state = now
+        state = seen.get["state"]
     else:
         raise RuntimeError(f"components not found in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -167,13 +167,11 @@ def repeated_starts(texts, length=LENGTH, anchor=ANCHOR):
     """
     longs = "k1 long, k2 long, at long, first long, last long, trigger long, c1 long, c2 long"
     parsed = texts.mapInArrow(_parse(length, anchor), longs)
-    # copies of a text have equal rows; n counts them
-    parsed = parsed.groupBy(parsed.columns).agg(F.count("*").alias("n"))
     parsed = parsed.select("*", (F.col("at") - F.col("first")).alias("far"), (F.col("at") - F.col("last")).alias("near"))
     parsed = stored(parsed, "phrases")
     key = ["trigger", "c1", "c2", "far", "near"]
     one = [F.first(c).alias(c) for c in ("k1", "k2", "at", "first", "last")]
-    dictionary = stored(parsed.groupBy(key).agg(F.sum("n").alias("n"), *one), "dictionary")
+    dictionary = stored(parsed.groupBy(key).agg(F.count("*").alias("n"), *one), "dictionary")
     settled = parsed.join(dictionary.where("n > 1").select(key), key, "left_semi").select("k1", "k2", "first", "last")
     # triggers with several reaches, of which one at least is not settled; each reach is shown once
     several = dictionary.groupBy("trigger").agg(F.count("*").alias("reaches"), F.min("n").alias("fewest"))

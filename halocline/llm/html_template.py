@@ -42,8 +42,8 @@ ROLES = frozenset("navigation banner complementary contentinfo search form dialo
 MAIN = ("article", "main")
 #: A class is part of the template if so large a part of the host's pages has it.
 SUPPORT = 0.5
-#: Pages of a host from which constant texts are taken to be template.
-LEAST_PAGES = 3
+#: Pages of a host from which a text that all of them have counts as template; in fewer, articles may share it.
+LEAST_PAGES = 20
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"

@@ -24,7 +24,7 @@ PAGE = (
 )
 
 
-def test_article_of_template_pages(spark):
+def test_article_of_template_pages(spark, monkeypatch):
     rows = [
         (k, f"https://News.example.org:80/{k}", PAGE.format(menu=f"menu {k}", title=f"Title {k}", first=f"First  {k}\n text", second=f"<b>Bold</b> {k}", comment="nice " * 80), "x")
         for k in range(6)
@@ -40,6 +40,10 @@ def test_article_of_template_pages(spark):
         expected[(k, text, len(text))] += 1
     assert got == expected
     assert html_template.extract(pages.where("false")).count() == 0
+    # on larger hosts a text of the frame's class is template
+    monkeypatch.setattr(html_template, "LEAST_PAGES", 6)
+    rows = {r.page_id: r.text for r in html_template.extract(pages.where("page_id < 10")).collect()}
+    assert rows == {k: f"Title {k}\nFirst {k} text\nBold {k} more & more" for k in range(6)}
 
 
 def test_articles_of_the_shipped_pages(spark, small_dir):

@@ -95,9 +95,13 @@ def folds(rows, folds, fold):
     return {r.doc_id for r in rows if r.doc_id is not None and crc32(str(r.doc_id).encode()) % folds == fold}
 
 
-@pytest.mark.parametrize("name, label, n, fold, threshold", [("op6_toxicity", "toxic", 4, 2, 0.3), ("op8_quality_rules", "quality", 3, 1, 0.5)])
-def test_classifiers_on_held_out_rows(spark, name, label, n, fold, threshold):
-    sf_dir = "/root/testdata/sf0.01"
+# the smaller tables have too few toxic rows in three of the four languages to learn their terms
+CLASSIFIERS = [("op6_toxicity", "toxic", 4, 2, 0.3, "sf0.1"), ("op8_quality_rules", "quality", 3, 1, 0.5, "sf0.01")]
+
+
+@pytest.mark.parametrize("name, label, n, fold, threshold, size", CLASSIFIERS)
+def test_classifiers_on_held_out_rows(spark, name, label, n, fold, threshold, size):
+    sf_dir = f"/root/testdata/{size}"
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = QUERIES[name](spark, sf_dir).collect()
     assert {r.doc_id for r in rows if r.held_out} == folds(rows, n, fold)
@@ -105,8 +109,8 @@ def test_classifiers_on_held_out_rows(spark, name, label, n, fold, threshold):
     known = [(labels[r.doc_id], r.score) for r in rows if r.held_out and r.doc_id in labels]
     y, score = np.array(known).T
     assert auc(y, score) > 0.9
-    spark_rows = QUERIES[name](spark, sf_dir).collect()
-    assert Counter(spark_rows) == Counter(rows)
+    again = {r.doc_id: r.score for r in QUERIES[name](spark, sf_dir).collect()}
+    assert all(again[r.doc_id] == pytest.approx(r.score, abs=1e-6) for r in rows)
 
 
 def test_classifiers_of_odd_rows(odd_documents, no_documents, odd_labels):

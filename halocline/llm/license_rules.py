@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Families: label, a keyword that every form holds, the name as an expression, the tag form.
+#: Families: label, a keyword that every form holds as a whole word, the name as an expression, the tag form or None.
+#: A name or tag that has no word in common with the others is a family of its own.
 FAMILIES = (
-    ("mit", "mit", r"mit|expat|mit x11|x11 mit", r"mit(?: 0)?"),
+    ("mit", "mit", r"mit|mit x11|x11 mit", r"mit(?: 0)?"),
+    ("mit", "expat", r"expat", None),
     ("apache", "apache", r"apache(?: software)?", r"apache(?: [12](?: [01])?)?"),
-    ("gpl", "gpl", r"gnu gpl|gpl(?:v[123])?(?: [123])?", r"gpl [123](?: 0)?(?: only| or later)?"),
+    ("gpl", "gpl", r"gnu gpl|gpl(?: [123])?", r"gpl [123](?: 0)?(?: only| or later)?"),
+    *[("gpl", f"gplv{v}", rf"gplv{v}(?: [123])?", None) for v in (1, 2, 3)],
     ("gpl", "general", r"(?:gnu )?general public", r"gnu general public license v[123]"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?:v[23])?(?: [23](?: [01])?)?", r"lgpl [23](?: [01])?(?: only| or later)?"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: [23](?: [01])?)?", r"lgpl [23](?: [01])?(?: only| or later)?"),
+    *[("lgpl", f"lgplv{v}", rf"(?:gnu )?lgplv{v}(?: [23](?: [01])?)?", None) for v in (2, 3)],
     ("lgpl", "lesser", r"(?:gnu )?lesser general public", r"gnu lesser general public license"),
     ("lgpl", "library", r"(?:gnu )?library general public", r"gnu library general public license"),
-    ("agpl", "agpl", r"(?:gnu )?agpl(?:v3)?(?: 3)?", r"agpl 3(?: 0)?(?: only| or later)?"),
+    ("agpl", "agpl", r"(?:gnu )?agpl(?: 3)?", r"agpl 3(?: 0)?(?: only| or later)?"),
+    ("agpl", "agplv3", r"(?:gnu )?agplv3(?: 3)?", None),
     ("agpl", "affero", r"(?:gnu )?affero general public", r"gnu affero general public license"),
     ("bsd", "bsd", r"(?:new |simplified |modified |revised )?bsd(?: style)?(?: [0234] clause)?|[0234] clause bsd", r"bsd [0234] clause"),
     ("bsd", "freebsd", r"freebsd(?: documentation)?", r"freebsd"),
@@ -33,7 +38,8 @@ FAMILIES = (
     ("epl", "epl", r"epl(?: [12](?: 0)?)?", r"epl [12](?: 0)?"),
     ("cddl", "cddl", r"cddl(?: 1(?: [01])?)?", r"cddl 1(?: [01])?"),
     ("cddl", "distribution", r"common development and distribution", r"common development and distribution license"),
-    ("cpl", "common", r"common public", r"cpl 1(?: 0)?"),
+    ("cpl", "common", r"common public", None),
+    ("cpl", "cpl", None, r"cpl 1(?: 0)?"),
     ("isc", "isc", r"isc", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib"),
     ("libpng", "libpng", r"libpng", r"libpng(?: 2 0)?"),
@@ -45,7 +51,8 @@ FAMILIES = (
     ("cc0", "cc0", r"cc0(?: 1(?: 0)?)?", r"cc0 1(?: 0)?"),
     ("cc0", "zero", r"creative commons zero", r"creative commons zero"),
     ("cc-by", "commons", r"creative commons attribution(?: [1234](?: 0)?)?", r"creative commons attribution"),
-    ("cc-by-sa", "alike", r"creative commons attribution share ?alike(?: [1234](?: 0)?)?", r"cc by share alike"),
+    ("cc-by-sa", "alike", r"creative commons attribution share alike(?: [1234](?: 0)?)?", r"cc by share alike"),
+    ("cc-by-sa", "sharealike", r"creative commons attribution sharealike(?: [1234](?: 0)?)?", None),
     ("cc-by-nc", "noncommercial", r"creative commons attribution noncommercial(?: [1234](?: 0)?)?", r"cc by noncommercial"),
     ("cc-by-nd", "noderivatives", r"creative commons attribution noderivatives(?: [1234](?: 0)?)?", r"cc by noderivatives"),
     ("cc-by", "cc", r"cc by(?: [1234](?: 0)?)?", r"cc by [1234](?: 0)?"),
@@ -59,23 +66,29 @@ FAMILIES = (
     ("ruby", "ruby", r"ruby", r"ruby"),
     ("php", "php", r"php(?: 3(?: 0)?)?", r"php 3(?: 0)?"),
     ("ms-pl", "microsoft", r"microsoft public", r"microsoft public license"),
-    ("ms-rl", "reciprocal", r"microsoft reciprocal", r"ms rl"),
+    ("ms-rl", "reciprocal", r"microsoft reciprocal", None),
+    ("ms-rl", "rl", None, r"ms rl"),
     ("eupl", "eupl", r"eupl(?: 1(?: [012])?)?", r"eupl 1(?: [012])?"),
     ("eupl", "union", r"european union public", r"european union public licence"),
     ("cecill", "cecill", r"cecill(?: [bc])?(?: [12])?", r"cecill [12](?: [01])?"),
-    ("openssl", "openssl", r"openssl|ssleay", r"openssl"),
+    ("openssl", "openssl", r"openssl", r"openssl"),
+    ("openssl", "ssleay", r"ssleay", None),
     ("postgresql", "postgresql", r"postgresql", r"postgresql"),
     ("w3c", "w3c", r"w3c(?: software)?(?: notice and)?", r"w3c"),
     ("x11", "x11", r"x11", r"x11"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?", r"ncsa"),
-    ("upl", "universal", r"universal permissive", r"upl 1(?: 0)?"),
+    ("upl", "universal", r"universal permissive", None),
+    ("upl", "upl", None, r"upl 1(?: 0)?"),
     ("vim", "vim", r"vim", r"vim"),
-    ("beerware", "beerware", r"beerware|beer ware", r"beerware"),
+    ("beerware", "beerware", r"beerware", r"beerware"),
+    ("beerware", "beer", r"beer ware", None),
     ("gfdl", "documentation", r"(?:gnu )?free documentation", r"gnu free documentation license"),
-    ("odbl", "database", r"open(?: data commons)? database", r"odbl 1(?: 0)?"),
+    ("odbl", "database", r"open(?: data commons)? database", None),
+    ("odbl", "odbl", None, r"odbl 1(?: 0)?"),
     ("sspl", "sspl", r"sspl(?: v?1)?", r"sspl 1(?: 0)?"),
     ("elastic", "elastic", r"elastic(?: 2(?: 0)?)?", r"elastic 2(?: 0)?"),
-    ("busl", "business", r"business source", r"busl 1(?: 1)?"),
+    ("busl", "business", r"business source", None),
+    ("busl", "busl", None, r"busl 1(?: 1)?"),
 )
 _LICENSE = r"licen[sc]e"
 _VERSION = r"(?: (?:v|ver|version|v?\d)(?: \d+)*)?"
@@ -112,7 +125,8 @@ def rules():
     found = [(label, phrase.split(" ")[0], phrase, 0.85) for phrase, label in BASE]
     for form, confidence in FORMS:
         for label, keyword, name, tag in FAMILIES:
-            found.append((label, keyword, form.replace("{n}", name).replace("{t}", tag), confidence))
+            if (filling := tag if "{t}" in form else name) is not None:
+                found.append((label, keyword, form.replace("{n}", filling).replace("{t}", filling), confidence))
     found += NOTICES
     return [
         (k, label, keyword, rf"(?<= )(?:{expression})(?= )", confidence)

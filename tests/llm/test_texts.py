@@ -314,6 +314,48 @@ def test_rules_are_many_and_gated():
     assert all(any(g in keyword + expression for g in license_rules.GATES) or "licen" in expression for *_, keyword, expression, _ in rules)
 
 
+def ungated_labels(text):
+    """Labels of the finds kept when every expression is tried."""
+    norm = " " + " ".join(LICENSE.findall(text.translate(LOWER))) + " "
+    places = []
+    for k, label, _, expression, _ in license_rules.rules():
+        for m in re.finditer(expression, norm):
+            first = norm[: m.start()].count(" ") - 1
+            places.append((first, -(first + m[0].count(" ") + 1), k, label))
+    kept, end = set(), 0
+    for p in sorted(places):
+        if -p[1] > end:
+            kept.add(p[3])
+            end = -p[1]
+    return kept
+
+
+def test_no_keyword_hides_a_find(spark, odd_documents, small_dir):
+    texts = {
+        "licensed under GPLv3": "gpl", "licensed under the LGPLv3": "lgpl", "AGPLv3 license": "agpl", "Expat license": "mit",
+        "licensed under the Creative Commons Attribution-ShareAlike license": "cc-by-sa", "SSLeay license": "openssl",
+        "Beer-Ware license": "beerware", **{
+            f"SPDX-License-Identifier: {tag}": label for tag, label in (
+                ("UPL-1.0", "upl"), ("ODbL-1.0", "odbl"), ("CPL-1.0", "cpl"), ("BUSL-1.1", "busl"), ("MS-RL", "ms-rl"), ("GPL-2.0-only", "gpl"),
+            )
+        },
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = license_rules.license_summary(docs).collect()
+    assert [r.labels for r in sorted(rows)] == list(texts.values())
+    for docs in [docs, *both(spark, odd_documents, small_dir)]:
+        rows = license_rules.scan(docs).select("doc_id", F.array_sort(F.array_distinct("finds.label")).alias("labels")).collect()
+        expected = Counter((r.doc_id, *sorted(ungated_labels(r.text or ""))) for r in docs.select("doc_id", "text").collect())
+        assert Counter((r.doc_id, *r.labels) for r in rows) == expected
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.sampled_from(license_rules.rules()).flatmap(lambda r: st.tuples(st.just(r[2]), st.from_regex(r[3][6:-5], fullmatch=True, alphabet="abcdefghijklmnopqrstuvwxyz 0123456789"))))
+def test_every_match_holds_its_keyword(match):
+    keyword, text = match
+    assert f" {keyword} " in f" {text} " and any(g in text for g in license_rules.GATES)
+
+
 # op10
 
 

@@ -46,8 +46,6 @@ class WordIds:
         self.young, self.old = {}, {}
 
     def learn(self, unknown):
-        if len(self.young) > self.remembered:
-            self.young, self.old = {}, self.young
         words = list(unknown)
         encoded = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
         ids = np.asarray(encoded.ids, "<u4")
@@ -60,6 +58,9 @@ class WordIds:
 
     def encode(self, texts):
         """The ids of each text as bytes, with the closing id 0."""
+        # before any word is looked up, so that every word of these texts ends up in young
+        if len(self.young) > self.remembered:
+            self.young, self.old = {}, self.young
         split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
         unknown = set().union(*split)
         unknown.discard("")

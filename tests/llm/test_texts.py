@@ -254,6 +254,15 @@ def test_words_give_the_ids_of_the_text(texts):
         assert data == np.array(ids, "<u4").tobytes()
 
 
+def test_words_beyond_the_cache_keep_their_ids():
+    known = vector_packing.word_ids(word_tokenizer()).tokenizer
+    words = vector_packing.WordIds(known, remembered=3)
+    for texts in (["one two three", "four five"], ["one six", "two six seven"], ["eight nine one"], ["one two"], ["six ten", ""]):
+        for t, data in zip(texts, words.encode(texts), strict=True):
+            assert data == np.array([*known.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
+        assert len(words.young) <= 3 + 6 + 1
+
+
 # op9
 
 LICENSE = re.compile(license_rules.LICENSE_WORD)

@@ -10,8 +10,10 @@ the sum of its paragraphs' vectors, each lane modulo 2**60. Order does not count
   lanes hold four 15-bit counters each: how many of the triples have a given hash bit set. The spread of
   the differences of two documents' counters estimates how many triples they do not share.
 
-Empty paragraphs add nothing, so an empty or null text has the zero fingerprint. Counters wrap at 2**15,
-which only blurs the likeness of texts beyond about 60,000 words.
+Empty paragraphs add nothing, so an empty or null text has the zero fingerprint. Counters wrap at 2**15 and
+carry into the next one; the differences of two documents' counters are read from the difference of whole
+lanes, around the difference that their numbers of triples lead to expect, and are exact while they stay
+within 2**14 of it (documents that differ in less than some millions of triples).
 """
 
 from pyspark.sql import Column, functions as F
@@ -96,8 +98,19 @@ def as_text(print_: Column) -> Column:
     return F.array_join(F.transform(print_, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
 
 
-def _counter(lane: Column, part: int) -> Column:
-    return F.shiftrightunsigned(lane, 15 * part).bitwiseAND(F.lit(0x7FFF)).cast("double")
+def _apart(x: Column, y: Column, expected: Column) -> Column:
+    """Differences of the four counters of two lanes, less ``expected`` (modulo 2**15), each in [-2**14, 2**14)."""
+    # with 2**14 added to each there is no borrow between them
+    shift = (F.lit(1 << 14) - expected.bitwiseAND(F.lit(0x7FFF))) * F.lit(COUNTERS)
+    return _bound(
+        _wrap(x - y + shift),
+        lambda d: F.array(
+            *[
+                F.shiftrightunsigned(d, 15 * part).bitwiseAND(F.lit(0x7FFF)).cast("double") - F.lit(float(1 << 14))
+                for part in range(4)
+            ]
+        ),
+    )
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -106,11 +119,10 @@ def likeness(a: Column, b: Column) -> Column:
     Each bit of a triple's hash is set by chance, so the difference of two documents' counters has a
     variance, over the counters, of a quarter of the number of triples that they do not share.
     """
+    expected = F.shiftright(F.get(a, EQUALITY) - F.get(b, EQUALITY), 1)
     apart = F.flatten(
         F.zip_with(
-            F.slice(a, EQUALITY + 2, SKETCH),
-            F.slice(b, EQUALITY + 2, SKETCH),
-            lambda x, y: F.array(*[_counter(x, k) - _counter(y, k) for k in range(4)]),
+            F.slice(a, EQUALITY + 2, SKETCH), F.slice(b, EQUALITY + 2, SKETCH), lambda x, y: _apart(x, y, expected)
         )
     )
     n = float(4 * SKETCH)

@@ -398,6 +398,24 @@ def test_order_and_edits_of_paragraphs(spark):
     assert tuple(row) == (True, True, True, False)
 
 
+def test_likeness_where_counters_wrap(spark):
+    def lanes(bits):
+        """Lanes of a document whose triples have these rows of 48 bits, as ``fingerprint`` sums them."""
+        sums = [int(x) for x in bits.sum(axis=0)]
+        sketch = [sum(c << 15 * k for k, c in enumerate(sums[i : i + 4])) % multiset_hash.MODULUS for i in range(0, 48, 4)]
+        return [len(bits), *[0] * (multiset_hash.EQUALITY - 1), len(bits), *sketch]
+
+    rows, random = [], np.random.default_rng(7)
+    for n in (1000, 60_000, 65_600, 70_000, 131_072, 200_000):
+        bits = random.integers(0, 2, (n + n // 4, 48), dtype=np.uint8)
+        rows.append((n, lanes(bits[:n]), lanes(bits[n // 4 :])))
+        rows.append((-n, lanes(bits[:n]), lanes(bits[: n // 2])))
+    df = spark.createDataFrame(rows, "n long, a array<long>, b array<long>")
+    for r in df.select("n", multiset_hash.likeness(F.col("a"), F.col("b")).alias("near")).collect():
+        # unshared triples are a quarter of either, or the half that one lacks
+        assert r.near == pytest.approx(0.75 if r.n > 0 else 2 / 3, abs=0.25), r.n
+
+
 def test_next_crosses_buckets_and_wraps(spark):
     ids = [0, 1, 255, 256, 300, 2**20, 2**20 + 5, 2**33, -7]
     docs = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "null")], "doc_id long, text string")

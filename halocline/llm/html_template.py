@@ -38,6 +38,8 @@ MARKED = frozenset(
     "navigation breadcrumb breadcrumbs footer header masthead comment comments disqus respond replies share sharing "
     "social related recommended widget toolbar pagination pager login signin signup search skip copyright".split()
 )
+#: Names and roles, and these elements, are weak evidence: they may stand around the article.
+WEAK = frozenset("form".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu".split())
 MAIN = ("article", "main")
 #: A class is part of the template if so large a part of the host's pages has it.
@@ -55,11 +57,15 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _label(name, attributes):
-    """Name of an element in paths: tag, its marks, and a leading ``-`` if its text never counts."""
+def _label(name, attributes, lifted=False):
+    """Name of an element in paths: tag, its marks, and a leading ``-`` if its text does not count.
+
+    ``lifted`` leaves weak evidence out.
+    """
+    strong = name in SKIPPED and not (lifted and name in WEAK)
     if not attributes or "=" not in attributes:
-        return ("-" + name if name in SKIPPED else name)
-    marks, skipped = [], name in SKIPPED
+        return ("-" + name if strong else name)
+    marks, skipped = [], False
     for key, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         if key.lower() == "role":
@@ -70,6 +76,7 @@ def _label(name, attributes):
             if key.lower() == "class":
                 marks += sorted(value.split())
     label = ".".join([name, *marks]).replace("/", "_")
+    skipped = strong or skipped and not lifted
     return "-" + label if skipped and name not in ("html", "body") else label
 
 
@@ -78,9 +85,60 @@ def blocks(html):
 
     A block is text between structural tags, with references decoded and white space made one blank.
     The container leaves out trailing text elements such as paragraphs, lists and tables.
+
+    Names, roles and forms do not skip what holds the article: if the text of every innermost article or main
+    element is skipped by them alone, they are void around the largest one, and if all text of a page is
+    skipped, around the larger part of it.
     """
-    stack, paths, found, parts = [], [], [], []
-    at = 0
+    paths, found, inside = _blocks(html)
+    for around in (_around_article, _around_all):
+        if lifted := around(found, inside):
+            paths, found, inside = _blocks(html, lifted)
+    return paths, found
+
+
+def _skippers(held):
+    """Numbers of the weakly skipped elements in a stack; None if a block is skipped for good."""
+    weak = []
+    for name, label, number in held:
+        if label[0] == "-":
+            if name in SKIPPED and name not in WEAK:
+                return None
+            weak.append(number)
+    return weak
+
+
+def _around_article(found, inside):
+    mains, outer = {}, set()
+    for (_, skipped, text), held in zip(found, inside):
+        numbers = [s[2] for s in held if s[0] in MAIN]
+        outer.update(numbers[:-1])
+        if numbers and (weak := _skippers(held)) is not None:
+            last = max(k for k, s in enumerate(held) if s[0] in MAIN)
+            size, free, _ = mains.get(numbers[-1], (0, False, None))
+            mains[numbers[-1]] = (size + len(text), free or not skipped, _skippers(held[: last + 1]))
+    mains = {k: v for k, v in mains.items() if k not in outer}
+    if not mains or any(free for _, free, _ in mains.values()):
+        return frozenset()
+    return frozenset(max(mains.values(), key=lambda v: v[0])[2])
+
+
+def _around_all(found, inside):
+    if any(not skipped for _, skipped, _ in found):
+        return frozenset()
+    sizes, total = {}, 0
+    for (_, _, text), held in zip(found, inside):
+        weak = _skippers(held)
+        total += len(text) if weak else 0
+        for number in weak or ():
+            sizes[number] = sizes.get(number, 0) + len(text)
+    return frozenset(k for k, n in sizes.items() if 2 * n >= total) or frozenset(sizes)
+
+
+def _blocks(html, lifted=frozenset()):
+    """As ``blocks``, and the open elements (name, label, number) of each block; weak evidence of ``lifted`` is void."""
+    stack, paths, found, inside, parts = [], [], [], [], []
+    at = number = 0
 
     def flush():
         if parts:
@@ -93,6 +151,7 @@ def blocks(html):
                     depth -= 1
                 skipped = any(s[1][0] == "-" for s in stack)
                 found.append(("/".join(s[1] for s in stack[:depth]), skipped, text))
+                inside.append(tuple(stack))
 
     for m in TAG.finditer(html):
         if m.start() > at:
@@ -119,14 +178,15 @@ def blocks(html):
             continue
         if name in CLOSED_BY_BLOCK and stack and stack[-1][0] == "p":
             stack.pop()
-        label = _label(name, m["attributes"])
+        number += 1
+        label = _label(name, m["attributes"], number in lifted)
         paths.append("/".join([*(s[1] for s in stack), label]))
         if name not in VOID:
-            stack.append((name, label))
+            stack.append((name, label, number))
     if at < len(html):
         parts.append(html[at:])
     flush()
-    return paths, found
+    return paths, found, inside
 
 
 def host_of(url):

@@ -56,6 +56,21 @@ def test_articles_of_the_shipped_pages(spark, small_dir):
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content has-sidebar'><p>Text</p></div>", "<div id=page class=no-sidebar><p>Text<div class=sidebar>x</div></div>",
+        "<article class='post comments-open'><p>Text</p></article><p>More</p>", "<form><main class=search-page><p>Text</p></main></form><p>More</p>",
+        "<main>Top<div class=has-sidebar><article><p>Text</p><div class=share>x</div></article></div></main>",
+        "<main><article><p>Text</p></article><section id=comments><article><p>Long comment</p></article></section></main>",
+    ],
+)
+def test_names_do_not_hide_the_article(page):
+    kept = [t for _, skipped, t in html_template.blocks(f"<body><nav>Menu</nav>{page}</body>")[1] if not skipped]
+    assert [t for t in kept if t not in ("More", "Top")] == ["Text"]
+    assert "Text" in html_template.main_text(page, None)
+
+
 def test_occurrence_vectors_form_classes(spark):
     rows = [("h", k, f"<body><div class=a>x{k}</div><div class=b>same</div>{'<p>q</p>' * k}</body>") for k in range(1, 5)]
     tokens = html_template.equivalence_classes(spark.createDataFrame(rows, "host string, page long, html string")).where("kind = 'tag'")

@@ -42,6 +42,8 @@ MARKED = frozenset(
 WEAK = frozenset("form".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu".split())
 MAIN = ("article", "main")
+#: Path of the outermost article or main element.
+CONTAINER = r"^((?:.*?/)?(?:" + "|".join(MAIN) + r")(?:\.[^/]*)?)(?:/|$)"
 #: A class is part of the template if so large a part of the host's pages has it.
 SUPPORT = 0.5
 #: Pages of a host from which a text that all of them have counts as template; in fewer, articles may share it.
@@ -245,20 +247,33 @@ def templates(tokens):
 
     The frame is the class of the body, or else of the most frequent tag. A class belongs to the template
     if SUPPORT of the host's pages have it and its paths start with those of the frame. Slots are paths
-    in the template; those of an article or main element come first, then those with most characters.
+    in the template. All slots below an outermost article or main element count as that element, which comes
+    first; then those with most characters.
     """
     frame = tokens.where("kind = 'tag'").groupBy("host").agg(
         F.max_by(F.struct("pages", "v1", "v2"), F.struct("pages", (-F.length("token")).alias("short"), "token")).alias("frame")
     )
-    joined = tokens.join(frame, "host").where(F.col("pages") >= F.lit(SUPPORT) * F.col("frame.pages"))
+    # slots of one element are held by different pages each, so the element has the support of its tag
+    container = F.regexp_extract("token", CONTAINER, 1)
+    named = container != ""
+    joined = tokens.join(frame, "host").where(
+        (F.col("pages") >= F.lit(SUPPORT) * F.col("frame.pages")) | (F.col("kind") == "slot") & named
+    )
     same = (F.col("v1") == F.col("frame.v1")) & (F.col("v2") == F.col("frame.v2")) & (F.col("pages") == F.col("frame.pages"))
-    named = F.when(F.regexp_like("token", F.lit(r"(?:^|/)(?:" + "|".join(MAIN) + r")(?:[./]|$)")), 1).otherwise(0)
     slot = (F.col("kind") == "slot") & ~F.col("skipped")
+    tag = (F.col("kind") == "tag") & (container == F.col("token"))
     text = (F.col("kind") == "text") & same & (F.col("pages") >= LEAST_PAGES)
-    return joined.groupBy("host").agg(
-        F.max_by(F.when(slot, F.col("token")), F.when(slot, F.struct(named.alias("named"), "chars", "token"))).alias("main"),
+    area = F.when(named, container).otherwise(F.col("token"))
+    areas = joined.groupBy("host", area.alias("area"), named.alias("named")).agg(
+        F.sum(F.when(slot, F.col("chars"))).alias("chars"),
+        F.max(tag).alias("has_tag"),
         F.collect_set(F.when(text, F.col("token"))).alias("fixed"),
     )
+    main = F.col("chars").isNotNull() & (~F.col("named") | F.col("has_tag"))
+    return areas.groupBy("host").agg(
+        F.max_by(F.when(main, F.col("area")), F.when(main, F.struct("named", "chars", "area"))).alias("main"),
+        F.flatten(F.collect_list("fixed")).alias("fixed"),
+    )
 
 
 def _key(text):
@@ -266,14 +281,15 @@ def _key(text):
 
 
 def main_text(html, main, fixed=frozenset()):
-    """The article of a page: blocks below ``main``, or in the page's own largest slot where it has none."""
+    """The article of a page: blocks below ``main``, or in the page's own largest element or slot where it has none."""
     _, found = blocks(html)
     kept = [(path, text) for path, skipped, text in found if not skipped]
     inside = [(p, t) for p, t in kept if main is not None and (p == main or p.startswith(main + "/"))]
     if not inside and kept:
         sizes = {}
         for p, t in kept:
-            named = any(label.split(".")[0] in MAIN for label in p.split("/"))
+            container = re.match(CONTAINER, p, re.S)
+            p, named = (container[1], True) if container else (p, False)
             sizes[p] = (named, sizes.get(p, (named, 0))[1] + len(t))
         best = max(sizes, key=lambda p: (sizes[p], p))
         inside = [(p, t) for p, t in kept if p == best or p.startswith(best + "/")]

@@ -71,6 +71,15 @@ def test_names_do_not_hide_the_article(page):
     assert "Text" in html_template.main_text(page, None)
 
 
+def test_all_slots_of_the_article(spark):
+    page = "<body><div class=top>{k} top</div><article><h1>T{k}</h1><div class=intro>I{k}</div><div class=body><p>{k} long text</p></div><p>E{k}</p></article></body>"
+    rows = [(k, "http://slots.example/" if k < 5 else f"http://alone{k}.example/", page.format(k=k)) for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract(pages).collect()}
+    assert got == {k: f"T{k}\nI{k}\n{k} long text\nE{k}" for k in range(6)}
+    assert html_template.main_text(page.format(k=7), None) == "T7\nI7\n7 long text\nE7"
+
+
 def test_occurrence_vectors_form_classes(spark):
     rows = [("h", k, f"<body><div class=a>x{k}</div><div class=b>same</div>{'<p>q</p>' * k}</body>") for k in range(1, 5)]
     tokens = html_template.equivalence_classes(spark.createDataFrame(rows, "host string, page long, html string")).where("kind = 'tag'")

@@ -51,3 +51,8 @@ def odd_labels(spark):
 @pytest.fixture(scope="session")
 def small_dir():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def odd_benchmark(spark):
+    return spark.createDataFrame([(1, words(1, 40)), (2, None), (3, "the MIT License ünïcödé")], "item_id long, text string")

@@ -11,18 +11,26 @@ bytes left and right of it decide each start.
 
 Order among suffixes is not needed, only equality up to ``length`` bytes, so reaches, cores and ends have
 names (hashes of 128 bits) in place of ranks. Comparisons are counts by name, combined map-side.
+
+A reach is known by its name alone: its bytes decide where its trigger stands in it. What travels is kept
+narrow: places are packed into one number, and texts are shipped compressed.
 """
 
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from halocline.llm.common import mix64, stored
 
 LENGTH, ANCHOR, STEP = 400, 96, 16
+#: Bits for the distance of a start from its trigger; strings are shorter than 1 << NEAR bytes.
+NEAR = 12
+#: Texts whose reaches a task remembers to have shown.
+SHOWN = 200_000
 #: Starts of a text that are parsed at once; places within such a part fit 24 bits.
 PART = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
@@ -114,34 +122,64 @@ def _utf8(text):
 
 
 def _parse(length, anchor):
-    names = ["k1", "k2", "at", "first", "last", "trigger", "c1", "c2"]
+    names = ["k1", "k2", "place", "trigger", "c1", "c2"]
 
     def run(batches):
         for batch in batches:
             columns = [[np.zeros(0, np.int64)] for _ in names]
             for k1, k2, text in zip(*[c.to_pylist() for c in batch.columns]):
-                found = reaches(np.frombuffer(_utf8(text), np.uint8), length, anchor)
-                n = len(found[0])
-                for c, v in zip(columns, [np.full(n, k1), np.full(n, k2), *found]):
+                at, first, last, *hashes = reaches(np.frombuffer(_utf8(text), np.uint8), length, anchor)
+                place = (at << 2 * NEAR) + (at - first << NEAR) + (at - last)
+                for c, v in zip(columns, [np.full(len(at), k1), np.full(len(at), k2), place, *hashes]):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
 
     return run
 
 
+def _unpacked(place):
+    """(trigger, farthest, nearest) distance of starts from it."""
+    mask = (1 << NEAR) - 1
+    return place >> 2 * NEAR, place >> NEAR & mask, place & mask
+
+
+def _starts(place):
+    """Columns of the first and the last start of a reach."""
+    mask = F.lit((1 << NEAR) - 1)
+    at = F.shiftright(place, 2 * NEAR)
+    far, near = F.shiftright(place, NEAR).bitwiseAND(mask), F.col(place).bitwiseAND(mask)
+    return (at - far).alias("first"), (at - near).alias("last")
+
+
+def _packed(batches):
+    """Texts, the last column, as compressed UTF-8; an empty value for null."""
+    compress = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        *keep, texts = batch.columns
+        out = [compress(_utf8(t.as_py())) for t in texts]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.binary())], names=batch.schema.names)
+
+
 def _steps(length):
     """Steps of the reaches in question: core names, ends, and the starts of the step that are theirs."""
     names = ["k1", "k2", "at", "step", "low", "high", "n1", "n2", "left", "right", "open"]
     types = [*[pa.int64()] * 3, *[pa.int32()] * 3, *[pa.int64()] * 2, *[pa.binary()] * 2, pa.bool_()]
 
     def run(batches):
+        unpack, shown = zstandard.ZstdDecompressor().decompress, set()
         for batch in batches:
             rows = []
-            for k1, k2, text, wanted in zip(*[c.to_pylist() for c in batch.columns]):
-                data = _utf8(text)
-                for r in wanted:
-                    at = r["at"]
-                    nearest, farthest = at - r["last"], at - r["first"]
+            for k1, k2, packed, wanted in zip(*batch.columns):
+                key = k1.as_py(), k2.as_py()
+                # copies of a text ask alike; one in another task only repeats rows of settled reaches
+                if key in shown:
+                    continue
+                if len(shown) >= SHOWN:
+                    shown.clear()
+                shown.add(key)
+                data = unpack(packed.as_py())
+                for r in wanted.as_py():
+                    at, farthest, nearest = _unpacked(r["place"])
                     for step in range(nearest // STEP, farthest // STEP + 1):
                         near = step * STEP
                         far = near + STEP - 1
@@ -149,7 +187,7 @@ def _steps(length):
                         core = hashlib.blake2b(data[start:stop], digest_size=16, key=step.to_bytes(4, "little", signed=True))
                         rows.append(
                             (
-                                k1, k2, at, step, max(near, nearest), min(far, farthest),
+                                *key, at, step, max(near, nearest), min(far, farthest),
                                 *np.frombuffer(core.digest(), "<i8").tolist(),
                                 data[max(0, at - far) : start], data[stop : stop + STEP - 1], r["open"],
                             )
@@ -160,31 +198,37 @@ def _steps(length):
     return run
 
 
+def _compressed(texts):
+    """``texts`` with its last column, text, compressed."""
+    schema = T.StructType([*texts.schema.fields[:-1], T.StructField("packed", T.BinaryType())])
+    return texts.withColumnRenamed("text", "packed").mapInArrow(_packed, schema)
+
+
 def repeated_starts(texts, length=LENGTH, anchor=ANCHOR):
     """(k1, k2, first, last) ranges of starts of repeated strings, by the key of the text.
 
     ``texts`` has k1, k2 (a key of the text) and text, one row per occurrence; equal texts have equal keys.
     """
-    longs = "k1 long, k2 long, at long, first long, last long, trigger long, c1 long, c2 long"
-    parsed = texts.mapInArrow(_parse(length, anchor), longs)
-    parsed = parsed.select("*", (F.col("at") - F.col("first")).alias("far"), (F.col("at") - F.col("last")).alias("near"))
-    parsed = stored(parsed, "phrases")
-    key = ["trigger", "c1", "c2", "far", "near"]
-    one = [F.first(c).alias(c) for c in ("k1", "k2", "at", "first", "last")]
-    dictionary = stored(parsed.groupBy(key).agg(F.count("*").alias("n"), *one), "dictionary")
-    settled = parsed.join(dictionary.where("n > 1").select(key), key, "left_semi").select("k1", "k2", "first", "last")
+    longs = "k1 long, k2 long, place long, trigger long, c1 long, c2 long"
+    parsed = stored(texts.mapInArrow(_parse(length, anchor), longs), "phrases")
+    key = ["c1", "c2"]
+    one = [F.first(c).alias(c) for c in ("trigger", "k1", "k2", "place")]
+    dictionary = parsed.groupBy(key).agg(F.count("*").alias("n"), *one)
+    # names serve only where a reach occurs again
+    dictionary = dictionary.withColumns({c: F.when(F.col("n") > 1, F.col(c)) for c in key})
+    dictionary = stored(dictionary, "dictionary")
+    settled = parsed.join(dictionary.where("n > 1").select(key), key, "left_semi").select("k1", "k2", *_starts("place"))
     # triggers with several reaches, of which one at least is not settled; each reach is shown once
     several = dictionary.groupBy("trigger").agg(F.count("*").alias("reaches"), F.min("n").alias("fewest"))
-    asked = dictionary.join(several.where("reaches > 1 and fewest = 1").select("trigger"), "trigger", "left_semi")
-    asked = asked.groupBy("k1", "k2").agg(
-        F.array_agg(F.struct("at", "first", "last", (F.col("n") == 1).alias("open"))).alias("wanted")
-    )
-    steps = texts.join(asked, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(
+    several = several.where("reaches > 1 and fewest = 1").select("trigger")
+    asked = dictionary.select("trigger", "k1", "k2", "place", (F.col("n") == 1).alias("open")).join(several, "trigger", "left_semi")
+    asked = asked.groupBy("k1", "k2").agg(F.array_agg(F.struct("place", "open")).alias("wanted"))
+    steps = _compressed(texts).join(asked, ["k1", "k2"]).select("k1", "k2", "packed", "wanted").mapInArrow(
         _steps(length),
         "k1 long, k2 long, at long, step int, low int, high int, n1 long, n2 long, left binary, right binary, open boolean",
     )
-    # copies of a text ask alike
-    steps = stored(steps.distinct(), "steps")
+    # open reaches occur once, so no row of theirs comes twice; rows of others may, and only make a name shared that is shared anyway
+    steps = stored(steps, "steps")
     own, cut = ["k1", "k2", "at", "step"], ["n1", "n2", "left", "right", "low", "high"]
     cores = steps.groupBy("n1", "n2").agg(F.count("*").alias("m"), F.max("open").alias("open"))
     steps = steps.join(cores.where("m > 1 and open").select("n1", "n2"), ["n1", "n2"], "left_semi")
@@ -224,12 +268,13 @@ def kept_bytes(data, ranges, length=LENGTH):
 
 def _remove(length):
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             *keep, texts, ranges = batch.columns
             out = []
-            for text, found in zip(texts.to_pylist(), ranges.to_pylist()):
-                data = _utf8(text)
-                left, runs = kept_bytes(data, [(r["first"], r["last"]) for r in found or ()], length)
+            for packed, found in zip(texts, ranges):
+                data = unpack(packed.as_py())
+                left, runs = kept_bytes(data, [(r["first"], r["last"]) for r in found.as_py() or ()], length)
                 out.append((len(data), len(data) - len(left), runs, left))
             types = [*[pa.int64()] * 3, pa.binary()]
             made = [pa.array([row[k] for row in out], t) for k, t in enumerate(types)]
@@ -248,12 +293,14 @@ def without_repeats(documents, keep=("doc_id",), length=LENGTH, anchor=ANCHOR):
     own, so a row that comes twice loses all its strings. No rows give no rows.
     """
     text = F.coalesce("text", F.lit(""))
+    if not anchor <= length < 1 << NEAR:
+        raise ValueError(f"strings of {length} bytes with anchors of {anchor} are not supported")
     rows = documents.select(
-        *keep, "text", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("other"), text, F.length(text)).alias("k2")
+        *keep, F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("other"), text, F.length(text)).alias("k2"), "text"
     )
     starts = repeated_starts(rows.select("k1", "k2", "text"), length, anchor)
     ranges = starts.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    rows = rows.join(ranges, ["k1", "k2"], "left").select(*keep, "text", "ranges")
+    rows = _compressed(rows).join(ranges, ["k1", "k2"], "left").select(*keep, "packed", "ranges")
     schema = T.StructType(documents.select(*keep).schema.fields)
     for name in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(name, "long")
@@ -267,14 +314,14 @@ def removal_digest(documents):
     )
 
 
-def cleaned(documents, length=LENGTH):
+def cleaned(documents, length=LENGTH, anchor=ANCHOR):
     """The rows of ``documents`` with ``text`` less its repeated strings, and ``n_chars`` to match.
 
-    A code point of which a part is removed goes as a whole. A null text stays null; texts that are
+    A code point of which a part is removed goes as a whole. Rows that repeat are places of their own; extra columns may have any name. A null text stays null; texts that are
     repeated throughout become empty, and their rows stay.
     """
     rows = documents.select(F.struct(*documents.columns).alias("row"), "text")
-    left = without_repeats(rows, ["row"], length)
+    left = without_repeats(rows, ["row"], length, anchor)
     text = F.when(F.col("row.text").isNotNull(), F.make_valid_utf8(F.col("kept").cast("string")))
     text = F.replace(text, F.lit("\ufffd"), F.lit(""))
     text = F.when(F.col("n_removed") > 0, text).otherwise(F.col("row.text"))

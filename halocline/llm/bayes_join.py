@@ -121,7 +121,7 @@ def band_keys(values):
     return _as_long(total)
 
 
-def components(edges, rounds=30):
+def components(edges):
     """(node, root) of the graph of ``edges`` (a, b), longs; the root is the least node of a component.
 
     In each round every node ties itself and its neighbours to the least of them, until the edges stay the
@@ -129,7 +129,7 @@ def components(edges, rounds=30):
     a hub meet them in a join that can be split.
     """
     edges, state = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges"), None
-    for _ in range(rounds):
+    while True:
         both = edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         ties = both.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
@@ -139,8 +139,6 @@ def components(edges, rounds=30):
         if seen.get["state"] == state:
             break
         state = seen.get["state"]
-    else:
-        raise RuntimeError(f"components not found in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
@@ -317,14 +315,15 @@ def one_of_each_class(documents, threshold=THRESHOLD):
         .select("best.*"),
         "class-heads",
     )
-    rows = documents.withColumn("_t1", F.xxhash64(F.coalesce("text", F.lit(""))))
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(text).alias("_t1"))
 
     def of(heads):
-        same = (F.col("rows._t1") == F.col("heads.t1")) & F.col("rows.doc_id").eqNullSafe(F.col("heads.doc_id"))
+        same = (F.col("rows._t1") == F.col("heads.t1")) & F.col("rows._doc").eqNullSafe(F.col("heads.doc_id"))
         return rows.alias("rows").join(heads.alias("heads"), same, "left_semi")
 
     several = best.where("alike > 1")
     kept = of(best.where("alike = 1"))
     if not several.isEmpty():
-        kept = kept.unionByName(of(several).dropDuplicates(["doc_id", "_t1"]))
-    return kept.select(*documents.columns)
+        kept = kept.unionByName(of(several).dropDuplicates(["_doc", "_t1"]))
+    return kept.select("_row.*")

@@ -58,7 +58,7 @@ def _wrap(c: Column) -> Column:
 
 
 def _hash_sum(parts: Column, seed: int) -> Column:
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: _wrap(acc + _wrap(F.xxhash64(p, F.lit(seed)))))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: _wrap(acc + _wrap(F.xxhash64(F.lit(seed), p))))
 
 
 def _counters(hashes: Column, lane: int) -> Column:

@@ -83,12 +83,14 @@ def scaled(vectors, scale):
 
 
 def exact_products(a, b):
-    """Inner products of whole-number matrices, as integers; of any size where floats could round."""
+    """Inner products of whole-number matrices, as 64-bit integers; formed of integers of any size where floats
+    could round, and of those beyond 64 bits the nearest 64-bit number."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if most < 2.0**53:
         return (a @ b.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
-    return whole(a) @ whole(b).T
+    most = 2**63 - 1
+    return np.minimum(np.maximum(whole(a) @ whole(b).T, -most), most).astype(np.int64)
 
 
 def dual_tree_top(queries, query_ids, data, data_ids, k, floor=None):
@@ -281,7 +283,8 @@ def top_scores(embeddings, every=50, k=5, scale=256.0):
     Vectors that are null or empty, or hold null or non-finite components, take no part, nor do null ids.
     Vectors of different lengths are compared over the shorter length. Rows that repeat a query's id are
     its own, and a query id with several vectors has the best scores of any of them. Other rows that repeat
-    are candidates each. An empty table gives no rows. Scores beyond 64 bits are not supported.
+    are candidates each. An empty table gives no rows. Scores beyond 64 bits count as the
+    nearest 64-bit number, so such ties go to the smaller id.
     """
     rows = usable(embeddings)
     pivots = _pivots(rows, scale)
@@ -322,7 +325,6 @@ def top_scores(embeddings, every=50, k=5, scale=256.0):
         .join(block_data, "block")
     )
     found = first.unionByName(_meet(rest, k))
-    best = found.groupBy("query_id").agg(F.array_agg(F.struct((-F.col("score")).alias("minus"), "vec_id")).alias("all"))
-    return best.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("at", "row")).select(
-        "query_id", (F.col("at") + 1).alias("rank"), F.col("row.vec_id").alias("vec_id"), (-F.col("row.minus")).alias("score")
-    )
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,7 @@
 The size of a document is its number of words. Each source has a target, a share of the total by weight
 that stops at ``cap`` times its own size. Every document of a source is taken whole as often as the target
 holds the source. For the remaining budget the documents are counted by exact size; each size gives its
-proportional part, and bounded-knapsack dynamic programming over the sizes fits what is left. Which documents of a size
+proportional part, rounded at random, and bounded-knapsack dynamic programming over the sizes fits what is left. Which documents of a size
 are taken follows a seeded hash.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from halocline.llm.common import WORD, stored
 
-#: The remaining budget that the dynamic programme fits exactly; larger ones are first filled up to it.
+#: The remaining budget, about, that the dynamic programme fits exactly.
 EXACT_WORDS = 1 << 15
 #: Rows of one size and source that one task ranks, about.
 BUCKET_ROWS = 4096
@@ -48,12 +48,13 @@ def source_targets(sized, weights=(5, 2, 1), cap=3.0):
     )
 
 
-def subset_counts(sizes, counts, budget):
+def subset_counts(sizes, counts, budget, seed=7):
     """How many of each size to take so that their sum comes nearest to ``budget``.
 
-    sizes: distinct positive whole numbers; counts: how many there are. Sizes give in proportion first;
-    a remainder above EXACT_WORDS is filled by the largest sizes that fit; the rest is fitted by the
-    reachable sums, as bits of one number. Nearest below or above, below if equally near.
+    sizes: distinct positive whole numbers; counts: how many there are. Sizes give in proportion first,
+    rounded up or down by a seeded chance, so that short and long documents keep their shares; what that misses
+    by more than EXACT_WORDS is put right by single documents in a seeded order. The rest is fitted by
+    the reachable sums, as bits of one number. Nearest below or above, below if equally near.
     """
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     total = int((sizes * counts).sum())
@@ -62,15 +63,21 @@ def subset_counts(sizes, counts, budget):
         return take
     if budget >= total:
         return counts.copy()
-    take = np.floor(counts * (budget / total)).astype(np.int64)
+    chance = np.random.default_rng(seed)
+    part = counts * (budget / total)
+    take = np.minimum(counts, np.floor(part + chance.random(len(sizes))).astype(np.int64))
     rest = int(round(budget)) - int((sizes * take).sum())
+    turns, moved = chance.permutation(len(sizes)), 1
+    while moved and not 0 <= rest <= EXACT_WORDS:
+        moved = 0
+        for k in turns:
+            step = -1 if rest < 0 else 1 if rest > max(EXACT_WORDS, int(sizes[k]) - 1) else 0
+            if step and 0 <= take[k] + step <= counts[k]:
+                take[k] += step
+                rest -= step * int(sizes[k])
+                moved += 1
     left = counts - take
     order = np.argsort(-sizes)
-    for k in order if rest > EXACT_WORDS else ():
-        n = min(int(left[k]), max(0, rest - EXACT_WORDS // 2) // int(sizes[k]))
-        take[k] += n
-        left[k] -= n
-        rest -= n * int(sizes[k])
     if rest <= 0:
         return take
     # sums beyond twice the rest are farther from it than none
@@ -98,6 +105,7 @@ def subset_counts(sizes, counts, budget):
 
 def _fit(rows):
     """Copies of every document and numbers of further ones by size, for one source."""
+    rows = rows.sort_values("size")  # the chances go round over the sizes in order
     size, n = rows["size"].to_numpy(), rows["n"].to_numpy()
     target, whole = float(rows["target"].iloc[0]), float((size * n).sum())
     copies = int(np.floor(target / whole + 1e-12)) if whole else 0
@@ -162,7 +170,8 @@ def mixed(documents, weights=(5, 2, 1), cap=3.0, seed=7):
 
     Rows alike in every column share what they are taken.
     """
-    identity = F.xxhash64(*documents.columns).alias("_id")
+    both = F.xxhash64(*documents.columns).alias("a"), F.xxhash64(F.lit("second"), *documents.columns).alias("b")
+    identity = F.struct(*both).alias("_id")
     copies = copies_of(documents.select("source", "text", identity), weights, cap, seed, keep=("_id",))
     copies = copies.groupBy("_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_alike"))
     copies = stored(copies.where("_copies > 0"), "copies")

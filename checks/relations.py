@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from halocline.functions.labels import enso_phase
-from halocline.operators import context, detect, events, grid, listing, profiles, quantiles, regions, sampling, seasonal, series, tracks
+from halocline.operators import context, detect, events, grid, listing, nearest, profiles, quantiles, regions, sampling, seasonal, series, tracks
 from halocline.plans import views
 
 from . import frames
@@ -64,6 +64,20 @@ def _(m):
     return grid.at_time(m("grid"), "1998-05-05 11:00:00")
 
 
+TABLES["t_stamped"] = "SELECT float_id, profile_idx, time + INTERVAL 1 HOUR * (profile_idx % 24) AS stamp FROM t_floats"
+TABLES["t_around"] = """SELECT s.*, b.time AS before, b.enso AS enso_b, a.time AS after, a.enso AS enso_a FROM t_stamped s
+ ASOF LEFT JOIN t_indices b ON s.stamp >= CAST(b.time AS TIMESTAMP) ASOF LEFT JOIN t_indices a ON s.stamp < CAST(a.time AS TIMESTAMP)"""
+
+
+@query("J8_nearest_times", "float_id profile_idx stamp$ time$ enso~",
+       """SELECT *, CASE WHEN later THEN after ELSE before END AS time, CASE WHEN later THEN enso_a ELSE enso_b END AS enso
+ FROM (SELECT *, coalesce(before IS NULL OR epoch_us(CAST(after AS TIMESTAMP)) - epoch_us(stamp) < epoch_us(stamp) - epoch_us(CAST(before AS TIMESTAMP)), FALSE) AS later FROM t_around)""")
+def _(m):
+    stamp = F.expr("timestampadd(HOUR, CAST(profile_idx % 24 AS INT), time)").alias("stamp")
+    targets = m("floats").select("float_id", "profile_idx", stamp).withColumn("time", F.col("stamp"))
+    return nearest.nearest_in_time(targets, m("indices"), ["enso"]).select("float_id", "profile_idx", "stamp", "nearest.*")
+
+
 @query("J9_cell_join_fallback", CELL + "value~", "SELECT g.time, g.lat, g.lon, coalesce(CASE WHEN a.lat > -20 THEN a.sst_anomaly END, g.sst - 28) AS value FROM t_grid g LEFT JOIN t_sst a USING (time, lat, lon)")
 def _(m):
     anomaly = frames.sst(m).where("lat > -20")
@@ -99,7 +113,15 @@ def _(m):
  FROM t_profiles p, (SELECT DISTINCT lat, lon FROM t_grid) c WHERE sqrt((p.lat - c.lat) * (p.lat - c.lat) + (p.lon - c.lon) * (p.lon - c.lon)) < 6
  QUALIFY row_number() OVER (PARTITION BY dac, profile_idx ORDER BY distance, c.lat, c.lon) = 1""")
 def _(m):
-    return tracks.nearest_cell(m("profiles"), m("grid").select("lat", "lon"), ["dac", "profile_idx"], 6.0)
+    return nearest.nearest_cell(m("profiles"), m("grid").select("lat", "lon"), ["dac", "profile_idx"], 6.0, spacing=10.0)
+
+
+@query("J13_nearest_spot", "dac profile_idx cell_lat~ cell_lon~ distance~",
+       """SELECT dac, profile_idx, c.lat AS cell_lat, c.lon AS cell_lon, sqrt(pow(p.lat - c.lat, 2) + pow(p.lon - c.lon, 2)) AS distance
+ FROM t_profiles p, (SELECT DISTINCT lat, lon FROM t_floats) c WHERE sqrt(pow(p.lat - c.lat, 2) + pow(p.lon - c.lon, 2)) < 8
+ QUALIFY row_number() OVER (PARTITION BY dac, profile_idx ORDER BY sqrt((p.lat - c.lat) * (p.lat - c.lat) + (p.lon - c.lon) * (p.lon - c.lon)), c.lat, c.lon) = 1""")
+def _(m):
+    return nearest.nearest_cell(m("profiles"), m("floats"), ["dac", "profile_idx"], 8.0)
 
 
 TABLES["t_cal"] = """SELECT CAST(s.d AS DATE) AS date, coalesce(is_mhw, FALSE) AS is_mhw, coalesce(mean_intensity, 0) AS intensity

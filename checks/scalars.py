@@ -8,11 +8,11 @@ from halocline.functions import labels as L
 from halocline.functions import numeric as N
 from halocline.functions import physics as P
 from halocline.functions import text as X
-from halocline.operators import detect, fields, grid, listing, profiles, series
+from halocline.operators import detect, fields, grid, listing, nearest, profiles, series
 from halocline.sources import tables
 
 from . import frames
-from .common import query
+from .common import TABLES, query
 from .tables import DENSITY
 
 CELL = "time$ lat lon "
@@ -39,13 +39,22 @@ def _(m):
     return profiles.with_density(m("levels"))
 
 
-@query("P5_wind_mixing_index", "dac profile_idx wmi~9",
-       """SELECT dac, profile_idx, CASE WHEN mld > 0 THEN pow(1.225E0 * 1.3E-3 * ws_mean * ws_mean, 3) / (1025.0E0 * mld) * 1e6 END AS wmi
- FROM t_argo LEFT JOIN t_awind ON CAST(time AS DATE) = date""")
+TABLES["t_aspot"] = """SELECT p.*, c.lat AS cell_lat, c.lon AS cell_lon FROM t_argo p, (SELECT DISTINCT lat, lon FROM t_surface) c
+ WHERE sqrt(pow(p.lat - c.lat, 2) + pow(p.lon - c.lon, 2)) < 30
+ QUALIFY row_number() OVER (PARTITION BY dac, profile_idx ORDER BY sqrt((p.lat - c.lat) * (p.lat - c.lat) + (p.lon - c.lon) * (p.lon - c.lon)), c.lat, c.lon) = 1"""
+TABLES["t_areading"] = """SELECT p.dac, p.profile_idx, w.wind_speed FROM t_aspot p JOIN t_wind w ON p.cell_lat = w.lat AND p.cell_lon = w.lon
+ WHERE w.wind_speed IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p.dac, p.profile_idx
+ ORDER BY abs(epoch_us(CAST(p.time AS TIMESTAMP)) - epoch_us(CAST(w.time AS TIMESTAMP))), w.time) = 1"""
+
+
+@query("P5_wind_mixing_index", "dac profile_idx wind_speed~ wmi~9",
+       """SELECT dac, profile_idx, wind_speed, CASE WHEN mld > 0 THEN pow(1.225E0 * 1.3E-3 * wind_speed * wind_speed, 3) / (1025.0E0 * mld) * 1e6 END AS wmi
+ FROM t_argo LEFT JOIN t_areading USING (dac, profile_idx)""")
 def _(m):
-    wind = grid.spatial_mean(frames.stress(m), {"ws_mean": "wind_speed"})
-    near = frames.argo(m).withColumn("date", F.to_date("time")).join(wind, "date", "left")
-    return near.withColumn("wmi", P.wind_mixing_index(F.col("ws_mean"), F.col("mld")) * 1e6)
+    keys = ["dac", "profile_idx"]
+    near = nearest.nearest_reading(frames.argo(m), frames.stress(m), ["wind_speed"], keys, radius=30.0, spacing=10.0)
+    index = P.wind_mixing_index(F.col("nearest.wind_speed"), F.col("mld")) * 1e6
+    return near.select(*keys, "nearest.wind_speed", index.alias("wmi"))
 
 
 @query("P6_phase_labels", "date$ enso_phase iod_phase pdo_phase", "SELECT date, enso_phase, iod_phase, pdo_phase FROM t_days")

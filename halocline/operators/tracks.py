@@ -1,10 +1,8 @@
-"""Float positions: newest position, trails, moves and nearest grid points."""
+"""Float positions: newest position, trails and moves."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import degrees_between
-
 
 def latest_positions(positions, until=None, key="float_id", order=("time", "profile_idx")):
     """The newest row per float up to a day; combined map-side, so busy floats do not pile up."""
@@ -57,25 +55,3 @@ def days_and_floats(positions, key="float_id"):
         F.struct(F.lit("float").alias("kind"), F.col(key).cast("string").alias("value")),
     )
     return positions.select(F.explode(pair).alias("p")).select("p.*").distinct().orderBy("kind", "value")
-
-
-def nearest_cell(targets, cells, keys, radius=2.0):
-    """The nearest cell within ``radius`` degrees of each target; lowest cell on ties.
-
-    Both sides are put in squares of the radius; a cell is copied to the nine squares around it and
-    joined on the square, so only near pairs meet. Best-so-far is combined map-side per target.
-    """
-    square = lambda c: F.floor(F.col(c) / radius)
-    around = F.sequence(F.lit(-1), F.lit(1))
-    near = (
-        cells.select(F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
-        .distinct()
-        .withColumn("_x", F.explode(F.transform(around, lambda k: square("cell_lat") + k)))
-        .withColumn("_y", F.explode(F.transform(around, lambda k: square("cell_lon") + k)))
-    )
-    placed = targets.withColumns({"_x": square("lat"), "_y": square("lon")})
-    d = degrees_between(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))
-    pairs = placed.join(near, ["_x", "_y"]).withColumn("distance", d).where(F.col("distance") < radius)
-    return pairs.groupBy(*keys).agg(
-        F.min(F.struct("distance", "cell_lat", "cell_lon")).alias("best")
-    ).select(*keys, "best.cell_lat", "best.cell_lon", "best.distance")

@@ -1,11 +1,12 @@
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.operators import detect, events, grid, profiles, quantiles, series, tracks
+from halocline.operators import detect, events, grid, nearest, profiles, quantiles, series, tracks
 from halocline.sources import sinks, tables
 
 DAY = dt.date(2020, 1, 1)
@@ -197,7 +198,7 @@ def test_nearest_cell_matches_brute_force(spark):
     rows, df = positions(spark)
     cells = [(float(a), float(b)) for a in range(0, 20, 3) for b in range(40, 62, 3) if (a + b) % 4]
     grid_cells = spark.createDataFrame(cells, "lat double, lon double")
-    got = {r["profile_idx"]: (r["cell_lat"], r["cell_lon"]) for r in tracks.nearest_cell(df, grid_cells, ["profile_idx"]).collect()}
+    got = {r["profile_idx"]: (r["cell_lat"], r["cell_lon"]) for r in nearest.nearest_cell(df, grid_cells, ["profile_idx"]).collect()}
     for r in rows:
         best = min((np.hypot(r[3] - a, r[4] - b), a, b) for a, b in cells)
         if best[0] < 2:
@@ -206,6 +207,59 @@ def test_nearest_cell_matches_brute_force(spark):
             assert r[1] not in got
 
 
+def test_nearest_cell_on_a_fine_grid(spark):
+    """Cells 0.04 degrees apart with a hole; targets inside, in the hole and far outside."""
+    rng = random.Random(3)
+    targets = [(i, rng.uniform(-3, 7), rng.uniform(-3, 7)) for i in range(300)] + [(300, None, 1.0), (301, 60.0, 60.0)]
+    df = spark.createDataFrame(targets, "i long, lat double, lon double")
+    pairs = []
+    for step in (16, 4):
+        cells = [(k * step / 100, j * step / 100) for k in range(400 // step) for j in range(400 // step) if not (1 < k * step / 100 < 3 and 1 < j * step / 100 < 3)]
+        fine = spark.createDataFrame(cells, "lat double, lon double")
+        got = {r["i"]: (r["cell_lat"], r["cell_lon"]) for r in nearest.nearest_cell(df, fine, ["i"]).collect()}
+        a = np.array(cells)
+        for i, lat, lon in targets[:300]:
+            d = np.sqrt((lat - a[:, 0]) ** 2 + (lon - a[:, 1]) ** 2)
+            best = d.min()
+            assert (i in got) == (best < 2)
+            if i in got:
+                assert np.hypot(lat - got[i][0], lon - got[i][1]) == pytest.approx(best, abs=1e-12)
+        assert 300 not in got and 301 not in got
+        spots = fine.select(F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
+        levels = int(np.log2(2 / (step / 100)))
+        pairs.append(nearest.candidate_squares(df, spots, ["i"], 2.0, levels).count())
+    # sixteen times the cells, and about as many squares to look into
+    assert pairs[1] < 2 * pairs[0] and pairs[1] < 302 * 60
+
+
+def brute_time(targets, stored):
+    out = {}
+    for i, key, t in targets:
+        own = sorted((s, v) for k, s, v in stored if k == key and s is not None)
+        out[i] = None if t is None or not own else min(own, key=lambda r: (abs((r[0] - t).total_seconds()), r[0], r[1]))
+    return out
+
+
+@pytest.mark.parametrize("task_targets", [500_000, 7])
+def test_nearest_in_time_matches_brute_force(spark, task_targets):
+    """Keys that are NULL or have no rows, gaps over many chunks, ties, equal times, and one hot hour."""
+    rng = random.Random(4)
+    at = lambda: dt.datetime(2020, 1, 1) + dt.timedelta(minutes=30 * rng.randint(0, 4000))
+    stored = [(rng.choice(["a", "b", None]), at(), rng.random()) for _ in range(60)] + [("a", None, 1.0), ("a", dt.datetime(2019, 1, 1), 0.5)]
+    targets = [(i, rng.choice(["a", "b", None, "none"]), at()) for i in range(400)]
+    targets += [(400 + i, "a", dt.datetime(2020, 1, 5, 10, i % 60)) for i in range(200)] + [(600, "a", None), (601, "b", dt.datetime(2031, 1, 1)), (602, "b", dt.datetime(1969, 5, 1))]
+    left = spark.createDataFrame(targets, "i long, key string, time timestamp")
+    right = spark.createDataFrame(stored, "key string, time timestamp, v double")
+    got = nearest.nearest_in_time(left, right, ["v"], ["key"], task_targets=task_targets)
+    assert got.columns == ["i", "key", "time", "nearest"]
+    want = brute_time(targets, stored)
+    assert {r["i"]: r["nearest"] and tuple(r["nearest"]) for r in got.collect()} == want
+    keyless = nearest.nearest_in_time(left, right.drop("key"), ["v"], task_targets=task_targets)
+    want = brute_time([(i, 0, t) for i, _, t in targets], [(0, s, v) for _, s, v in stored])
+    assert {r["i"]: r["nearest"] and tuple(r["nearest"]) for r in keyless.collect()} == want
+    assert {r["nearest"] for r in nearest.nearest_in_time(left, right.limit(0), ["v"]).collect()} == {None}
+
+
 def test_merge_in_two_batches_is_one_batch(spark):
     days = [(DAY + dt.timedelta(days=i), i) for i in range(10)]
     df = spark.createDataFrame(days, "date date, v int")
@@ -243,8 +297,7 @@ def test_keyed_sample_is_the_same_on_every_layout(spark):
     from halocline.operators import listing
 
     df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    hashed = sorted((r["h"], r["k"]) for r in df.select("k", F.xxhash64("k").alias("h")).collect())
-    want = {k for _, k in hashed[:40]}
+    want = set(sorted(range(500), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())[:40])
     for pieces in (1, 7):
         assert {r["k"] for r in listing.top_sample(df.repartition(pieces), ["k"], 40).collect()} == want
     assert listing.top_sample(df, ["k"], 1000).count() == 500

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from halocline.operators import detect, events, fields, forecast, grid, listing, profiles, regions, seasonal, series
+from halocline.operators import detect, events, fields, forecast, grid, listing, profiles, regions, seasonal, series, thresholds
 from halocline.plans import pipeline, views
 from halocline.session import shared_dir
 from halocline.sources import sinks, tables
@@ -152,6 +152,41 @@ def _(m):
     return frames.days(m)
 
 
+TABLES["t_season"] = """SELECT t.lat, t.lon, t.doy, quantile_cont(p.sst, 0.9) AS threshold
+ FROM (SELECT DISTINCT lat, lon, dayofyear(time) AS doy FROM t_grid WHERE sst IS NOT NULL) t JOIN t_grid p ON p.lat = t.lat AND p.lon = t.lon
+ AND least(abs(dayofyear(p.time) - t.doy), 366 - abs(dayofyear(p.time) - t.doy)) <= 5 GROUP BY 1, 2, 3"""
+TABLES["t_sint"] = "SELECT g.*, g.sst - h.threshold AS intensity FROM t_grid g LEFT JOIN t_season h ON g.lat = h.lat AND g.lon = h.lon AND dayofyear(g.time) = h.doy"
+
+
+@query("A2_seasonal_threshold", "lat lon doy# threshold~", "SELECT * FROM t_season")
+def _(m):
+    return thresholds.seasonal_threshold(m("grid"), "sst")
+
+
+@query("D1_seasonal_heatwave_days", "date$ frac_mhw~ mean_intensity~ max_intensity~ is_mhw",
+       """SELECT *, sum(CASE WHEN frac_mhw > 0.05 THEN 1 ELSE 0 END) OVER (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AS is_mhw FROM (
+ SELECT CAST(time AS DATE) AS date, count(*) FILTER (WHERE intensity > 0) * 1.0E0 / count(intensity) AS frac_mhw,
+ coalesce(avg(intensity) FILTER (WHERE intensity > 0), 0.0E0) AS mean_intensity, max(intensity) AS max_intensity FROM t_sint GROUP BY 1 HAVING count(intensity) > 0)""")
+def _(m):
+    return detect.heatwave_days(m("grid"), m("indices"), half_window=5)
+
+
+@query("A2_merged_sketches", "lat lon n_values# near", "SELECT lat, lon, count(sst) AS n_values, TRUE AS near FROM t_grid WHERE sst IS NOT NULL GROUP BY 1, 2")
+def _(m):
+    """Sketches of two portions of years, appended one after the other; ranks of the merged thresholds in the record."""
+    path = shared_dir(m.spark, "sketches")
+    early = F.year("time") < 1998
+    for version, part in enumerate((early, ~early)):
+        thresholds.append_sketches(thresholds.yearly_sketches(m("grid").where(part), "sst"), path, version)
+    limits = m.spark.read.parquet(thresholds.renew_thresholds(m.spark, path, shared_dir(m.spark, "renewed")))
+    x, limit = F.col("sst"), F.col("threshold")
+    ranks = m("grid").where("sst is not null").join(limits, ["lat", "lon"]).groupBy("lat", "lon").agg(
+        F.count(x).alias("n_values"), (F.count_if(x < limit) / F.count(x)).alias("below"), (F.count_if(x <= limit) / F.count(x)).alias("upto")
+    )
+    error = thresholds.RANK_ERROR
+    return ranks.withColumn("near", (F.col("below") <= 0.9 + error) & (F.col("upto") >= 0.9 - error))
+
+
 @query("D2_unusual_mixed_layers", ID + "month# lat_bin lon_bin mld~ mld_clim~ mld_std~ mld_anom~ mld_zscore~ mld_unusual_deep mld_unusual_shallow mld_unusual enso~ dmi~", "SELECT * FROM t_unusual")
 def _(m):
     return detect.unusual_mixed_layers(frames.argo(m), m("indices"))
@@ -504,9 +539,11 @@ TABLES["t_closed"] = CLOSED
 
 def closed_days(m):
     target, checkpoint = shared_dir(m.spark, "closed"), shared_dir(m.spark, "closed-checkpoint")
-    thresholds = shared_dir(m.spark, "thresholds")
-    sinks.write_result(grid.observation_threshold(m("observations"), "sst"), thresholds)
-    frozen = m.spark.read.parquet(thresholds)
+    limits = shared_dir(m.spark, "thresholds")
+    exact = grid.observation_threshold(m("observations"), "sst")
+    for version, table in ((1, exact.withColumn("threshold", F.col("threshold") + 1)), (2, exact)):
+        sinks.write_result(table, f"{limits}/version={version}")
+    frozen = thresholds.newest_thresholds(m.spark, limits)
 
     def run(stream):
         days = incremental.closed_days(stream.withColumn("time", tables.utc_instant("time")), frozen)

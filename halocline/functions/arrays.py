@@ -45,3 +45,10 @@ def array_argsort(a):
 
 def array_clip(a, low, high):
     return F.transform(a, lambda x: F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x))))
+
+
+def quantile_of_sorted(a, q):
+    """Linearly interpolated quantile of an ascending array without gaps; NULL for an empty one."""
+    spot = F.lit(float(q)) * (F.size(a) - 1)
+    low, high = F.get(a, F.floor(spot).cast("int")), F.get(a, F.ceil(spot).cast("int"))
+    return F.when(F.size(a) > 0, low + (high - low) * (spot - F.floor(spot)))

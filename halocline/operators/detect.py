@@ -4,15 +4,21 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numeric import bin_floor, flag, to_unit
-from . import context, fields, grid, series
+from . import context, fields, grid, series, thresholds
 
 
-def heatwave_days(sst, indices, q=0.9, keep_empty=False, backfill=False):
+def heatwave_days(sst, indices, q=0.9, keep_empty=False, backfill=False, half_window=None):
     """Daily heatwave table: cell quantile, intensity, daily metrics, climate phases, persistence.
 
-    One shuffle of the grid, by cell; the daily metrics are combined before the second one.
+    One shuffle of the grid, by cell; the daily metrics are combined before the second one. With
+    ``half_window`` the threshold follows the season: the quantile over so many days of the year on
+    either side, in place of the whole record.
     """
-    daily = grid.daily_heatwave_metrics(grid.with_intensity(sst, "sst", q), keep_empty=keep_empty)
+    if half_window is None:
+        hot = grid.with_intensity(sst, "sst", q)
+    else:
+        hot = thresholds.with_seasonal_intensity(sst, "sst", q, half_window)
+    daily = grid.daily_heatwave_metrics(hot, keep_empty=keep_empty)
     return series.with_persistence(context.with_climate(daily, indices), backfill=backfill)
 
 

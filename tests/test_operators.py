@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.operators import detect, events, grid, nearest, profiles, quantiles, series, tracks
+from halocline.operators import detect, events, grid, nearest, profiles, quantiles, series, thresholds, tracks
 from halocline.sources import sinks, tables
 
 DAY = dt.date(2020, 1, 1)
@@ -260,6 +260,34 @@ def test_nearest_in_time_matches_brute_force(spark, task_targets):
     assert {r["nearest"] for r in nearest.nearest_in_time(left, right.limit(0), ["v"]).collect()} == {None}
 
 
+def test_seasonal_threshold_goes_round_new_year(spark):
+    days = [("2019-12-30", 1.0), ("2019-12-31", 2.0), ("2020-12-31", 5.0), ("2020-01-01", 3.0), ("2021-01-02", 4.0), ("2020-07-01", 9.0), ("2020-07-02", None)]
+    rows = [(dt.date.fromisoformat(d), 0.0, 0.0, v) for d, v in days] + [(dt.date(2020, 1, 1), 1.0, 0.0, 7.0)]
+    df = spark.createDataFrame(rows, "time date, lat double, lon double, sst double")
+    got = {(r["lat"], r["doy"]): r["threshold"] for r in thresholds.seasonal_threshold(df, "sst", 0.5, 1).collect()}
+    # days 364, 365, 366, 1 and 2 of the ring: each pools itself and its two neighbours
+    assert got == {(0.0, 364): 1.5, (0.0, 365): 2.0, (0.0, 366): 3.0, (0.0, 1): 4.0, (0.0, 2): 3.5, (0.0, 183): 9.0, (1.0, 1): 7.0}
+    hot = {(r["lat"], str(r["time"])): r["intensity"] for r in thresholds.with_seasonal_intensity(df, "sst", 0.5, 1).collect()}
+    assert hot[(0.0, "2020-01-01")] == -1.0 and hot[(0.0, "2020-12-31")] == 2.0 and hot[(0.0, "2020-07-02")] is None
+    assert len(hot) == len(rows)
+
+
+def test_merged_sketches_are_near_the_whole_record(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(dt.date(2000 + y, 1 + k // 28 % 12, 1 + k % 28), float(c), 0.0, rng.gauss(c, 3)) for c in range(3) for y in range(4) for k in range(700)]
+    df = spark.createDataFrame(rows, "time date, lat double, lon double, sst double")
+    path, target = str(tmp_path / "sketches"), str(tmp_path / "limits")
+    for version, years in enumerate(((2000, 2001, 2002), (2003,))):
+        thresholds.append_sketches(thresholds.yearly_sketches(df.where(F.year("time").isin(*years)), "sst"), path, version)
+        thresholds.renew_thresholds(spark, path, target)
+    # a year that comes again replaces its sketch
+    thresholds.append_sketches(thresholds.yearly_sketches(df.where("year(time) = 2003"), "sst"), path, 2)
+    assert thresholds.newest_sketches(spark, path).count() == 12
+    for r in thresholds.newest_thresholds(spark, target).collect():
+        own = np.array([v for _, c, _, v in rows if c == r["lat"]])
+        assert (own < r["threshold"]).mean() <= 0.9 + thresholds.RANK_ERROR and (own <= r["threshold"]).mean() >= 0.9 - thresholds.RANK_ERROR
+
+
 def test_merge_in_two_batches_is_one_batch(spark):
     days = [(DAY + dt.timedelta(days=i), i) for i in range(10)]
     df = spark.createDataFrame(days, "date date, v int")

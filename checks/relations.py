@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from halocline.functions.labels import enso_phase
-from halocline.operators import context, detect, events, grid, listing, nearest, profiles, quantiles, regions, sampling, seasonal, series, tracks
+from halocline.operators import context, detect, events, grid, listing, nearest, profiles, quantiles, regions, sampling, scans, seasonal, series, tracks
 from halocline.plans import views
 
 from . import frames
@@ -448,6 +448,35 @@ def _(m):
     return series.with_persistence(grid.daily_heatwave_metrics(grid.with_intensity(m("grid"), "sst")))
 
 
+TABLES["t_long_runs"] = """SELECT *, sum(CASE WHEN hot AND NOT coalesce(before, FALSE) THEN 1 ELSE 0 END) OVER (ORDER BY time, event_id) AS run
+ FROM (SELECT *, lag(hot) OVER (ORDER BY time, event_id) AS before FROM (SELECT ts AS time, event_id, value > 40 AS hot FROM events))"""
+
+
+def instants(m):
+    """Events as one long series without keys: many rows a day, ordered by time and number."""
+    rows = m.raw("events").select(F.col("ts").alias("time"), "event_id", "value")
+    return rows.withColumn("hot", F.col("value") > 40)
+
+
+@query("W2_long_persistence", "event_id time$ lasting",
+       "SELECT event_id, ts AS time, coalesce(sum(CASE WHEN value > 40 THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3, FALSE) AS lasting FROM events")
+def _(m):
+    return scans.with_persistence(instants(m), "value", "lasting", 40, 3, "time", unit="day")
+
+
+@query("W4_long_event_runs", "event_id time$ run#", "SELECT * FROM t_long_runs WHERE hot")
+def _(m):
+    rows = instants(m).withColumnRenamed("event_id", "number")
+    return scans.with_event_start(rows, "time", (), "hot", "day").select(F.col("number").alias("event_id"), "time", F.col("event_id").alias("run"))
+
+
+@query("T1_long_trend", "slope~ r2~ n#",
+       """SELECT regr_slope(value, x) * 1000 AS slope, regr_r2(value, x) AS r2, count(*) AS n FROM (SELECT value, row_number() OVER (ORDER BY ts, event_id) - 1 AS x FROM events WHERE value IS NOT NULL)""")
+def _(m):
+    trend = scans.linear_trend(instants(m), "value", "time", steps_per_year=1000, unit="day")
+    return trend.select(F.col("slope_per_year").alias("slope"), "r2", F.col("n_months").alias("n"))
+
+
 @query("W2_persistence_backfill", "date$ is_mhw", "SELECT date, coalesce(max(is_mhw) OVER (ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), FALSE) AS is_mhw FROM t_days")
 def _(m):
     return detect.heatwave_days(m("grid"), m("indices"), backfill=True)

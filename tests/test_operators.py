@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.operators import detect, events, grid, nearest, profiles, quantiles, series, thresholds, tracks
+from halocline.operators import detect, events, grid, nearest, profiles, quantiles, scans, series, thresholds, tracks
 from halocline.sources import sinks, tables
 
 DAY = dt.date(2020, 1, 1)
@@ -288,6 +288,36 @@ def test_merged_sketches_are_near_the_whole_record(spark, tmp_path):
         assert (own < r["threshold"]).mean() <= 0.9 + thresholds.RANK_ERROR and (own <= r["threshold"]).mean() >= 0.9 - thresholds.RANK_ERROR
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_scans_give_the_rows_of_the_windows(spark, keys):
+    """Runs over chunk borders, whole chunks of one kind, gaps of years, NULL keys and values."""
+    rng = random.Random(12)
+    start, rows = dt.datetime(2019, 11, 3), []
+    for k in ("a", "b", None) if keys else ("a",):
+        for i in range(700):
+            share = 0.5 if 60 < i < 190 else rng.choice([0.0, 0.2, 0.3, None])
+            rows.append((k, start + dt.timedelta(days=i + (2000 if i > 500 else 0), hours=5), share))
+    df = spark.createDataFrame(rows, "k string, date timestamp, frac_mhw double").repartition(5)
+    took = lambda d: sorted(map(str, d.select(*keys, "date", *[c for c in ("is_mhw", "event_id", "x") if c in d.columns]).collect()))
+    flagged = series.with_persistence(df, keys=keys)
+    long = scans.with_persistence(df, keys=keys)
+    assert took(long) == took(flagged)
+    runs = scans.with_event_start(flagged, keys=keys)
+    assert took(runs) == took(events.with_event_start(flagged, keys))
+    assert took(scans.with_ordinal(df, "frac_mhw", "date", keys)) == took(series.with_ordinal(df, "frac_mhw", "date", keys))
+    trends = [t.select(*keys, F.round("slope_per_year", 9), F.round("r2", 9), "n_months") for t in (scans.linear_trend(df, "frac_mhw", "date", keys), series.linear_trend(df, "frac_mhw", "date", keys))]
+    assert sorted(map(str, trends[0].collect())) == sorted(map(str, trends[1].collect()))
+    import re
+
+    for d in (long, scans.with_event_start(df.withColumn("is_mhw", F.col("frac_mhw") > 0.1), keys=keys), trends[0]):
+        for window in re.findall(r"\n[^\n]*Window \[[^\n]*", plan_of(d)):
+            assert "_chunk" in window
+
+
 def test_merge_in_two_batches_is_one_batch(spark):
     days = [(DAY + dt.timedelta(days=i), i) for i in range(10)]
     df = spark.createDataFrame(days, "date date, v int")

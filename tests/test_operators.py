@@ -519,3 +519,38 @@ def test_folding_keeps_the_merged_rows(spark, tmp_path):
         incremental.write_batch(frames[2], 2, target, "date")
     rows = [sorted(tuple(r) for r in incremental.read_merged(spark, t).collect()) for t in (old, new)]
     assert rows[0] == rows[1] and [v for _, v in rows[0]] == ["a", "b", "c", "c"]
+
+
+def test_ordered_persistence_over_late_days_and_restarts(spark, tmp_path):
+    """Reordered, late, repeated and undated rows, a restart between batches, and a timer that closes the rest."""
+    from halocline.streaming import incremental, late
+
+    path, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    day = lambda k: DAY + dt.timedelta(days=k)
+    batches = [
+        [("a", day(k), 0.5) for k in (3, 0, 2, 1, 4)] + [("b", day(0), None)],
+        [("a", day(k), 0.5) for k in (6, 5, 0)] + [("a", None, 0.1), ("a", day(6), 0.7), ("b", day(9), 0.9)],
+        [("a", day(9), 0.0), ("a", day(7), 0.5), ("a", day(2), 0.5)],
+        [("c", day(0), 0.5)],
+    ]
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = {c: spark.conf.get(c) for c in (late.STORE_CONF, idle)}
+    spark.conf.set(late.STORE_CONF, late.STORE)
+    spark.conf.set(idle, "false")
+    try:
+        for rows in batches:
+            spark.createDataFrame(rows, "series string, date date, frac_mhw double").coalesce(1).write.mode("append").parquet(path)
+            stream = late.with_ordered_persistence(incremental.open_stream(spark, path), delay_days=2, idle_seconds=0)
+            incremental.process_available(stream, target, checkpoint, state_partitions=2)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    got = sorted((tuple(r) for r in spark.read.parquet(target).collect()), key=str)
+    days = {(s, d): f for s, d, _, f, kind in got if kind == "day"}
+    assert {d for s, d in days if s == "a"} == {day(k) for k in (0, 1, 2, 3, 4, 5, 6, 7, 9)}
+    flags = [days[("a", day(k))] for k in (0, 1, 2, 3, 4, 5, 6, 7, 9)]
+    assert flags == [False] * 4 + [True] * 4 + [False]
+    assert sorted((s, d, x) for s, d, x, f, kind in got if kind == "late") == [("a", day(0), 0.5), ("a", day(2), 0.5)]
+    assert [(s, d, x) for s, d, x, f, kind in got if kind == "repeated"] == [("a", day(6), 0.7)]
+    assert [(s, d, x) for s, d, x, f, kind in got if kind == "undated"] == [("a", None, 0.1)]
+    assert days[("b", day(0))] is False and ("b", day(9)) in days

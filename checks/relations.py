@@ -392,9 +392,11 @@ def _(m):
 
 
 @query("A31_column_summary", "variable min_value~ max_value~ median~ n_valid#",
-       " UNION ALL ".join(f"SELECT '{c}' AS variable, min({c}) AS min_value, max({c}) AS max_value, median({c}) AS median, count({c}) AS n_valid FROM t_argo" for c in ("mld", "thermocline", "mean_N2", "sst_argo")))
+       " UNION ALL ".join(f"SELECT '{c}' AS variable, min({c}) AS min_value, max({c}) AS max_value, median({c}) AS median, count({c}) AS n_valid FROM t_argo" for c in ("mld", "thermocline", "mean_N2", "sst_argo"))
+       + " UNION ALL SELECT 'ohc_700m', min(ohc_700m) / 1e9, max(ohc_700m) / 1e9, median(ohc_700m) / 1e9, count(ohc_700m) FROM t_argo")
 def _(m):
-    return sampling.column_summary(frames.argo(m), ["mld", "thermocline", "mean_N2", "sst_argo"])
+    argo = frames.argo(m).withColumn("ohc_700m", F.col("ohc_700m") / 1e9)
+    return sampling.column_summary(argo, ["mld", "thermocline", "mean_N2", "sst_argo", "ohc_700m"])
 
 
 CORR = ["sst_anomaly", "ohc", "mld", "mhw_days"]

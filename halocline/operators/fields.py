@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import physics as P
+from . import axes as A
 from . import grid as G
 
 
@@ -40,12 +41,15 @@ def sst_dataset(sst):
     return G.with_anomaly(sst, "sst", "sst_anomaly", "sst_clim")
 
 
-def stress_vectors(stress, step=0, stride=1):
-    """Unit vectors of the wind stress at one time step, counted from 0 or from the end if negative."""
-    position = F.lit(step + 1) if step >= 0 else F.lit(step)
-    one = stress.where(F.col("time") == G.axis(stress, "time", lambda times: F.element_at(times, position)))
+def stress_vectors(stress, step=0, stride=1, stored=None):
+    """Unit vectors of the wind stress at one time step, counted from 0 or from the end if negative.
+
+    With ``stored``, the folder of a written axis table, only that step of the field is read.
+    """
+    times = A.numbered(stress, "time") if stored is None else A.read_axis(stress.sparkSession, stored, "time")
+    one = stress.where(F.col("time") == A.value_at(times, "time", step))
     mag = F.col("tau_mag")
-    return G.spatial_stride(one, stride, stress).select(
+    return G.spatial_stride(one, stride, stress, stored).select(
         "time", "lat", "lon", "tau_mag",
         P.unit_component(F.col("tau_x"), mag).alias("ux"),
         P.unit_component(F.col("tau_y"), mag).alias("uy"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.labels import heatwave_category
+from . import axes as A
 from .quantiles import exact_quantiles
 
 CELL = ["lat", "lon"]
@@ -125,29 +126,26 @@ def date_range(df, time="time"):
     return df.agg(F.min(time).alias("min_date"), F.max(time).alias("max_date"))
 
 
-def spatial_stride(df, k, axes=None):
-    """Every k-th latitude and longitude of the axes of ``axes``, the whole grid if ``df`` is a part."""
+def spatial_stride(df, k, axes=None, stored=None):
+    """Every k-th latitude and longitude of the axes of ``axes``, the whole grid if ``df`` is a part.
+
+    ``stored`` is the folder of a written axis table, read in place of the grid.
+    """
     if k == 1:
         return df
-    both = (df if axes is None else axes).agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in CELL])
-    kept = both.select(F.struct(*[F.filter(c, lambda _, i: i % k == 0).alias(c) for c in CELL])).scalar()
-    return (
-        df.withColumn("_kept", kept)
-        .where(F.array_contains("_kept.lat", F.col("lat")) & F.array_contains("_kept.lon", F.col("lon")))
-        .drop("_kept")
-    )
+    for c in CELL:
+        axis_ = A.numbered(df if axes is None else axes, c) if stored is None else A.read_axis(df.sparkSession, stored, c)
+        df = A.every(df, axis_, c, F.lit(k)).select(*df.columns)
+    return df
 
 
-def time_stride(df, frames, time="time"):
+def time_stride(df, frames, time="time", stored=None):
     """Times at a regular step over the whole record, at most ``frames``; all of them for None."""
     if frames is None:
         return df
-
-    def kept(times):
-        step = F.greatest(F.lit(1), F.ceil(F.size(times) / frames).cast("int"))
-        return F.filter(times, lambda _, i: i % step == 0)
-
-    return df.where(F.array_contains(axis(df, time, kept), F.col(time)))
+    axis_ = A.numbered(df, time) if stored is None else A.read_axis(df.sparkSession, stored, time)
+    step = F.greatest(F.lit(1), F.ceil(A.length(axis_) / F.lit(frames)).cast("int"))
+    return A.every(df, axis_, time, step).select(*df.columns)
 
 
 def even_times(df, n, time="time"):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numeric import bin_floor, count_true
+from ..session import written
 from .quantiles import exact_quantiles
 
 
@@ -56,7 +57,8 @@ def uncertainty_summary(profiles, grid_uncertainty, days):
 
 def column_summary(df, columns):
     """Minimum, maximum, exact median and non-missing count per column."""
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "variable", "value")
+    table = written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "summary")
+    long = table.unpivot([], list(columns), "variable", "value")
     stats = long.groupBy("variable").agg(
         F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.count("value").alias("n_valid")
     )
@@ -66,7 +68,7 @@ def column_summary(df, columns):
 
 def consistency_rate(profiles):
     """Share of profiles with the mixed layer above the thermocline, and the colour range."""
-    full = profiles.dropna(subset=["mld", "thermocline", "sst_argo"])
+    full = written(profiles.dropna(subset=["mld", "thermocline", "sst_argo"]).select("mld", "thermocline", "sst_argo"), "consistency")
     q = exact_quantiles(full, "sst_argo", [0.05, 0.95])
     limits = q.agg(
         F.struct(
@@ -85,6 +87,7 @@ def consistency_rate(profiles):
 
 def recent_statistics(profiles, days=90, mld="median"):
     """Count and means of the profiles of the last ``days`` before the newest one."""
+    profiles = written(profiles.select("time", "sst_argo", "mld", "ohc_700m"), "recent")
     newest = profiles.agg(F.max("time")).scalar()
     recent = profiles.where(F.col("time") >= newest - F.expr(f"INTERVAL {days} DAYS"))
     base = recent.agg(

@@ -53,3 +53,10 @@ def shared_dir(spark, purpose):
         base = tempfile.mkdtemp(prefix="halocline-")
         spark.conf.set(CHECKPOINT_CONF, base)
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def written(df, purpose):
+    """``df`` written once to the shared folder and read back: computed once, with its lineage cut."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.operators import detect, events, grid, nearest, profiles, quantiles, scans, series, thresholds, tracks
+from halocline.operators import axes, detect, events, grid, nearest, profiles, quantiles, scans, series, thresholds, tracks
 from halocline.sources import sinks, tables
 
 DAY = dt.date(2020, 1, 1)
@@ -318,6 +318,35 @@ def test_scans_give_the_rows_of_the_windows(spark, keys):
             assert "_chunk" in window
 
 
+def test_axes_number_values_in_order(spark, tmp_path):
+    rng = random.Random(6)
+    values = [rng.choice([None, *[k / 4 for k in range(-200, 300)]]) for _ in range(4000)]
+    df = spark.createDataFrame([(v, DAY + dt.timedelta(days=i % 50)) for i, v in enumerate(values)], "lat double, time date").withColumn("lon", F.lit(0.0)).repartition(3)
+    want = sorted({v for v in values if v is not None})
+    for ranges in (2, 64):
+        assert [(r["lat"], r["position"]) for r in axes.numbered(df, "lat", ranges).orderBy("lat").collect()] == [(v, k) for k, v in enumerate(want)]
+    axes.write_axes(df, str(tmp_path))
+    stored = axes.read_axis(spark, str(tmp_path), "time")
+    last = spark.range(1).select(axes.value_at(stored, "time", -1).alias("a"), axes.value_at(stored, "time", 2).alias("b"), axes.value_at(stored, "time", 99).alias("c")).first()
+    assert tuple(last) == (DAY + dt.timedelta(days=49), DAY + dt.timedelta(days=2), None)
+    assert {r["lat"] for r in grid.spatial_stride(df, 7).collect()} == set(want[::7])
+    kept = grid.spatial_stride(df, 7, stored=str(tmp_path))
+    assert kept.columns == df.columns and {r["lat"] for r in kept.collect()} == set(want[::7])
+    assert len({r["time"] for r in grid.time_stride(df, 9).collect()}) == 9
+
+
+def test_quantiles_of_few_ranges_are_exact(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", None]), float(rng.choice([rng.randint(0, 40), rng.gauss(0, 9)]))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = [0.0, 0.05, 0.5, 0.951, 1.0]
+    for values in (10, 700, 10**6):
+        for r in quantiles.exact_quantiles(df, "v", probs, ["k"], values).collect():
+            assert r["quantile"] == pytest.approx(np.quantile([v for k, v in rows if k == r["k"]], r["prob"]), abs=1e-12)
+        got = {r["prob"]: r["quantile"] for r in quantiles.exact_quantiles(df, "v", probs, range_values=values).collect()}
+        assert got == pytest.approx({p: np.quantile([v for _, v in rows], p) for p in probs}, abs=1e-12)
+
+
 def test_merge_in_two_batches_is_one_batch(spark):
     days = [(DAY + dt.timedelta(days=i), i) for i in range(10)]
     df = spark.createDataFrame(days, "date date, v int")

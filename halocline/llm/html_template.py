@@ -5,8 +5,9 @@ Tokens of one host that occur equally often in every page share an occurrence ve
 equivalence class; vectors are compared by sums of hashes over all pages of the host, so that a host of
 any size is combined map-side. Classes that a large part of the host's pages has, and whose paths lie
 inside one another, nest into the host's template. Texts of the class of the page frame are part of the
-template; the other texts fill its slots. The slot with the most filling that lies in no menu, header,
-footer, advert, form or comments is the article, and its blocks are the result.
+template, where chance would not make as many texts constant; the other texts fill its slots. The slot with
+the most filling that lies in no menu, header, footer, advert, form or comments is the article, together
+with the slots around and below it that the page frame does not share, and its blocks are the result.
 """
 
 import hashlib
@@ -38,19 +39,28 @@ MARKED = frozenset(
     "navigation breadcrumb breadcrumbs footer header masthead comment comments disqus respond replies share sharing "
     "social related recommended widget toolbar pagination pager login signin signup search skip copyright".split()
 )
+#: Words that say nothing in a name: a name marks an element if all its words are marked or plain.
+PLAIN = frozenset(
+    "a area bar block bottom box btn button buttons col column container content cont div element form foot group head holder "
+    "icon icons inline inner item items left line link links list main outer page pane panel post right row section site "
+    "slot small spot sticky text the top unit wrap wrapper zone".split()
+)
 #: Names and roles, and these elements, are weak evidence: they may stand around the article.
 WEAK = frozenset("form".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu".split())
 MAIN = ("article", "main")
+#: Paths of the page itself.
+FRAME = r"^(?:html[^/]*/?)?(?:body[^/]*)?$"
 #: Path of the outermost article or main element.
 CONTAINER = r"^((?:.*?/)?(?:" + "|".join(MAIN) + r")(?:\.[^/]*)?)(?:/|$)"
 #: A class is part of the template if so large a part of the host's pages has it.
 SUPPORT = 0.5
-#: Pages of a host from which a text that all of them have counts as template; in fewer, articles may share it.
-LEAST_PAGES = 20
+#: Number of constant texts that chance may give a host, for its constant texts to count as template.
+CHANCE = 0.01
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
+    r"|<(?P<empty>template|iframe|svg)\b[^>]*/>"
     r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
@@ -59,12 +69,22 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _label(name, attributes, lifted=False):
+def _marked(value):
+    """Whether one of the names in a class or id says menu, advert, comment or the like, and nothing else."""
+    for name in value.split():
+        parts = {p.lower() for p in PART.findall(name)}
+        if not parts.isdisjoint(MARKED) and parts <= MARKED | PLAIN:
+            return True
+    return False
+
+
+def _label(name, attributes, lifted=False, own=False):
     """Name of an element in paths: tag, its marks, and a leading ``-`` if its text does not count.
 
-    ``lifted`` leaves weak evidence out.
+    ``lifted`` leaves weak evidence out. ``own`` is for the header of an article, which holds its title.
     """
-    strong = name in SKIPPED and not (lifted and name in WEAK)
+    lifted = lifted or own
+    strong = name in SKIPPED and not (lifted and name in WEAK) and not own
     if not attributes or "=" not in attributes:
         return ("-" + name if strong else name)
     marks, skipped = [], False
@@ -73,8 +93,7 @@ def _label(name, attributes, lifted=False):
         if key.lower() == "role":
             skipped |= value.lower() in ROLES
         else:
-            parts = {p.lower() for p in PART.findall(value)}
-            skipped |= not parts.isdisjoint(MARKED)
+            skipped |= _marked(value)
             if key.lower() == "class":
                 marks += sorted(value.split())
     label = ".".join([name, *marks]).replace("/", "_")
@@ -163,7 +182,9 @@ def _blocks(html, lifted=frozenset()):
             parts.append(m["cdata"].replace("&", "&amp;"))
             continue
         if not m["name"]:
-            if m["raw"]:
+            if m["empty"]:
+                flush()
+            elif m["raw"]:
                 parts.append(" ") if m["raw"].lower() in ("script", "style") else flush()
             continue
         name = m["name"].lower()
@@ -181,7 +202,8 @@ def _blocks(html, lifted=frozenset()):
         if name in CLOSED_BY_BLOCK and stack and stack[-1][0] == "p":
             stack.pop()
         number += 1
-        label = _label(name, m["attributes"], number in lifted)
+        own = name == "header" and any(s[0] == "article" for s in stack)
+        label = _label(name, m["attributes"], number in lifted, own)
         paths.append("/".join([*(s[1] for s in stack), label]))
         if name not in VOID:
             stack.append((name, label, number))
@@ -256,13 +278,14 @@ def templates(tokens):
     # slots of one element are held by different pages each, so the element has the support of its tag
     container = F.regexp_extract("token", CONTAINER, 1)
     named = container != ""
+    frame = frame.join(_chance(tokens, frame), "host", "left")
     joined = tokens.join(frame, "host").where(
         (F.col("pages") >= F.lit(SUPPORT) * F.col("frame.pages")) | (F.col("kind") == "slot") & named
     )
     same = (F.col("v1") == F.col("frame.v1")) & (F.col("v2") == F.col("frame.v2")) & (F.col("pages") == F.col("frame.pages"))
     slot = (F.col("kind") == "slot") & ~F.col("skipped")
     tag = (F.col("kind") == "tag") & (container == F.col("token"))
-    text = (F.col("kind") == "text") & same & (F.col("pages") >= LEAST_PAGES)
+    text = (F.col("kind") == "text") & same & F.coalesce(F.col("by_chance") < CHANCE, F.lit(False))
     area = F.when(named, container).otherwise(F.col("token"))
     areas = joined.groupBy("host", area.alias("area"), named.alias("named")).agg(
         F.sum(F.when(slot, F.col("chars"))).alias("chars"),
@@ -270,10 +293,36 @@ def templates(tokens):
         F.collect_set(F.when(text, F.col("token"))).alias("fixed"),
     )
     main = F.col("chars").isNotNull() & (~F.col("named") | F.col("has_tag"))
-    return areas.groupBy("host").agg(
+    # areas have the support of a large part of the pages, so a host has few of them
+    best = areas.groupBy("host").agg(
         F.max_by(F.when(main, F.col("area")), F.when(main, F.struct("named", "chars", "area"))).alias("main"),
+        F.collect_list(F.when(main, F.col("area"))).alias("areas"),
         F.flatten(F.collect_list("fixed")).alias("fixed"),
     )
+    around = F.filter("areas", lambda a: F.startswith(F.col("main"), F.concat(a, F.lit("/"))) & ~a.rlike(FRAME))
+    return best.select("host", F.coalesce(F.get(F.array_sort(around), 0), F.col("main")).alias("main"), "fixed")
+
+
+def _chance(tokens, frame):
+    """(host, by_chance): how many texts would be on every page of the host by chance.
+
+    Of the texts that are not on all pages, the share of pairs of pages that have one in common, one pair
+    added, gives the chance that a text of one page is on another; all other pages have it by the power of their number.
+    The same rule holds for a host of any size: two pages never show a template, thousands do.
+    """
+    texts = tokens.where("kind = 'text'").join(frame.select("host", F.col("frame.pages").alias("whole")), "host")
+    n = F.col("pages").cast("double")
+    varied = F.col("pages") < F.col("whole")
+    counts = texts.groupBy("host").agg(
+        F.max("whole").cast("double").alias("whole"),
+        F.sum(F.when(varied, n).otherwise(0.0)).alias("blocks"),
+        F.sum(F.when(varied, n * (n - 1)).otherwise(0.0)).alias("pairs"),
+        F.sum(n).alias("all"),
+    )
+    others = F.col("whole") - 1
+    recurs = (F.col("pairs") + 1) / (F.col("blocks") * others + 1)
+    chance = F.col("all") / F.col("whole") * F.pow(F.least(recurs, F.lit(1.0)), others)
+    return counts.where("whole > 1").select("host", chance.alias("by_chance"))
 
 
 def _key(text):
@@ -292,6 +341,7 @@ def main_text(html, main, fixed=frozenset()):
             p, named = (container[1], True) if container else (p, False)
             sizes[p] = (named, sizes.get(p, (named, 0))[1] + len(t))
         best = max(sizes, key=lambda p: (sizes[p], p))
+        best = min((p for p in sizes if best.startswith(p + "/") and not re.search(FRAME, p)), key=len, default=best)
         inside = [(p, t) for p, t in kept if p == best or p.startswith(best + "/")]
     varying = [t for p, t in inside if not fixed or _key(p + "\n" + t) not in fixed]
     return "\n".join(varying or [t for _, t in inside])
@@ -315,7 +365,9 @@ def extract(pages):
     """page_id, url, text and n_chars of every page.
 
     Null html is empty and gives an empty text; pages without a host share one template. Repeated rows
-    are extracted each. Without pages there are no rows. Only page_id, url and html are read.
+    are extracted each. Without pages there are no rows. Only page_id, url and html are read. Of slots with
+    as many characters the path that is last in order counts. Pages of any length are read whole; what a
+    tag leaves open ends with its parent or the page, and an open comment or script hides the rest.
     """
     rows = pages.select(
         "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host")

@@ -24,7 +24,7 @@ PAGE = (
 )
 
 
-def test_article_of_template_pages(spark, monkeypatch):
+def test_article_of_template_pages(spark):
     rows = [
         (k, f"https://News.example.org:80/{k}", PAGE.format(menu=f"menu {k}", title=f"Title {k}", first=f"First  {k}\n text", second=f"<b>Bold</b> {k}", comment="nice " * 80), "x")
         for k in range(6)
@@ -34,19 +34,46 @@ def test_article_of_template_pages(spark, monkeypatch):
     got = Counter((r.page_id, r.text, r.n_chars) for r in html_template.extract(pages).collect())
     expected = Counter()
     for k in [*range(6), 0]:
-        text = f"Title {k}\nFirst {k} text\nBold {k} more & more\none\ntwo"
+        # the list is the same on every page of the host, so it is template
+        text = f"Title {k}\nFirst {k} text\nBold {k} more & more"
         expected[(k, text, len(text))] += 1
     for k, text in ((10, ""), (11, ""), (12, "Only one paragraph")):
         expected[(k, text, len(text))] += 1
     assert got == expected
     assert html_template.extract(pages.where("false")).count() == 0
-    # on larger hosts a text of the frame's class is template
-    monkeypatch.setattr(html_template, "LEAST_PAGES", 6)
-    rows = {r.page_id: r.text for r in html_template.extract(pages.where("page_id < 10")).collect()}
-    assert rows == {k: f"Title {k}\nFirst {k} text\nBold {k} more & more" for k in range(6)}
+    # of one page nothing is known to be template, and copies of one page have nothing that varies
+    rows = {r.page_id: r.text for r in html_template.extract(pages.where("page_id in (0, 10)")).collect()}
+    assert rows == {0: "Title 0\nFirst 0 text\nBold 0 more & more\none\ntwo", 10: ""}
 
 
-def test_articles_of_the_shipped_pages(spark, small_dir):
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<h1>Title</h1><svg class='i'/><p>First paragraph.</p><svg><path/></svg><p>Second.</p>", "Title\nFirst paragraph.\nSecond."),
+        ("<article><p>First.</p><iframe src=x /><p>Second.</p></article>", "First.\nSecond."),
+        ("<header>Site</header><article><header class='post-header'><h1>Title</h1></header><p>Text.</p><footer>By me</footer></article>", "Title\nText."),
+        ("<article><p>Text.</p><div class='social-history'>About it.</div><div class='social-links'>Like</div><div id='comment_list'>Nice</div></article>", "Text.\nAbout it."),
+        ("<div class='top-nav'>Menu</div><div class='post'><p>Intro text.</p><div class='body'><p>Much longer body text.</p></div><p>End.</p></div>", "Intro text.\nMuch longer body text.\nEnd."),
+        ("<article><p>Text &amp; more" + "<b>" * 5000, "Text & more"),
+        ("<p>Kept.</p><script>var x = '<p>not</p>'", "Kept."),
+    ],
+)
+def test_pages_that_lost_text(spark, page, text):
+    html_ = f"<html><body>{page}"
+    assert html_template.main_text(html_, None) == text
+    pages = spark.createDataFrame([(1, "http://a.example/", html_), (2, "http://b.example/", html_), (3, "http://b.example/2", html_)], "page_id long, url string, html string")
+    assert {r.text for r in html_template.extract(pages).collect()} == {text}
+
+
+def test_very_long_pages(spark):
+    page = "<article>" + "".join(f"<p>paragraph {k}</p>" for k in range(60_000)) + "</article>"
+    rows = html_template.extract(spark.createDataFrame([(1, None, page)], "page_id long, url string, html string")).collect()
+    assert rows[0].text == "\n".join(f"paragraph {k}" for k in range(60_000))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_articles_of_the_shipped_pages(spark, sf):
+    small_dir = f"/root/testdata/{sf}"
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{small_dir}/pages.parquet").collect()}
     rows = QUERIES["op3_html_template"](spark, small_dir).collect()
     assert len(rows) == len(pages)

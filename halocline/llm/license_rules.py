@@ -100,8 +100,57 @@ FORMS = (
     (r"(?:the )?(?:{n}) " + _LICENSE + _VERSION, 0.85),
     (_LICENSE + r" (?:{n})" + _VERSION, 0.7),
 )
+#: Families whose name says a license without the word; the other names are ordinary words too.
+PLAIN_NAMES = frozenset(
+    "mit apache gpl gplv1 gplv2 gplv3 lgpl lgplv2 lgplv3 agpl agplv3 bsd mpl epl cddl cc0 eupl cecill wtfpl unlicense ofl sspl isc".split()
+)
+#: Forms of those families, and of identifiers that stand alone or in an expression with OR and AND.
+PLAIN_FORMS = (
+    (
+        r"(?:(?:licensed|released|distributed|available|published|provided|covered|is|are) under(?: the)?"
+        r"|under the terms (?:and conditions )?of(?: the)?) (?:{n})" + _VERSION,
+        0.85,
+    ),
+    (r"(?:\d|only|later|clause|mit|isc|zlib|x11|unlicense) (?:or|and) {t}", 0.85),
+)
+#: Identifiers with a version or clause: label, keyword, expression, confidence.
+IDENTIFIERS = (
+    ("apache", "apache", r"apache 2 0", 0.8),
+    ("bsd", "bsd", r"bsd [0234] clause", 0.8),
+    ("gpl", "gpl", r"gpl [123] 0(?: only| or later)?", 0.8),
+    ("lgpl", "lgpl", r"lgpl [23] [01](?: only| or later)?", 0.8),
+    ("agpl", "agpl", r"agpl [13] 0(?: only| or later)?", 0.8),
+    ("mpl", "mpl", r"mpl [12] [01]", 0.8),
+    ("epl", "epl", r"epl [12] 0", 0.8),
+    ("cddl", "cddl", r"cddl 1 [01]", 0.8),
+    ("eupl", "eupl", r"eupl 1 [012]", 0.8),
+    ("cc0", "cc0", r"cc0 1 0", 0.8),
+    ("cc-by", "cc", r"cc by [1234] 0", 0.8),
+    ("cc-by-sa", "sa", r"cc by sa [1234] 0", 0.8),
+    ("cc-by-nc", "nc", r"cc by nc [1234] 0", 0.8),
+    ("cc-by-nd", "nd", r"cc by nd [1234] 0", 0.8),
+)
 #: Texts of notices that name no license: label, keyword, expression, confidence.
 NOTICES = (
+    ("mit", "permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", 0.9),
+    ("isc", "permission", r"provided that the above copyright notice and this permission notice appear in all copies", 0.85),
+    ("boost", "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy", 0.95),
+    ("bsd", "redistributions", r"redistributions of source code must retain the (?:above )?copyright notice", 0.9),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the (?:above )?copyright notice", 0.9),
+    ("bsd", "endorse", r"may be used to endorse or promote products derived from this software", 0.85),
+    ("apache", "compliance", r"you may not use this file except in compliance with the licen[sc]e", 0.8),
+    ("apache", "applicable", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e", 0.8),
+    ("gpl", "option", r"either version [123] of the licen[sc]e or at your option any later version", 0.8),
+    ("gpl", "hope", r"this program is distributed in the hope that it will be useful", 0.8),
+    ("lgpl", "hope", r"this library is distributed in the hope that it will be useful", 0.8),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such", 0.9),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented", 0.9),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software", 0.95),
+    ("cc0", "waived", r"to the extent possible under law (?:\S+ ){1,8}waived all copyright", 0.9),
+    ("python", "beopen", r"beopen python open source licen[sc]e agreement", 0.9),
+    ("disclaimer", "merchantability", r"warrant(?:y|ies) of merchantability(?: and| or)?(?: fitness for a particular purpose)?", 0.3),
+    ("disclaimer", "liable", r"in no event (?:shall|will) (?:\S+ ){1,8}be (?:held )?liable", 0.3),
+    ("license-file", "see", r"see (?:the )?(?:accompanying )?(?:file )?(?:licen[sc]e|copying)(?: lesser)?(?: md| txt| rst)?(?: file)?(?: for (?:more )?(?:details|information))?", 0.4),
     ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", 0.95),
     ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 0.95),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification", 0.95),
@@ -116,8 +165,15 @@ NOTICES = (
 )
 
 
+#: Finds of a block in running combinations.
+BLOCK = 64
 #: Every form of a family holds the first, every notice one of the others, within a word.
-GATES = ("licen", "permission", "redistribut", "contributors", "domain", "reserved", "confidential", "warranty", "copyright")
+GATES = (
+    "licen", "permission", "redistribut", "contributors", "domain", "reserved", "confidential", "warrant", "copyright", "endorse",
+    "hope that it will", "altered", "misrepresented", "unencumbered", "liable", "copying",
+)
+#: Names that are rules of their own, as whole words of the text before it is reduced.
+SHORT_GATE = r"(?<![a-z0-9])(?:mit|isc|zlib|x11|apache|[al]?gpl(?:v[123])?|bsd|[me]pl|cddl|cc0|cc|eupl|cecill|wtfpl|ofl|sspl)(?![a-z0-9])"
 
 
 def rules():
@@ -127,7 +183,11 @@ def rules():
         for label, keyword, name, tag in FAMILIES:
             if (filling := tag if "{t}" in form else name) is not None:
                 found.append((label, keyword, form.replace("{n}", filling).replace("{t}", filling), confidence))
-    found += NOTICES
+    for form, confidence in PLAIN_FORMS:
+        for label, keyword, name, tag in FAMILIES:
+            if keyword in PLAIN_NAMES and (filling := tag if "{t}" in form else name) is not None:
+                found.append((label, keyword, form.replace("{n}", filling).replace("{t}", f"(?:{filling})"), confidence))
+    found += [*IDENTIFIERS, *NOTICES]
     return [
         (k, label, keyword, rf"(?<= )(?:{expression})(?= )", confidence)
         for k, (label, keyword, expression, confidence) in enumerate(found)
@@ -153,6 +213,40 @@ def _blanks(c):
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+def _let(value, use):
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(values, start, combine):
+    """Running combination up to and with each value.
+
+    Values are combined in blocks first, so that a value looks at the blocks before it and at its own block
+    only: n values take some n * BLOCK / 2 + (n / BLOCK)**2 / 2 steps.
+    """
+
+    def within(v):
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")),
+            lambda b: F.aggregate(F.slice(v, b * BLOCK + 1, BLOCK), start, combine),
+        )
+
+        def with_blocks(done):
+            heads = F.transform(done, lambda _, b: F.aggregate(F.slice(done, 1, b), start, combine))
+
+            def with_heads(head):
+                block = lambda i: F.floor(i / BLOCK).cast("int")
+                return F.transform(
+                    v, lambda _, i: F.aggregate(F.slice(v, block(i) * BLOCK + 1, i % BLOCK + 1), F.get(head, block(i)), combine)
+                )
+
+            return _let(heads, with_heads)
+
+        return F.when(F.size(v) > 0, _let(blocks, with_blocks)).otherwise(v)
+
+    return _let(values, within)
+
+
 def _places(norm, rule):
     """Word ranges of all matches of a rule, as (first, -stop, priority, label, confidence)."""
     found = F.regexp_extract_all(norm, rule["expression"], F.lit(0))
@@ -163,23 +257,23 @@ def _places(norm, rule):
     )
 
     def places(c):
-        def place(blanks, i):
-            first = (
-                F.aggregate(F.slice(c["before"], 1, i + 1), F.lit(0), lambda a, v: a + v)
-                + F.aggregate(F.slice(c["inside"], 1, i), F.lit(0), lambda a, v: a + v)
-                - 1
-            )
+        # blanks up to each match: those of the text before it and of the match before it
+        steps = F.transform(c["inside"], lambda _, i: F.get(c["before"], i) + F.when(i > 0, F.get(c["inside"], i - 1)).otherwise(0))
+        pairs = F.arrays_zip(c["inside"].alias("blanks"), _running(steps, F.lit(0), lambda a, v: a + v).alias("upto"))
+
+        def place(p):
+            first = p["upto"] - 1
             return F.struct(
                 first.cast("long").alias("first"),
-                (-(first + blanks + 1)).cast("long").alias("minus_stop"),
+                (-(first + p["blanks"] + 1)).cast("long").alias("minus_stop"),
                 rule["priority"].alias("priority"),
                 rule["label"].alias("label"),
                 rule["confidence"].alias("confidence"),
             )
 
-        return F.transform(c["inside"], place)
+        return F.transform(pairs, place)
 
-    return F.get(F.transform(F.array(cut), places), 0)
+    return _let(cut, places)
 
 
 def _finds(norm, chosen):
@@ -190,16 +284,13 @@ def _finds(norm, chosen):
 
 def _kept(finds):
     """Finds that no earlier one in the order covers: those whose end lies beyond all ends before."""
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.filter(finds, lambda x: F.lit(False)).alias("kept"))
-    done = F.aggregate(
-        finds,
-        start,
-        lambda acc, x: F.when(
-            -x["minus_stop"] > acc["end"],
-            F.struct((-x["minus_stop"]).alias("end"), F.concat(acc["kept"], F.array(x)).alias("kept")),
-        ).otherwise(acc),
-    )
-    return done["kept"]
+
+    def kept(f):
+        ends = F.transform(f, lambda x: -x["minus_stop"])
+        farthest = _running(ends, F.lit(0).cast("long"), lambda a, v: F.greatest(a, v))
+        return _let(farthest, lambda m: F.filter(f, lambda x, i: (i == 0) | (-x["minus_stop"] > F.get(m, i - 1))))
+
+    return _let(finds, kept)
 
 
 def scan(documents):
@@ -207,12 +298,13 @@ def scan(documents):
 
     Returns doc_id, n_words, base (places of the base phrases, unsuppressed) and finds (those kept), each
     an array of (first, minus_stop, priority, label, confidence) with word numbers from 0. Null texts count
-    as empty. Only doc_id and text are read; every row gives one row, repeated ones too.
+    as empty. Only doc_id and text are read; every row gives one row, repeated ones too. Texts of any length
+    are scanned whole, in time that grows little faster than their finds.
     """
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     chosen = rules()
     docs = documents.select("doc_id", lower.alias("_lower"))
-    gate = reduce(or_, [F.contains("_lower", F.lit(word)) for word in GATES])
+    gate = reduce(or_, [F.contains("_lower", F.lit(word)) for word in GATES]) | F.rlike("_lower", F.lit(SHORT_GATE))
     words = F.regexp_extract_all("_lower", F.lit(LICENSE_WORD), F.lit(0))
     docs = docs.select(
         "doc_id",

@@ -332,7 +332,9 @@ def test_rules_are_many_and_gated():
     assert len(rules) > 250
     for _, _, keyword, expression, _ in rules:
         re.compile(expression)
-    assert all(any(g in keyword + expression for g in license_rules.GATES) or "licen" in expression for *_, keyword, expression, _ in rules)
+    named = re.compile(license_rules.SHORT_GATE)
+    for _, _, keyword, expression, _ in rules:
+        assert any(g in f"{keyword} {expression}" for g in license_rules.GATES) or "licen" in expression or named.search(keyword) or named.search(expression)
 
 
 def ungated_labels(text):
@@ -374,7 +376,30 @@ def test_no_keyword_hides_a_find(spark, odd_documents, small_dir):
 @given(st.sampled_from(license_rules.rules()).flatmap(lambda r: st.tuples(st.just(r[2]), st.from_regex(r[3][6:-5], fullmatch=True, alphabet="abcdefghijklmnopqrstuvwxyz 0123456789"))))
 def test_every_match_holds_its_keyword(match):
     keyword, text = match
-    assert f" {keyword} " in f" {text} " and any(g in text for g in license_rules.GATES)
+    assert f" {keyword} " in f" {text} "
+    assert any(g in text for g in license_rules.GATES) or re.search(license_rules.SHORT_GATE, text)
+
+
+REAL = {
+    "BSD 3-Clause": "bsd", "Apache-2.0": "apache", "released under the gplv3": "gpl", "This code is under MIT.": "mit",
+    "under the terms of the GNU GPL, version 2": "gpl", "SPDX-License-Identifier: GPL-2.0-only OR MIT": "gpl,mit",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions": "bsd",
+    "you may not use this file except in compliance with the License.": "apache",
+    "This program is distributed in the hope that it will be useful,": "gpl", "see the LICENSE.md file for details": "license-file",
+    "To the extent possible under law, the author has waived all copyright": "cc0",
+    "please submit the mitten to the apaches and ask the permissive librarians": "",
+}
+
+
+def test_sentences_of_real_licenses(spark):
+    rows = license_rules.license_summary(spark.createDataFrame(list(enumerate(REAL)), "doc_id long, text string")).collect()
+    assert [r.labels for r in sorted(rows)] == list(REAL.values())
+
+
+def test_very_many_finds(spark):
+    text = "MIT license " * 20_000
+    row = license_rules.license_summary(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_base, row.first_word, row.last_word, row.n_words) == (20_000, 0, 39_998, 40_000)
 
 
 # op10

@@ -240,22 +240,33 @@ def _(m):
     return fields.qnet_dataset(m("surface"))
 
 
-TABLES["t_counts"] = """SELECT 'mhw_timeseries' AS product, (SELECT count(*) FROM t_days) AS n_rows UNION ALL SELECT 'mhw_timeseries_by_year', (SELECT count(*) FROM t_days)
- UNION ALL SELECT 'rapid_changes', (SELECT count(*) FROM t_rapid) UNION ALL SELECT 'rapid_changes_by_year', (SELECT count(*) FROM t_rapid)
- UNION ALL SELECT 'unusual_mld', (SELECT count(*) FROM t_unusual) UNION ALL SELECT 'unusual_mld_by_year', (SELECT count(*) FROM t_unusual)
- UNION ALL SELECT 'wind_stress', (SELECT count(*) FROM t_surface) UNION ALL SELECT 'qnet', (SELECT count(*) FROM t_surface) UNION ALL SELECT 'sst_anomaly', (SELECT count(*) FROM t_grid)
- UNION ALL SELECT 'profile_physics', (SELECT count(*) FROM t_argo) UNION ALL SELECT 'profile_uncertainty', (SELECT count(*) FROM t_argo) UNION ALL SELECT 'profiles_with_seasonal_anom', (SELECT count(*) FROM t_argo)
- UNION ALL SELECT 'trends', 4 UNION ALL SELECT 'grid_uncertainty', 4 UNION ALL SELECT 'basin_metrics', 6 UNION ALL SELECT 'mhw_forecast', 1
- UNION ALL SELECT 'mhw_events', (SELECT count(*) FROM t_ev) UNION ALL SELECT 'seasonal_climatology', (SELECT count(*) FROM t_clim) UNION ALL SELECT 'stratification_trend', (SELECT count(*) FROM t_strat)
- UNION ALL SELECT 'sst_coverage', (SELECT count(DISTINCT time) FROM t_grid) UNION ALL SELECT 'sparsity_scores', (SELECT count(*) FROM (SELECT DISTINCT floor(lat / 2), floor(lon / 2), date_trunc('month', time) FROM t_argo))"""
-
-
-@query("D9_run_all", "product n_rows#", "SELECT * FROM t_counts")
+#: Of each product: its rows as a table, the number of them, and the column whose values are summed.
+PRODUCTS = {
+    "mhw_timeseries": ("t_mhw", "frac_mhw"), "mhw_timeseries_by_year": ("t_mhw", "frac_mhw"),
+    "rapid_changes": ("t_rapid", "sst_mean"), "rapid_changes_by_year": ("t_rapid", "ws_mean"),
+    "unusual_mld": ("t_unusual", "mld"), "unusual_mld_by_year": ("t_unusual", "mld"),
+    "wind_stress": ("t_ekman", "tau_mag"), "wind_stress_by_day": ("t_ekman", "ekman_x"),
+    "qnet": ("t_qnet", "qnet"), "qnet_by_day": ("t_qnet", "qnet_clim"),
+    "sst_anomaly": ("t_sst", "sst"), "sst_anomaly_by_day": ("t_sst", "sst_clim"),
+    "profile_physics": ("t_argo", "mld"), "profile_uncertainty": ("t_unc", "confidence"), "profiles_with_seasonal_anom": ("t_unc", "thermocline"),
+    "trends": ("(SELECT greatest(0, least(1, r2)) AS trend_confidence FROM t_trends)", "trend_confidence"),
+    "mhw_events": ("t_ev", "duration_days"), "seasonal_climatology": ("t_clim", "mean"), "stratification_trend": ("t_strat", "n_profiles"),
+    "sst_coverage": ("(SELECT count(sst) / 20.0E0 AS sst_coverage FROM t_grid GROUP BY time)", "sst_coverage"),
+    "sparsity_scores": ("(SELECT count(*) AS n_profiles FROM t_argo GROUP BY floor(lat / 2), floor(lon / 2), date_trunc('month', time))", "n_profiles"),
+    "layout_report": ("(SELECT unnest([a, a, a, a, b, b]) AS n_rows FROM (SELECT (SELECT count(*) FROM t_surface) AS a, (SELECT count(*) FROM t_grid) AS b))", "n_rows"),
+}
+TABLES["t_counts"] = " UNION ALL ".join(
+    [f"SELECT '{n}' AS product, count(*) AS n_rows, CAST(sum({c}) AS DOUBLE) AS total FROM {t} AS p" for n, (t, c) in PRODUCTS.items()]
+    + [f"SELECT '{n}', {k}, NULL" for n, k in (("grid_uncertainty", 4), ("basin_metrics", 6), ("mhw_forecast", 1), ("range_checks", 11), ("uncertainty_summary", 12))]
+)
+
+
+@query("D9_run_all", "product n_rows# total~3", "SELECT * FROM t_counts")
 def _(m):
     products = pipeline.run_all(
         shared_dir(m.spark, "products"), m("grid"), m("surface"), m("sla"), m("levels"), m("profiles"), m("indices")
     )
-    return pipeline.product_counts(products)
+    return pipeline.product_counts(products, {n: column for n, (_, column) in PRODUCTS.items()})
 
 
 LISTED = "profile_id float_id time$ latitude~4 longitude~4 basin sst_argo~4 mld~4 confidence~4 sparse_flag"

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .numeric import clip, nan_to_null
+from .numeric import clip
 
 # Coefficients of the 1983 international equation of state of sea water, lowest
 # power of temperature first; one list per factor (powers of salinity S and pressure P in bar).
@@ -75,6 +75,7 @@ def unit_component(component, magnitude, scale=1.5):
 
 def decode_profile_time(ns, valid=K.PROFILE_TIME_VALID):
     """Nanoseconds since 1970 to a timestamp; missing, non-positive and out-of-period values are NULL."""
-    t = F.timestamp_micros(F.floor(nan_to_null(ns.cast("double")) / 1000.0).cast("long"))
+    # a decimal holds every 64-bit integer, which a double does not; NaN has none
+    t = F.timestamp_micros(F.floor(ns.try_cast("decimal(20,0)") / 1000).cast("long"))
     low, high = (F.lit(v).cast("timestamp") for v in valid)
     return F.when((ns > 0) & t.between(low, high), t)

@@ -5,18 +5,40 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import detect, events, fields, forecast, grid, profiles as V, regions, sampling, seasonal
+from ..operators import detect, events, fields, forecast, grid, profiles as V, regions, sampling, seasonal, series
 from ..session import size_shuffles
 from ..sources import sinks
 
 
+#: Variables of each product that are held against their bounds.
+CHECKED = {
+    "wind_stress": ["wind_speed", "tau_x", "tau_y", "ekman_x", "ekman_y"],
+    "qnet": ["qnet"],
+    "sst_anomaly": ["sst", "sst_anomaly"],
+    "profile_physics": ["mld", "thermocline", "sst_argo"],
+}
+#: Grids that are also kept in the layout for single days.
+BY_DAY = ("wind_stress", "qnet", "sst_anomaly")
+
+
 def run_physics(base, sst, surface, levels, heads):
     spark = sst.sparkSession
     sinks.write_grid(fields.ekman_transport(fields.wind_fields(surface)), f"{base}/wind_stress")
     sinks.write_grid(fields.qnet_dataset(surface), f"{base}/qnet")
     sinks.write_grid(fields.sst_dataset(sst), f"{base}/sst_anomaly")
     sinks.write_result(V.profile_physics(levels, heads), f"{base}/profile_physics")
-    return {n: spark.read.parquet(f"{base}/{n}") for n in ("wind_stress", "qnet", "sst_anomaly", "profile_physics")}
+    out = {n: spark.read.parquet(f"{base}/{n}") for n in CHECKED}
+    checks = [grid.range_check(out[n], variables).select(F.lit(n).alias("product"), "*") for n, variables in CHECKED.items()]
+    sinks.write_result(reduce(lambda a, b: a.unionByName(b), checks), f"{base}/range_checks")
+    return {**out, "range_checks": spark.read.parquet(f"{base}/range_checks")}
+
+
+def run_layout(base, physics):
+    """The grids once more, clustered for reading single days, and a report of pieces and rows before and after."""
+    report = sinks.relayout_all({n: physics[n] for n in BY_DAY}, f"{base}/by_day")
+    sinks.write_result(report, f"{base}/layout_report")
+    spark = report.sparkSession
+    return {"layout_report": spark.read.parquet(f"{base}/layout_report"), **{f"{n}_by_day": spark.read.parquet(f"{base}/by_day/{n}") for n in BY_DAY}}
 
 
 def run_detection(base, sst, indices, physics):
@@ -27,17 +49,21 @@ def run_detection(base, sst, indices, physics):
     sinks.write_result(detect.heatwave_confidence(detect.heatwave_days(sst, indices)), f"{base}/mhw_timeseries")
     sinks.write_result(detect.unusual_mixed_layers(physics["profile_physics"], indices), f"{base}/unusual_mld")
     sinks.write_result(detect.rapid_confidence(detect.rapid_changes(anomaly, qnet, wind, indices)), f"{base}/rapid_changes")
-    sinks.write_result(detect.long_term_trends(detect.trend_inputs(anomaly, qnet, physics["profile_physics"])), f"{base}/trends")
+    trends = detect.long_term_trends(detect.trend_inputs(anomaly, qnet, physics["profile_physics"]))
+    sinks.write_result(series.trend_confidence(trends), f"{base}/trends")
     return {n: spark.read.parquet(f"{base}/{n}") for n in ("mhw_timeseries", "unusual_mld", "rapid_changes", "trends")}
 
 
-def run_uncertainty(base, sst, sla, physics):
+def run_uncertainty(base, sst, sla, physics, days):
     spark = sst.sparkSession
     sinks.write_result(V.with_confidence(physics["profile_physics"]), f"{base}/profile_uncertainty")
     sinks.write_result(sampling.sparsity_scores(physics["profile_physics"]), f"{base}/sparsity_scores")
     sinks.write_result(grid.daily_coverage(sst, "sst"), f"{base}/sst_coverage")
     sinks.write_result(grid.grid_uncertainty(sst, physics["qnet"], physics["wind_stress"], sla), f"{base}/grid_uncertainty")
-    return {n: spark.read.parquet(f"{base}/{n}") for n in ("profile_uncertainty", "sparsity_scores", "sst_coverage", "grid_uncertainty")}
+    out = {n: spark.read.parquet(f"{base}/{n}") for n in ("profile_uncertainty", "sparsity_scores", "sst_coverage", "grid_uncertainty")}
+    summary = sampling.uncertainty_summary(out["profile_uncertainty"], out["grid_uncertainty"], days)
+    sinks.write_result(summary, f"{base}/uncertainty_summary")
+    return {**out, "uncertainty_summary": spark.read.parquet(f"{base}/uncertainty_summary")}
 
 
 def run_analysis(base, indices, physics, detected, certain):
@@ -61,14 +87,18 @@ def run_all(base, sst, surface, sla, levels, heads, indices, input_bytes=None):
         size_shuffles(sst.sparkSession, input_bytes)
     physics = run_physics(base, sst, surface, levels, heads)
     detected = run_detection(base, sst, indices, physics)
-    certain = run_uncertainty(base, sst, sla, physics)
+    certain = run_uncertainty(base, sst, sla, physics, detected["mhw_timeseries"])
     analysed = run_analysis(base, indices, physics, detected, certain)
     yearly = sinks.write_all_years({n: detected[n] for n in ("mhw_timeseries", "rapid_changes", "unusual_mld")}, f"{base}/by_year")
-    return {**physics, **detected, **certain, **analysed, **{f"{n}_by_year": t for n, t in yearly.items()}}
+    return {**physics, **detected, **certain, **analysed, **run_layout(base, physics), **{f"{n}_by_year": t for n, t in yearly.items()}}
 
 
-def product_counts(tables):
-    """Rows per product, one row each."""
-    counts = [t.agg(F.lit(n).alias("product"), F.count(F.lit(1)).alias("n_rows")) for n, t in sorted(tables.items())]
+def product_counts(tables, summed=None):
+    """Rows per product and the sum of its column in ``summed``, if it has one; one row each."""
+    value = lambda n: F.sum(F.col(summed[n])) if n in (summed or {}) else F.lit(None)
+    counts = [
+        t.agg(F.lit(n).alias("product"), F.count(F.lit(1)).alias("n_rows"), value(n).cast("double").alias("total"))
+        for n, t in sorted(tables.items())
+    ]
     return reduce(lambda a, b: a.unionByName(b), counts)
 

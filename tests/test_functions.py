@@ -82,6 +82,9 @@ def test_round_significant(spark):
 def test_profile_time(spark):
     inside = F.lit(1_600_000_000_000_000_000).cast("long")
     assert value(spark, F.date_format(P.decode_profile_time(inside), "yyyy-MM-dd")) == "2020-09-13"
+    exact = F.lit(1_600_000_000_123_456_789).cast("long")
+    assert value(spark, F.unix_micros(P.decode_profile_time(exact))) == 1_600_000_000_123_456
+    assert value(spark, P.decode_profile_time(F.lit(float("nan")))) is None
     for bad in (0, -5, 10**18, 4 * 10**18):
         assert value(spark, P.decode_profile_time(F.lit(bad).cast("long"))) is None
 

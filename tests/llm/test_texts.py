@@ -469,3 +469,45 @@ def test_empty_tables(no_documents):
         bayes_join.one_of_each_class(no_documents),
     ):
         assert made.count() == 0
+
+
+# pipeline
+
+
+def brute_left(texts, length):
+    """Texts less every byte that a string of ``length`` bytes covers which starts at two places."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append(bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore"))
+    return out
+
+
+def test_stage_takes_passages_of_fifty_words_out(spark, odd_documents):
+    import corpus_pipeline
+    from tests.llm.conftest import words
+
+    rows = odd_documents.where("doc_id is null or doc_id <> 7").collect()
+    passage = words(500, 52)
+    planted = [(900 + k, words(600 + k, 70) + "\n" + passage + "\n" + words(700 + k, 60)) for k in range(4)]
+    clean = [(950 + k, words(800 + k, 200)) for k in range(6)]
+    docs = spark.createDataFrame(rows, odd_documents.schema).unionByName(
+        spark.createDataFrame(planted + clean, "doc_id long, text string"), allowMissingColumns=True
+    )
+    given = docs.collect()
+    got = corpus_pipeline.repeated_strings(spark, docs, None)
+    assert got.columns == docs.columns
+    left = brute_left([r.text for r in given], corpus_pipeline.PASSAGE)
+    want = Counter((r.doc_id, None if r.text is None else t, r.source) for r, t in zip(given, left))
+    got = got.collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == want
+    texts = {r.doc_id: r.text for r in got}
+    middle = passage.split()[20]
+    assert len(passage.encode()) >= corpus_pipeline.PASSAGE
+    assert not any(middle in texts[i] for i, _ in planted) and all(texts[i] == t for i, t in clean)
+    assert all(r.n_chars == len(r.text) for r in got if r.text is not None)

@@ -1,6 +1,5 @@
 """Profiles, trends, detection, ordering, reshaping, query views and streams."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from halocline.operators import detect, events, fields, forecast, grid, listing, profiles, regions, seasonal, series, thresholds
@@ -276,12 +275,7 @@ LISTED = "profile_id float_id time$ latitude~4 longitude~4 basin sst_argo~4 mld~
 def _(m):
     p = listing.normalise_profiles(frames.unc(m)).withColumn("confidence", F.round("confidence", 9))
     ordered = listing.order_profiles(p, "confidence_desc").select("profile_id")
-    # the place in the answer: rows before the row's partition of the sorted answer, and its place in it
-    numbered = ordered.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
-    inside = Window.partitionBy("part").orderBy("at")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return numbered.withColumn("at", F.row_number().over(inside)).join(parts, "part").select((F.col("before") + F.col("at")).alias("position"), "profile_id")
+    return frames.placed(ordered)
 
 
 @query("O2_page", LISTED, "SELECT * FROM t_norm ORDER BY time DESC, profile_id LIMIT 50 OFFSET 100")
@@ -295,14 +289,14 @@ def _(m):
     return listing.page_after(listing.normalise_profiles(frames.unc(m)), "2001-09-01", "b", 50)
 
 
-@query("O3_ordered_events", EVENT, "SELECT * FROM t_ev")
+@query("O3_ordered_events", "position# " + EVENT, "SELECT *, row_number() OVER (ORDER BY peak_intensity DESC NULLS LAST, start_date DESC) AS position FROM t_ev")
 def _(m):
-    return events.order_events(frames.event_table(m), "intensity")
+    return frames.placed(events.order_events(frames.event_table(m), "intensity"))
 
 
-@query("O4_basin_ranking", BASIN_COLUMNS, "SELECT * FROM t_basin")
+@query("O4_basin_ranking", "position# " + BASIN_COLUMNS, "SELECT *, row_number() OVER (ORDER BY sst_trend_per_yr DESC NULLS LAST, basin) AS position FROM t_basin")
 def _(m):
-    return regions.rank_basins(basin_rows(m))
+    return frames.placed(regions.rank_basins(basin_rows(m)))
 
 
 TABLES["t_wide"] = """SELECT month, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][month] AS month_name, coalesce(max(mean) FILTER (WHERE variable = 'sst_argo'), 0) AS sst_mean, coalesce(max(std) FILTER (WHERE variable = 'sst_argo'), 0) AS sst_std,

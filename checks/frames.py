@@ -1,11 +1,23 @@
 """Result tables that many queries start from."""
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from halocline.operators import detect, events, fields, profiles, seasonal
 from halocline.plans import heatwave, views
 from halocline.session import shared_dir
 from halocline.sources import sinks, tables
 
 
+def placed(ordered):
+    """Rows of a sorted answer with their position: rows before the partition of the answer, and the place in it."""
+    numbered = ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return numbered.withColumn("_row", inside).join(parts, "_part").withColumn("position", F.col("_before") + F.col("_row"))
+
+
 def days(m):
     return detect.heatwave_days(m("grid"), m("indices"))
 

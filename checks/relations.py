@@ -564,9 +564,9 @@ def _(m):
     return tracks.latest_positions(m("floats"), "2000-06-30")
 
 
-@query("W15_trails", "float_id time$ profile_idx lat~2 lon~2", "SELECT * FROM t_floats")
+@query("W15_trails", "position# float_id time$ profile_idx lat~2 lon~2", "SELECT *, row_number() OVER (ORDER BY float_id, time, profile_idx) AS position FROM t_floats")
 def _(m):
-    return tracks.trails(m("floats"))
+    return frames.placed(tracks.trails(m("floats")))
 
 
 @query("W16_tail_rows", "date$ is_mhw mean_intensity~", "SELECT * FROM t_days ORDER BY date DESC LIMIT 365")

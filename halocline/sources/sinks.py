@@ -17,6 +17,7 @@ LAYOUTS = {
 
 def write_grid(grid, path, time="time"):
     """A grid by year, clustered by cell inside a year for per-cell reads."""
+    _refuse_own_folder(grid, path)
     out = grid.withColumn("year", F.year(time))
     out.repartitionByRange("year", "lat", "lon").sortWithinPartitions("year", "lat", "lon", time).write.mode(
         "overwrite"
@@ -24,6 +25,7 @@ def write_grid(grid, path, time="time"):
 
 
 def write_result(df, path):
+    _refuse_own_folder(df, path)
     df.write.mode("overwrite").parquet(path)
 
 
@@ -101,12 +103,16 @@ def _reads_from(df, path):
     return any(not folder.netloc or f.netloc == folder.netloc for f in inside)
 
 
+def _refuse_own_folder(df, path):
+    if _reads_from(df, path):
+        raise ValueError(f"{path} is read from; name another folder")
+
+
 def relayout(df, path, mode="time_slice", dry_run=False, files=None):
     """Rewrite a table clustered for one access pattern, and report the layout before and after."""
     order = [c for c in LAYOUTS[mode] if c in df.columns]
-    if not dry_run and _reads_from(df, path):
-        raise ValueError(f"{path} is read from; name another folder")
     if not dry_run:
+        _refuse_own_folder(df, path)
         placed = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
         placed.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 

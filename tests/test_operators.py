@@ -583,3 +583,15 @@ def test_ordered_persistence_over_late_days_and_restarts(spark, tmp_path):
     assert [(s, d, x) for s, d, x, f, kind in got if kind == "repeated"] == [("a", day(6), 0.7)]
     assert [(s, d, x) for s, d, x, f, kind in got if kind == "undated"] == [("a", None, 0.1)]
     assert days[("b", day(0))] is False and ("b", day(9)) in days
+
+
+def test_no_table_is_written_onto_its_own_folder(spark, tmp_path):
+    path = str(tmp_path / "grid")
+    df = spark.createDataFrame([(DAY, 0.0, 1.0, 2.0)], "time date, lat double, lon double, sst double")
+    sinks.write_grid(df, path)
+    sinks.write_grid(df, path)
+    stored = spark.read.parquet(path)
+    for write in (sinks.write_grid, sinks.write_result):
+        with pytest.raises(ValueError):
+            write(stored, path)
+    assert stored.count() == 1

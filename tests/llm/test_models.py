@@ -133,6 +133,68 @@ def test_automaton_finds_the_nearest_term(word, terms, most):
     assert (found and found[0]) == (best if best <= most else None)
 
 
+def exchanging(a, b):
+    """Edits from a to b, an exchange of neighbours among them, by the whole table."""
+    d = [[i + j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abc", min_size=3, max_size=12), min_size=1, max_size=8, unique=True), st.data())
+def test_pieces_lose_no_misspelling(terms, data):
+    word = list(data.draw(st.sampled_from(terms)))
+    for edit, at in data.draw(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 11)), max_size=3)):
+        at = min(at, len(word) - 1)
+        if edit == 0:
+            word.insert(at, "d")
+        elif edit == 1 and len(word) > 1:
+            word.pop(at)
+        elif edit == 2:
+            word[at] = "b"
+        elif at:
+            word[at - 1], word[at] = word[at], word[at - 1]
+    word, weights = "".join(word), {t: 1.0 + k for k, t in enumerate(terms)}
+    away = {t: exchanging(t, word) for t in terms}
+    near = {t for t in terms if 0 < toxicity.edits_of(len(t)) >= away[t]}
+    spellings = toxicity.Spellings(weights)
+    assert spellings.near(word) == near
+    want = max(((weights[t] * toxicity.EDITED[away[t]], -away[t]) for t in near), default=None)
+    found = spellings.best(word)
+    assert (found and (found[0], -found[1])) == want
+
+
+def test_misspellings_of_short_and_of_both_ends():
+    terms = [*toxicity.SEED_TERMS, *(t + "s" for t in toxicity.SEED_TERMS)]
+    lexicon = toxicity.Lexicon(dict.fromkeys(terms, 3.0)).prepare()
+    edits = {w: lexicon.find(w)[1] for w in ("idot", "losr", "wurthlesz", "merons", "mroon", "you-idiot", "l'idiot,", "x/idioot")}
+    assert edits == {"idot": 1, "losr": 1, "wurthlesz": 2, "merons": 1, "mroon": 1, "you-idiot": 0, "l'idiot,": 0, "x/idioot": 1}
+    assert lexicon.find("worthless" + "x" * 100) is None and lexicon.find("") is None
+
+
+def test_learned_terms_are_found_misspelled(spark):
+    clean = [(f"gentle river {chr(97 + k % 26)}{chr(97 + k // 26)}morning walks", 0) for k in range(60)]
+    toxic = [(f"what a grobulant creature number {k}", 1) for k in range(30)] + [("grobulant in a quotation", 0)]
+    rows = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(clean + toxic)], "doc_id long, text string, label int")
+    lexicon = toxicity.learn_lexicon(rows).prepare()
+    assert lexicon.terms["grobulant"] > toxicity.LEAST_ODDS and "gentle" not in lexicon.terms
+    exact, edited = lexicon.find("grobulant"), toxicity.Lexicon(lexicon.terms, {}, lexicon.ordinary, lexicon.edited).prepare().find("grubulnat")
+    assert exact[1] == 0 and edited[1] == 2 and exact[0] > edited[0] > 0
+
+
+def test_coefficients_of_parted_rows():
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(size=(400, 3)))
+    y = (np.arange(400) % 10 == 0).astype(float)
+    x[:, 0] += 8 * y
+    beta = toxicity.fit_logistic(x, y, np.ones(400))
+    assert auc(y, x @ beta[:-1] + beta[-1]) == 1.0
+
+
 def test_context_of_finds():
     lexicon = toxicity.Lexicon(dict.fromkeys(toxicity.SEED_TERMS, 3.0), {"zorg": 2.0}, frozenset({"closer"})).prepare()
     assert lexicon.find("idi0t!") == (3.0, 0) and lexicon.find("stupiid")[1] == 1 and lexicon.find("zorgling") == (2.0, 0)

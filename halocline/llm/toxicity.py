@@ -46,15 +46,18 @@ FEATURES = 6
 
 
 class Trie:
-    """Terms by letters; ``reached`` runs a Levenshtein automaton of a word over it."""
+    """Terms by letters; ``reached`` runs a Levenshtein automaton of a word over it.
+
+    ``terms`` are (letters, weight) or (letters, weight, whole term).
+    """
 
     def __init__(self, terms):
         self.root = {}
-        for term, weight in terms:
+        for term, weight, *whole in terms:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
-            node[""] = (max(weight, node.get("", (0.0,))[0]), term)
+            node[""] = (max(weight, node.get("", (0.0,))[0]), whole[0] if whole else term)
 
     def reached(self, word, most, terms=None, swaps=True):
         """The largest weight of the terms at distance 0, 1 and 2 (at most ``most``) of the word; 0 for none.
@@ -134,11 +137,17 @@ class Spellings:
             if edits_of(m):
                 for k, (at, size) in enumerate(pieces(m)):
                     groups.setdefault((m, k, term[at : at + size]), []).append((term, weight))
-        self.tries = {key: (Trie(group), [odd_letters(t) for t, _ in group]) for key, group in groups.items()}
-        self.lengths, self.places = sorted({key[0] for key in groups}), {}
+        self.tries = {}
+        for (m, k, piece), group in groups.items():
+            at, size = pieces(m)[k]
+            # what stands before a last piece, and after a first one, is all that can differ
+            cut = slice(size, None) if k == 0 else slice(0, at) if at + size == m else slice(None)
+            trie = Trie((t[cut], w, t) for t, w in group)
+            self.tries.setdefault((m, k), {})[piece] = (trie, [odd_letters(t) for t, _ in group])
+        self.lengths, self.places = sorted({m for m, _ in self.tries}), {}
 
     def _places(self, n):
-        """(term letters, piece, start, end) where words of n letters may have an intact piece."""
+        """(tries by piece, edits, start, end, rest to compare) where words of n letters may have an intact piece."""
         out = []
         for m in self.lengths:
             most, cut = edits_of(m), pieces(m)
@@ -148,15 +157,18 @@ class Spellings:
                 # the first piece stays in its place, the last one stays at the end, and the middle one is
                 # needed only if there is one edit on either side
                 shifts = (0,) if k == 0 else (n - m,) if k == len(cut) - 1 else (-1, 0, 1)
-                out += [(m, k, at + d, at + d + size) for d in shifts if at + d + size <= n]
+                for start, end in ((at + d, at + d + size) for d in shifts):
+                    if end <= n:
+                        rest = slice(end, None) if k == 0 else slice(0, start) if k == len(cut) - 1 else slice(None)
+                        out.append((self.tries[m, k], most, start, end, rest))
         self.places[n] = out
         return out
 
     def best(self, word):
         """(weight by edits, edits) of the term that the word most likely stands for, or None."""
         best = None
-        for trie, most in self._near_tries(word):
-            for e, weight in enumerate(trie.reached(word, most)):
+        for trie, most, rest in self._near_tries(word):
+            for e, weight in enumerate(trie.reached(rest, most)):
                 if weight and (best is None or (weight * EDITED[e], -e) > (best[0], -best[1])):
                     best = (weight * EDITED[e], e)
         return best
@@ -164,17 +176,23 @@ class Spellings:
     def near(self, word):
         """All terms that the word may stand for."""
         terms = set()
-        for trie, most in self._near_tries(word):
-            trie.reached(word, most, terms)
+        for trie, most, rest in self._near_tries(word):
+            trie.reached(rest, most, terms)
         return terms
 
     def _near_tries(self, word):
-        odd, tries = odd_letters(word), self.tries
-        for m, k, start, end in self.places.get(len(word)) or self._places(len(word)):
-            group = tries.get((m, k, word[start:end]))
-            most = 1 if m < TWO_EDITS else 2
-            if group and any((odd ^ other).bit_count() <= 2 * most for other in group[1]):
-                yield group[0], most
+        """(trie, edits, rest of the word) of the terms that share a piece with the word, if one of them has letters so near."""
+        found, odd = [], None
+        for tries, most, start, end, rest in self.places.get(len(word)) or self._places(len(word)):
+            group = tries.get(word[start:end])
+            if group:
+                if odd is None:
+                    odd = odd_letters(word)
+                for other in group[1]:
+                    if (odd ^ other).bit_count() <= 2 * most:
+                        found.append((group[0], most, word[rest]))
+                        break
+        return found
 
 
 #: The lexicon that a worker has prepared, kept from task to task.
@@ -217,7 +235,7 @@ class Lexicon:
         weight = self.terms.get(word) or self._stem(word)
         if weight:
             return weight, 0
-        plain = word.translate(LOOKALIKES)
+        plain = word if word.isalpha() else word.translate(LOOKALIKES)
         return (self.terms[plain], 0) if plain in self.terms else self.fuzzy(plain)
 
     def find(self, token):
@@ -226,6 +244,9 @@ class Lexicon:
             found = self.seen[token] = self.before[token]
             return found
         whole = token.strip(EDGES)
+        if whole != token:
+            found = self.seen[token] = self.seen[whole] if whole in self.seen else self.find(whole)
+            return found
         found = self.word(whole)
         if not found and not whole.isalpha():
             runs = [f for f in map(self.word, LETTERS.findall(whole)) if f]

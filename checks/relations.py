@@ -244,7 +244,7 @@ BASIN_COLUMNS = "basin lat_min lon_max n_profiles# mean_sst~3 mean_mld~2 mean_oh
 
 
 def basin_rows(m):
-    rows = regions.basin_metrics(m.spark, frames.unc(m), frames.sst(m))
+    rows = regions.basin_metrics_of(m.spark, frames.unc(m), m("grid"))
     return rows.withColumn("mean_ohc", F.col("mean_ohc_700m") / 1e10)
 
 

@@ -70,6 +70,15 @@ def month_trends(months, min_months=4):
 
 def basin_metrics(spark, profiles, anomaly_grid):
     """One row per basin; basins without profiles keep their row with a count of 0."""
+    return _metrics_beside(spark, profiles, basin_heatwaves(anomaly_grid))
+
+
+def basin_metrics_of(spark, profiles, sst):
+    """``basin_metrics`` from the plain grid: anomaly and quantile share one placement by cell."""
+    return _metrics_beside(spark, profiles, basin_heatwaves_of(sst))
+
+
+def _metrics_beside(spark, profiles, heatwaves):
     months = basin_months(profiles)
     means = months.groupBy("basin").agg(
         F.sum("n").alias("n"),
@@ -85,7 +94,7 @@ def basin_metrics(spark, profiles, anomaly_grid):
         F.when(F.count("m") >= 6, F.round(F.max("m") - F.min("m"), 3)).alias("sst_seasonal_range")
     )
     table = box_table(spark)
-    for part in (means, season, month_trends(months), basin_heatwaves(anomaly_grid)):
+    for part in (means, season, month_trends(months), heatwaves):
         table = table.join(part, "basin", "left")
     n = F.coalesce("n", F.lit(0))
     only_sampled = {

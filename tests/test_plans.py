@@ -36,3 +36,10 @@ def test_anomaly_and_quantile_share_one_placement(spark):
     text = plan(regions.basin_heatwaves_of(mapped(spark, SF_DIR, "grid")))
     by_cell = [line for line in text.splitlines() if "Exchange hashpartitioning(cell" in line]
     assert len(by_cell) == 1 and len(re.findall(r"Exchange hashpartitioning\(.*lat#", text)) == 0
+
+
+def test_basin_metrics_place_the_grid_once(spark):
+    measured = profiles.with_confidence(profiles.profile_physics(mapped(spark, SF_DIR, "levels"), mapped(spark, SF_DIR, "profiles")))
+    text = plan(regions.basin_metrics_of(spark, measured, mapped(spark, SF_DIR, "grid")))
+    by_cell = [line for line in text.splitlines() if "Exchange hashpartitioning(cell" in line]
+    assert len(by_cell) == 1 and len(re.findall(r"Exchange hashpartitioning\(.*lat#", text)) == 0

@@ -3,13 +3,27 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Ranges into which distinct values are cut for numbering; each is ordered in its own task.
 RANGES = 64
 
 
+def values(df, columns):
+    """The distinct values of several columns, written once: one pass over ``df`` serves all axes made from them.
+
+    Each row holds a value of one column and NULL in the others.
+    """
+    types = {c: df.schema[c].dataType for c in columns}
+    one = [F.struct(*[(F.col(c) if c == held else F.lit(None).cast(types[c])).alias(c) for c in columns]) for held in columns]
+    return written(df.select(F.inline(F.array(*one))).distinct(), "axis-values")
+
+
 def numbered(df, column, ranges=RANGES):
     """(``column``, position) of the distinct values in ascending order, positions from 0; NULL is left out.
 
+    ``df`` is read several times; where it is not stored, give its ``values``.
+
     Values are cut into ranges by a sketch, ordered inside each range, and lifted by the number of values in the
     ranges before it. The window over all ranges has one row per range.
     """
@@ -43,8 +57,9 @@ def every(df, axis, column, step):
 
 def write_axes(df, path, columns=("time", "lat", "lon")):
     """One small table per axis beside a grid, so that views do not read the grid for its axes."""
+    found = values(df, columns)
     for c in columns:
-        numbered(df, c).write.mode("overwrite").parquet(f"{path}/{c}")
+        numbered(found, c).write.mode("overwrite").parquet(f"{path}/{c}")
 
 
 def read_axis(spark, path, column):

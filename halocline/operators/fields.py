@@ -46,10 +46,11 @@ def stress_vectors(stress, step=0, stride=1, stored=None):
 
     With ``stored``, the folder of a written axis table, only that step of the field is read.
     """
-    times = A.numbered(stress, "time") if stored is None else A.read_axis(stress.sparkSession, stored, "time")
+    axes = A.values(stress, ["time", *(G.CELL if stride > 1 else [])]) if stored is None else None
+    times = A.numbered(axes, "time") if stored is None else A.read_axis(stress.sparkSession, stored, "time")
     one = stress.where(F.col("time") == A.value_at(times, "time", step))
     mag = F.col("tau_mag")
-    return G.spatial_stride(one, stride, stress, stored).select(
+    return G.spatial_stride(one, stride, axes, stored).select(
         "time", "lat", "lon", "tau_mag",
         P.unit_component(F.col("tau_x"), mag).alias("ux"),
         P.unit_component(F.col("tau_y"), mag).alias("uy"),

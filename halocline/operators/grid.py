@@ -133,8 +133,9 @@ def spatial_stride(df, k, axes=None, stored=None):
     """
     if k == 1:
         return df
+    found = A.values(df if axes is None else axes, CELL) if stored is None else None
     for c in CELL:
-        axis_ = A.numbered(df if axes is None else axes, c) if stored is None else A.read_axis(df.sparkSession, stored, c)
+        axis_ = A.numbered(found, c) if stored is None else A.read_axis(df.sparkSession, stored, c)
         df = A.every(df, axis_, c, F.lit(k)).select(*df.columns)
     return df
 
@@ -143,7 +144,7 @@ def time_stride(df, frames, time="time", stored=None):
     """Times at a regular step over the whole record, at most ``frames``; all of them for None."""
     if frames is None:
         return df
-    axis_ = A.numbered(df, time) if stored is None else A.read_axis(df.sparkSession, stored, time)
+    axis_ = A.numbered(A.values(df, [time]), time) if stored is None else A.read_axis(df.sparkSession, stored, time)
     step = F.greatest(F.lit(1), F.ceil(A.length(axis_) / F.lit(frames)).cast("int"))
     return A.every(df, axis_, time, step).select(*df.columns)
 

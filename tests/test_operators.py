@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.operators import axes, detect, events, grid, nearest, profiles, quantiles, scans, series, thresholds, tracks
+from halocline.operators import axes, detect, events, fields, grid, nearest, profiles, quantiles, scans, series, thresholds, tracks
 from halocline.sources import sinks, tables
 
 DAY = dt.date(2020, 1, 1)
@@ -335,6 +335,20 @@ def test_axes_number_values_in_order(spark, tmp_path):
     assert len({r["time"] for r in grid.time_stride(df, 9).collect()}) == 9
 
 
+def test_axes_of_a_derived_field_take_one_pass(spark, tmp_path):
+    rows = [(DAY + dt.timedelta(days=d), float(a), float(b), 3.0 + d, 4.0) for d in range(5) for a in range(3) for b in range(4)]
+    for k in range(2):  # a source of two rows per cell, from which the field is made
+        spark.createDataFrame(rows, "time date, lat double, lon double, u10 double, v10 double").write.mode("append").parquet(f"{tmp_path}/source")
+    field = spark.read.parquet(f"{tmp_path}/source").groupBy("time", "lat", "lon").agg(F.avg("u10").alias("u10"), F.avg("v10").alias("v10"))
+    got = fields.stress_vectors(fields.wind_fields(field), -1, 2)
+    rest = [grid.spatial_stride(field, 2), grid.time_stride(field, 2)]
+    for df in (got, *rest):
+        assert plan_of(df).count(str(tmp_path)[:40]) == 1  # plans cut long paths
+    kept = {(r.time, r.lat, r.lon) for r in got.collect()}
+    assert kept == {(DAY + dt.timedelta(days=4), a, b) for a in (0.0, 2.0) for b in (0.0, 2.0)}
+    assert rest[0].count() == 5 * 4 and {r.time for r in rest[1].collect()} == {DAY, DAY + dt.timedelta(days=3)}
+
+
 def test_quantiles_of_few_ranges_are_exact(spark):
     rng = random.Random(2)
     rows = [(rng.choice(["a", None]), float(rng.choice([rng.randint(0, 40), rng.gauss(0, 9)]))) for _ in range(3000)]

@@ -21,10 +21,23 @@ CHECKED = {
 BY_DAY = ("wind_stress", "qnet", "sst_anomaly")
 
 
+#: Columns that the product of the wind adds to the surface, and that of the temperature to its grid.
+ADDED = {"wind_speed", "tau_x", "tau_y", "tau_mag", "ekman_x", "ekman_y", "year"}
+ADDED_SST = {"sst_clim", "sst_anomaly", "year"}
+
+
+def _given(grid, product, added):
+    """The rows of an input from the product that keeps them all, so that the input is computed once.
+
+    An input that itself has a column the product adds is read again.
+    """
+    return grid if added & set(grid.columns) else product.select(*grid.columns)
+
+
 def run_physics(base, sst, surface, levels, heads):
     spark = sst.sparkSession
     sinks.write_grid(fields.ekman_transport(fields.wind_fields(surface)), f"{base}/wind_stress")
-    sinks.write_grid(fields.qnet_dataset(surface), f"{base}/qnet")
+    sinks.write_grid(fields.qnet_dataset(_given(surface, spark.read.parquet(f"{base}/wind_stress"), ADDED)), f"{base}/qnet")
     sinks.write_grid(fields.sst_dataset(sst), f"{base}/sst_anomaly")
     sinks.write_result(V.profile_physics(levels, heads), f"{base}/profile_physics")
     out = {n: spark.read.parquet(f"{base}/{n}") for n in CHECKED}
@@ -86,6 +99,7 @@ def run_all(base, sst, surface, sla, levels, heads, indices, input_bytes=None):
     if input_bytes:
         size_shuffles(sst.sparkSession, input_bytes)
     physics = run_physics(base, sst, surface, levels, heads)
+    sst = _given(sst, physics["sst_anomaly"], ADDED_SST)
     detected = run_detection(base, sst, indices, physics)
     certain = run_uncertainty(base, sst, sla, physics, detected["mhw_timeseries"])
     analysed = run_analysis(base, indices, physics, detected, certain)

@@ -3,6 +3,8 @@
 import re
 
 from halocline.operators import detect, profiles, quantiles, regions
+from halocline.plans import pipeline
+from halocline.sources import sinks
 from halocline.sources.driver_tables import mapped
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -43,3 +45,35 @@ def test_basin_metrics_place_the_grid_once(spark):
     text = plan(regions.basin_metrics_of(spark, measured, mapped(spark, SF_DIR, "grid")))
     by_cell = [line for line in text.splitlines() if "Exchange hashpartitioning(cell" in line]
     assert len(by_cell) == 1 and len(re.findall(r"Exchange hashpartitioning\(.*lat#", text)) == 0
+
+
+def test_the_whole_run_computes_its_grids_once(spark, tmp_path, monkeypatch):
+    """What comes after the first product of an input reads that product, with the same rows."""
+    source, base, seen = str(tmp_path / "source"), str(tmp_path / "products"), {}
+    day = "DATE '2020-01-01' + CAST(id % 5 AS INT) AS time, CAST(id % 3 AS DOUBLE) AS lat, CAST(id % 2 AS DOUBLE) AS lon"
+    flux = ", ".join(f"CAST(id AS DOUBLE) AS {c}" for c in ("ssr", "str", "slhf", "sshf"))
+    spark.sql(f"SELECT {day}, IF(id = 0, NULL, CAST(id AS DOUBLE)) AS sst, 1.0D AS u10, IF(id = 9, NULL, 2.0D) AS v10, {flux} FROM range(31)").write.parquet(source)
+    rows = spark.read.parquet(source)
+    sst, surface = rows.select("time", "lat", "lon", "sst"), rows.drop("sst")
+    write = sinks.write_grid
+
+    def write_grid(grid, path):
+        seen[path.rsplit("/", 1)[1]] = grid.inputFiles()
+        write(grid, path)
+
+    def stop(base, sst, indices, physics):
+        seen["later"] = sst.inputFiles()
+        raise InterruptedError(sorted(map(str, sst.collect())))
+
+    monkeypatch.setattr(sinks, "write_grid", write_grid)
+    monkeypatch.setattr(pipeline, "run_detection", stop)
+    levels, heads = mapped(spark, SF_DIR, "levels"), mapped(spark, SF_DIR, "profiles")
+    try:
+        pipeline.run_all(base, sst, surface, None, levels, heads, None)
+    except InterruptedError as stopped:
+        assert stopped.args[0] == sorted(map(str, sst.collect()))
+    assert all("/wind_stress/" in f for f in seen["qnet"]) and all("/sst_anomaly/" in f for f in seen["later"])
+    assert seen["qnet"] and seen["later"]
+    qnet = spark.read.parquet(f"{base}/qnet").select(*surface.columns)
+    assert sorted(map(str, qnet.collect())) == sorted(map(str, surface.collect()))
+    assert pipeline._given(surface.withColumn("wind_speed", surface.u10), qnet, pipeline.ADDED).inputFiles() == rows.inputFiles()

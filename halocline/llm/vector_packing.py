@@ -7,6 +7,7 @@ takes the piece. Pieces are dealt by hash to groups of bounded size, and each gr
 a group leaves about one sequence more than a whole packing would.
 """
 
+import string
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -21,6 +22,9 @@ GROUP_PIECES = 16384
 REMEMBERED = 500_000
 #: Texts whose unknown words are encoded in one call.
 TOGETHER = 512
+#: Marks behind a word, and the letters and digits that a pre-token ends at before them.
+MARKS = string.punctuation
+LETTERS = frozenset(c for c in map(chr, range(256)) if c.isalpha() or c in string.digits)
 
 
 @dataclass(frozen=True)
@@ -34,11 +38,25 @@ class Capacity:
     measure: str = "norm"
 
 
+def lowered(text):
+    """``text`` in lower case, as the tokenizer lowers it; left alone beyond Latin-1.
+
+    There every letter has one lower case, whatever stands beside it, and nothing composes.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class WordIds:
     """Ids of words between blanks, as little-endian 32-bit bytes; recent ones are remembered.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    words one after another. Unknown words of several texts are encoded in one call, a line each.
+    The tokenizer lowers texts, drops white space and never joins across it, so the ids of a text are those
+    of its lowered words one after another. It never joins a letter or digit and a mark either: a word with
+    marks behind it has the ids of the bare word, then those of the marks. Unknown parts of words of several
+    texts are encoded in one call, a line each.
     """
 
     def __init__(self, tokenizer, remembered=REMEMBERED):
@@ -46,7 +64,21 @@ class WordIds:
         self.young, self.old = {}, {}
 
     def learn(self, unknown):
-        words = list(unknown)
+        split = {}
+        for w in unknown:
+            bare = w.rstrip(MARKS)
+            if bare != w and bare and bare[-1] in LETTERS:
+                split[w] = bare, w[len(bare) :]
+        parts = {w for w in unknown if w not in split}.union(*split.values())
+        self.young |= {w: self.old[w] for w in parts if w not in self.young and w in self.old}
+        parts = sorted(w for w in parts if w not in self.young)
+        if parts:
+            self.encode_words(parts)
+        young = self.young
+        for w, (bare, marks) in split.items():
+            young[w] = young[bare] + young[marks]
+
+    def encode_words(self, words):
         encoded = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
         ids = np.asarray(encoded.ids, "<u4")
         starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
@@ -61,19 +93,18 @@ class WordIds:
         # before any word is looked up, so that every word of these texts ends up in young
         if len(self.young) > self.remembered:
             self.young, self.old = {}, self.young
-        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        split = [lowered(text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
         unknown = set().union(*split)
         unknown.discard("")
         unknown = [w for w in unknown if w not in self.young]
         known = {w: self.old[w] for w in unknown if w in self.old}
         self.young |= known
-        unknown = sorted(w for w in unknown if w not in known)
+        unknown = [w for w in unknown if w not in known]
         if unknown:
             self.learn(unknown)
         young = self.young
         young[""] = b""
-        out = [b"".join([young[w] for w in words]) + b"\0\0\0\0" for words in split]
-        return out
+        return [b"".join(map(young.__getitem__, words)) + b"\0\0\0\0" for words in split]
 
 
 _word_ids = {}

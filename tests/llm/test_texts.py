@@ -266,6 +266,21 @@ def test_words_give_the_ids_of_the_text(texts):
         assert data == np.array(ids, "<u4").tobytes()
 
 
+def test_forms_of_a_word_are_encoded_once():
+    known, asked = vector_packing.word_ids(word_tokenizer()).tokenizer, []
+
+    class Asked:
+        def encode(self, text, **more):
+            asked.extend(text.split("\n"))
+            return known.encode(text, **more)
+
+    words = vector_packing.WordIds(Asked())
+    texts = ["Éclair éclair, ÉCLAIR! (éclair) don't O'Neil's 3,5. x²!", "«Σας» ΣΑΣ, I\u0307! <\u0338 =\u0338, a\u0301. ½!! été...", "éclair!"]
+    for t, data in zip(texts, words.encode(texts), strict=True):
+        assert data == np.array([*known.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
+    assert len(asked) == len(set(asked)) and [w for w in asked if "clair" in w] == ["(éclair", "éclair"]
+
+
 def test_words_beyond_the_cache_keep_their_ids():
     known = vector_packing.word_ids(word_tokenizer()).tokenizer
     words = vector_packing.WordIds(known, remembered=3)

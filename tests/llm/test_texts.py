@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -157,6 +158,28 @@ def test_long_texts_are_parsed_in_parts(monkeypatch):
     assert place(whole) == place(parts)
 
 
+def test_a_name_is_told_twice_a_batch_and_settled_beyond(spark):
+    rng = np.random.default_rng(4)
+    common, own = rng.integers(97, 123, 900), rng.integers(97, 123, (40, 300))
+    texts = [bytes([*own[k][:150], *common, *own[k][150:]]).decode() for k in range(40)]
+    keys = pa.array(range(40), pa.int64())
+    batch = pa.RecordBatch.from_arrays([keys, keys, pa.array(texts)], names=["k1", "k2", "text"])
+    rows = pa.Table.from_batches(prefix_free._parse(240, 48)([batch])).to_pylist()
+    told = Counter((r["c1"], r["c2"]) for r in rows if r["c1"] is not None)
+    known = [r for r in rows if r["c1"] is None]
+    assert max(told.values()) == 2 and Counter(r["k1"] for r in known) == dict.fromkeys(range(2, 40), 1)
+    for r in known:
+        assert 150 <= r["place"] <= r["trigger"] <= 150 + 900 - 240
+    starts = Counter()
+    for r in rows:
+        at, far, near = prefix_free._unpacked(r["place"])
+        starts[r["k1"]] += r["trigger"] - r["place"] + 1 if r["c1"] is None else far - near + 1
+    assert starts == dict.fromkeys(range(40), 1200 - 239)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in prefix_free.without_repeats(docs, length=240, anchor=48).collect()}
+    assert got == dict(enumerate(brute_kept(texts, 240)))
+
+
 def test_cleaned_keeps_columns_and_whole_code_points(spark):
     same = "é" * 300
     docs = spark.createDataFrame([(1, "a" + same + "z", 9), (2, "b" + same, 9), (3, None, 9)], "doc_id long, text string, n_chars long")

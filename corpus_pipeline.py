@@ -33,9 +33,13 @@ def source_mix(spark, docs, sf_dir):
     return mixing.mixed(docs)
 
 
+#: Words whose ids a worker remembers, up to twice as many; it holds them beside what the other stages keep.
+REMEMBERED = 100_000
+
+
 def packing(spark, docs, sf_dir):
     """Pieces of tokens and their places in sequences."""
-    return vector_packing.pack_documents(docs, word_tokenizer())
+    return vector_packing.pack_documents(docs, word_tokenizer(), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -23,7 +23,8 @@ BANDS, ROWS, STEP = 32, 4, 32
 HASHES = BANDS * ROWS
 #: Classes of a component that meet in one task, at most twice as many.
 BLOCK = 256
-REMEMBERED = 1_000_000
+#: Words whose hashes a worker remembers, some 130 bytes each and held beside what other operators keep.
+REMEMBERED = 100_000
 _random = np.random.default_rng(20240229)
 _MULTIPLY = _random.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64)

@@ -110,25 +110,26 @@ class WordIds:
 _word_ids = {}
 
 
-def word_ids(path):
+def word_ids(path, remembered=REMEMBERED):
     """The remembered words of a tokenizer's file, kept by a worker from task to task."""
-    if path not in _word_ids:
+    if (path, remembered) not in _word_ids:
         from tokenizers import Tokenizer
 
-        _word_ids[path] = WordIds(Tokenizer.from_file(path))
-    return _word_ids[path]
+        _word_ids[path, remembered] = WordIds(Tokenizer.from_file(path), remembered)
+    return _word_ids[path, remembered]
 
 
-def token_pieces(documents, tokenizer, size=SEQUENCE):
+def token_pieces(documents, tokenizer, size=SEQUENCE, remembered=REMEMBERED):
     """Cut every document into pieces of at most ``size`` tokens; only longer ones are cut.
 
     Returns doc_id, piece, start, length, ids_crc32. A null text is empty and gives one piece with the
     closing id alone. ``tokenizer`` is the path of the tokenizer's file on every machine.
+    A worker keeps the ids of up to twice ``remembered`` words, some 150 bytes each; results do not depend on it.
     """
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches):
-        words = word_ids(tokenizer)
+        words = word_ids(tokenizer, remembered)
         for batch in batches:
             rows, out, texts = [], [], batch.column(1)
             for first in range(0, len(texts), TOGETHER):
@@ -202,7 +203,7 @@ def packed(pieces, groups, capacity=Capacity()):
     )
 
 
-def pack_documents(documents, tokenizer, capacity=Capacity()):
+def pack_documents(documents, tokenizer, capacity=Capacity(), remembered=REMEMBERED):
     """All documents as pieces with their places in sequences.
 
     Null and empty texts are one token each. Repeated rows are packed as often as they come. Only doc_id
@@ -210,4 +211,4 @@ def pack_documents(documents, tokenizer, capacity=Capacity()):
     """
     n, size = documents.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     groups = int(n + (size or 0) // (4 * capacity.tokens)) // GROUP_PIECES + 1
-    return packed(token_pieces(documents, tokenizer, capacity.tokens), groups, capacity)
+    return packed(token_pieces(documents, tokenizer, capacity.tokens, remembered), groups, capacity)

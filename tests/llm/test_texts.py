@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import re
+import sys
+import tracemalloc
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -12,6 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from halocline.llm import bayes_join, license_rules, mixing, multiset_hash, prefix_free, vector_packing
 from halocline.llm.queries import word_tokenizer
 from pyspark.sql import functions as F
@@ -229,6 +232,19 @@ def test_blocks_of_large_groups_lose_no_link(spark, monkeypatch):
     assert rows == {k: (g, n) for k, (g, n) in enumerate(zip(group, links))} and max(links) > 10
 
 
+def test_remembered_hashes_take_little_memory():
+    words = bayes_join.WordHashes()
+    tracemalloc.start()
+    try:
+        found = [words[b"w%d" % k] for k in range(400_000)]
+        own = sum(sys.getsizeof(v) for v in found) + sys.getsizeof(found)
+        held = tracemalloc.get_traced_memory()[0] - own
+    finally:
+        tracemalloc.stop()
+    assert held < 32 << 20
+    assert all(bayes_join.WordHashes()[b"w%d" % k] == found[k] for k in range(0, 400_000, 9_973))
+
+
 def test_posterior_bounds():
     assert bayes_join.least_matches(128) < 0.8 * 128 < 128
     assert [bayes_join.least_matches(n) for n in (32, 64, 96, 128)] == sorted(bayes_join.least_matches(n) for n in (32, 64, 96, 128))
@@ -313,6 +329,18 @@ def test_words_beyond_the_cache_keep_their_ids():
         assert len(words.young) <= 3 + 6 + 1
 
 
+def test_the_pipeline_remembers_fewer_words_and_packs_alike(spark, small_dir):
+    assert 2 * corpus_pipeline.REMEMBERED * 200 < 64 << 20
+    words = vector_packing.word_ids(word_tokenizer(), 50)
+    for k in range(0, 1000, 20):
+        words.encode([" ".join(f"w{n}" for n in range(k, k + 20))])
+        assert len(words.young) + len(words.old) <= 2 * (50 + 20 + 1)
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    packs = [vector_packing.pack_documents(docs, word_tokenizer(), remembered=n) for n in (50, vector_packing.REMEMBERED)]
+    few, many, stage = [Counter(map(tuple, p.collect())) for p in [*packs, corpus_pipeline.packing(spark, docs, small_dir)]]
+    assert few == many == stage
+
+
 # op9
 
 LICENSE = re.compile(license_rules.LICENSE_WORD)

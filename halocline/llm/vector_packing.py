@@ -7,6 +7,7 @@ takes the piece. Pieces are dealt by hash to groups of bounded size, and each gr
 a group leaves about one sequence more than a whole packing would.
 """
 
+import re
 import string
 from dataclasses import dataclass
 from zlib import crc32
@@ -20,11 +21,15 @@ SEQUENCE = 2048
 GROUP_PIECES = 16384
 #: Words whose ids a worker remembers, up to twice as many.
 REMEMBERED = 500_000
-#: Texts whose unknown words are encoded in one call.
-TOGETHER = 512
-#: Marks behind a word, and the letters and digits that a pre-token ends at before them.
-MARKS = string.punctuation
-LETTERS = frozenset(c for c in map(chr, range(256)) if c.isalpha() or c in string.digits)
+#: Bytes of text whose words are looked up together.
+TOGETHER = 4 << 20
+#: Kinds of bytes: blanks, ASCII letters and digits, ASCII marks, all others.
+BLANK, LETTER, MARK, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+for _kind, _chars in ((BLANK, " \n\t\r"), (LETTER, string.ascii_letters + string.digits), (MARK, string.punctuation)):
+    KINDS[list(_chars.encode())] = _kind
+#: Words of lower-case Latin-1 letters alone, which the tokenizer neither changes nor cuts before its merges.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 @dataclass(frozen=True)
@@ -50,61 +55,110 @@ def lowered(text):
     return text.lower()
 
 
+def segments(data):
+    """The words of UTF-8 text, cut at blanks and before a mark behind a letter of PLAIN or a digit, and their starts."""
+    codes = np.frombuffer(data, np.uint8)
+    kinds = KINDS[codes]
+    kinds[1:][(codes[:-1] == 0xC3) & (codes[1:] >= 0x9F) & (codes[1:] != 0xB7)] = LETTER
+    blank = kinds == BLANK
+    cuts = blank[1:] != blank[:-1]
+    cuts |= (kinds[:-1] == LETTER) & (kinds[1:] == MARK)
+    starts = np.concatenate([[0], np.flatnonzero(cuts) + 1])
+    offsets = pa.py_buffer(np.append(starts, len(data)))
+    words = ~blank[starts]
+    runs = pa.LargeStringArray.from_buffers(len(starts), offsets, pa.py_buffer(data))
+    return runs.filter(pa.array(words)), starts[words]
+
+
 class WordIds:
     """Ids of words between blanks, as little-endian 32-bit bytes; recent ones are remembered.
 
     The tokenizer lowers texts, drops white space and never joins across it, so the ids of a text are those
-    of its lowered words one after another. It never joins a letter or digit and a mark either: a word with
-    marks behind it has the ids of the bare word, then those of the marks. Unknown parts of words of several
-    texts are encoded in one call, a line each.
+    of its lowered words one after another. It never joins a letter or digit and a mark behind it either, so
+    words are cut there too. Texts are cut and their words told apart as arrays, so a word costs a look-up
+    once in TOGETHER bytes; the unknown ones are encoded in one call, a line each, those of PLAIN letters by
+    ``merges`` if given. A text that may name an added token, which the tokenizer finds before all this, is
+    encoded whole.
     """
 
-    def __init__(self, tokenizer, remembered=REMEMBERED):
-        self.tokenizer, self.remembered = tokenizer, remembered
+    def __init__(self, tokenizer, remembered=REMEMBERED, added=(), merges=None):
+        self.tokenizer, self.remembered, self.merges = tokenizer, remembered, merges
+        self.added = [a.lower() for a in added]
         self.young, self.old = {}, {}
 
-    def learn(self, unknown):
-        split = {}
-        for w in unknown:
-            bare = w.rstrip(MARKS)
-            if bare != w and bare and bare[-1] in LETTERS:
-                split[w] = bare, w[len(bare) :]
-        parts = {w for w in unknown if w not in split}.union(*split.values())
-        self.young |= {w: self.old[w] for w in parts if w not in self.young and w in self.old}
-        parts = sorted(w for w in parts if w not in self.young)
-        if parts:
-            self.encode_words(parts)
-        young = self.young
-        for w, (bare, marks) in split.items():
-            young[w] = young[bare] + young[marks]
-
     def encode_words(self, words):
         encoded = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
         ids = np.asarray(encoded.ids, "<u4")
         starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
         places = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids))
-        cuts = np.searchsorted(places, starts).tolist() + [len(ids)]
-        data = ids.tobytes()
-        for k, w in enumerate(words):
-            self.young[w] = data[4 * cuts[k] : 4 * cuts[k + 1]]
+        self.remember(words, ids, np.searchsorted(places, starts[1:]))
 
-    def encode(self, texts):
-        """The ids of each text as bytes, with the closing id 0."""
-        # before any word is looked up, so that every word of these texts ends up in young
+    def remember(self, words, ids, cuts):
+        data, at = ids.tobytes(), 0
+        for w, end in zip(words, [*(4 * cuts).tolist(), len(data)], strict=True):
+            self.young[w] = data[at:end]
+            at = end
+
+    def learn(self, unknown):
+        plain = [w for w in unknown if PLAIN(w)] if self.merges else []
+        made = plain and self.merges(plain)
+        if made:
+            self.remember(plain, *made)
+            unknown = [w for w in unknown if w not in self.young]
+        if unknown:
+            self.encode_words(sorted(unknown))
+
+    def look_up(self, words):
+        """The ids of each of these different words as bytes."""
         if len(self.young) > self.remembered:
             self.young, self.old = {}, self.young
-        split = [lowered(text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-        unknown = set().union(*split)
-        unknown.discard("")
-        unknown = [w for w in unknown if w not in self.young]
-        known = {w: self.old[w] for w in unknown if w in self.old}
-        self.young |= known
-        unknown = [w for w in unknown if w not in known]
-        if unknown:
-            self.learn(unknown)
-        young = self.young
-        young[""] = b""
-        return [b"".join(map(young.__getitem__, words)) + b"\0\0\0\0" for words in split]
+        young, old = self.young, self.old
+        found = list(map(young.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        young |= {w: old[w] for w in (words[k] for k in missing) if w in old}
+        self.learn([w for w in (words[k] for k in missing) if w not in young])
+        for k in missing:
+            found[k] = young[words[k]]
+        return found
+
+    def encode(self, texts):
+        """The ids of each text as bytes, with the closing id 0."""
+        lows = [lowered(text) for text in texts]
+        whole = {k for k, low in enumerate(lows) if any(a in low for a in self.added)}
+        parts = [b"" if k in whole else low.encode() for k, low in enumerate(lows)]
+        words, starts = segments(b"\n".join(parts) + b"\n")
+        told = words.dictionary_encode()
+        ids = pa.array(self.look_up(told.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        ids = ids.take(told.indices)
+        ends = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))
+        places = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[np.append(0, ends)].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        out = [b"%b\0\0\0\0" % data[a:b] for a, b in zip(places, places[1:])]
+        for k in whole:
+            encoded = self.tokenizer.encode(texts[k], add_special_tokens=False)
+            out[k] = np.array([*encoded.ids, 0], "<u4").tobytes()
+        return out
+
+
+class Merges:
+    """The tokenizer's merges alone, for words that it takes as they are; a last token of a word ends in ``suffix``."""
+
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare = Tokenizer(tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), level])
+        suffix = tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.last[[k for token, k in tokenizer.get_vocab(False).items() if token.endswith(suffix)]] = True
+
+    def __call__(self, words):
+        """The ids of the words one after another, and the places where all but the first start; None if these are not clear."""
+        (encoded,) = self.bare.encode_batch_fast(["\n".join(words)], add_special_tokens=False)
+        ids = np.asarray(encoded.ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        return (ids, ends[:-1]) if len(ends) == len(words) else None
 
 
 _word_ids = {}
@@ -115,10 +169,26 @@ def word_ids(path, remembered=REMEMBERED):
     if (path, remembered) not in _word_ids:
         from tokenizers import Tokenizer
 
-        _word_ids[path, remembered] = WordIds(Tokenizer.from_file(path), remembered)
+        tokenizer = Tokenizer.from_file(path)
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        merges = Merges(tokenizer) if getattr(tokenizer.model, "end_of_word_suffix", None) else None
+        _word_ids[path, remembered] = WordIds(tokenizer, remembered, added, merges)
     return _word_ids[path, remembered]
 
 
+def together(texts):
+    """Lists of texts, in order, of about TOGETHER characters each."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def token_pieces(documents, tokenizer, size=SEQUENCE, remembered=REMEMBERED):
     """Cut every document into pieces of at most ``size`` tokens; only longer ones are cut.
 
@@ -131,14 +201,14 @@ def token_pieces(documents, tokenizer, size=SEQUENCE, remembered=REMEMBERED):
     def pieces(batches):
         words = word_ids(tokenizer, remembered)
         for batch in batches:
-            rows, out, texts = [], [], batch.column(1)
-            for first in range(0, len(texts), TOGETHER):
-                several = [t or "" for t in texts.slice(first, TOGETHER).to_pylist()]
-                for k, data in enumerate(words.encode(several), first):
-                    for piece, at in enumerate(range(0, len(data), 4 * size)):
-                        part = data[at : at + 4 * size]
-                        rows.append(k)
-                        out.append((piece, at // 4, len(part) // 4, crc32(part)))
+            rows, out = [], []
+            texts = (t.as_py() or "" for t in batch.column(1))
+            encoded = (data for some in together(texts) for data in words.encode(some))
+            for k, data in enumerate(encoded):
+                for piece, at in enumerate(range(0, len(data), 4 * size)):
+                    part = data[at : at + 4 * size]
+                    rows.append(k)
+                    out.append((piece, at // 4, len(part) // 4, crc32(part)))
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
             table = np.array(out, np.int64).reshape(-1, 4)
             columns = [ids, pa.array(table[:, 0].astype(np.int32)), *[pa.array(table[:, k]) for k in (1, 2, 3)]]

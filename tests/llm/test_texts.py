@@ -320,6 +320,47 @@ def test_forms_of_a_word_are_encoded_once():
     assert len(asked) == len(set(asked)) and [w for w in asked if "clair" in w] == ["(éclair", "éclair"]
 
 
+def test_plain_words_are_encoded_by_the_merges():
+    known, asked = vector_packing.word_ids(word_tokenizer()).tokenizer, []
+
+    class Asked:
+        def encode(self, text, **more):
+            asked.extend(text.split("\n"))
+            return known.encode(text, **more)
+
+    words = vector_packing.WordIds(Asked(), merges=vector_packing.Merges(known))
+    texts = ["Été été, ÉTÉ... (été) ÿ! ß÷ µ don't naïve", "ΣΑΣ Été été, I\u0307 aujourd'hui «ß»! Îles", "xyzzy naïve"]
+    for t, data in zip(texts, words.encode(texts), strict=True):
+        assert data == np.array([*known.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
+    marked = ["'hui", "'t", "(été", "...", ",", "!", "«ß»!", "ß÷", ")", "µ"]
+    assert set(asked) == {*marked, "ΣΑΣ", "Été", "I\u0307", "Îles"}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aZéÉßÿ÷µªΣσ\u0301\u0338 \n\xa0\x85\x1f'.,<|9²s", max_size=25), max_size=6))
+def test_words_cut_at_marks_give_the_ids_of_the_text(texts):
+    words = vector_packing.word_ids(word_tokenizer())
+    for t, data in zip(texts, words.encode(texts), strict=True):
+        assert data == np.array([*words.tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
+
+
+def test_added_tokens_in_a_text(spark):
+    words = vector_packing.word_ids(word_tokenizer())
+    texts = ["one", "a <|endoftext|> b, c", "<|EndOfText|>", "x<|startoftext|>Y<|endoftext|>", "<|endoftext", ""]
+    expected = [np.array([*words.tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+    assert np.frombuffer(expected[1], "<u4").max() == 49407
+    assert words.encode(texts) == expected
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {r.doc_id: r.ids_crc32 for r in vector_packing.token_pieces(docs, word_tokenizer()).collect()}
+    assert made == {k: crc32(data) for k, data in enumerate(expected)}
+
+
+def test_texts_are_looked_up_in_bounded_lots(monkeypatch):
+    monkeypatch.setattr(vector_packing, "TOGETHER", 5)
+    assert list(vector_packing.together(["abc", "", "de", "f" * 20, "g", ""])) == [["abc", "", "de"], ["f" * 20], ["g", ""]]
+    assert list(vector_packing.together([])) == []
+
+
 def test_words_beyond_the_cache_keep_their_ids():
     known = vector_packing.word_ids(word_tokenizer()).tokenizer
     words = vector_packing.WordIds(known, remembered=3)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import re
 import sys
+import time
 import tracemalloc
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -16,6 +17,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from halocline.llm import bayes_join, license_rules, mixing, multiset_hash, prefix_free, vector_packing
+from halocline.llm.common import CLEANUP, stored
 from halocline.llm.queries import word_tokenizer
 from pyspark.sql import functions as F
 
@@ -190,6 +192,34 @@ def test_cleaned_keeps_columns_and_whole_code_points(spark):
     assert rows == {1: ("az", 2), 2: ("b", 1), 3: (None, None)}
 
 
+def test_cleaned_ships_the_text_once(spark, monkeypatch):
+    seen, real = [], prefix_free.without_repeats
+    monkeypatch.setattr(prefix_free, "without_repeats", lambda docs, *rest: seen.append(docs.schema) or real(docs, *rest))
+    docs = [("x", 1, "a" * 500, 500, "y"), ("x", 2, "odd \ufffd" + "b" * 300, 9, None), ("x", 3, "odd \ufffd", 9, "y"), (None, 4, None, 9, "y"), ("x", 5, "", 0, "y")]
+    docs = spark.createDataFrame(docs, "absent string, doc_id long, text string, n_chars long, row string")
+    cleaned = prefix_free.cleaned(docs, 240, 48)
+    assert cleaned.columns == docs.columns and cleaned.dtypes == docs.dtypes
+    rows = {r.doc_id: tuple(r)[:1] + tuple(r)[2:] for r in cleaned.collect()}
+    assert rows[1] == ("x", "", 0, "y") and rows[2] == ("x", "odd ", 4, None)
+    assert rows[3] == ("x", "odd \ufffd", 5, "y") and rows[4] == (None, None, None, "y") and rows[5] == ("x", "", 0, "y")
+    carried = [f.dataType.simpleString() for f in seen[0]["row"].dataType]
+    assert sorted(carried) == ["bigint", "boolean", "string", "string"]
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")
+        return {f.rpartition("/")[2] for f in files.split(",") if "/shuffle_" in f}
+
+    before, kept = shuffles(), spark.conf.get(CLEANUP, None)
+    counts = stored(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "counts")
+    deadline = time.monotonic() + 20
+    while shuffles() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get(CLEANUP, None) == kept and counts.count() == 700
+
+
 # op4
 
 
